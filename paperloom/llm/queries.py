@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import topk, url_filter
+from paperloom.llm import bpe, fingerprint, packing, topk, toxicity, url_filter
 from paperloom.llm.common import small_batches, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -51,8 +52,41 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM k WHERE r <= 10
 """
 
 
+#: The remainder of crc32(doc_id) mod 4 that is held out of the training of the toxicity classifier, and the score from which a text is rejected.
+HELD_OUT, TOXIC_FROM = 2, 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), keep=~held_out)
+    scores = toxicity.toxicity_scores(documents, model)
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbour_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op8_exact_topk": op8_exact_topk}
+    return {
+        "op1_url_filter": op1_url_filter,
+        "op2_toxicity": op2_toxicity,
+        "op5_packing": op5_packing,
+        "op6_fingerprints": op6_fingerprints,
+        "op8_exact_topk": op8_exact_topk,
+        "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
