@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -42,6 +43,33 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Characters of text that a block of dealt_by_id is to hold.
+BLOCK_CHARS = 8 << 20
+
+
+def dealt_by_id(rows: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, int]:
+    """The rows with a column block, dealt by it, and the number of blocks: ranges of ids of about BLOCK_CHARS characters, rising.
+
+    Ids null are in the last block. The borders are quantiles of the ids; that list is what is collected.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = rows.agg(F.sum(F.length(text_column))).first()[0] or 0
+    blocks = max(parts, -(-chars // BLOCK_CHARS))
+    borders = rows.agg(F.percentile_approx(id_column, [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else []
+    borders = sorted(set(borders or []))
+    block = F.when(F.col(id_column).isNull(), len(borders)).otherwise(count_below(F.col(id_column), borders))
+    return rows.withColumn("block", block.cast("long")).repartition(parts, "block"), len(borders) + 1
+
+
+def count_below(value: Column, borders: list[int]) -> Column:
+    """How many of the rising borders are below the value: found among every 64th, then among 64."""
+    if not borders:
+        return F.lit(0)
+    coarse = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in borders[63::64]] or [F.lit(2**63 - 1).cast("long")]), lambda b: b < value))
+    return coarse * 64 + F.size(F.filter(F.slice(F.array(*[F.lit(b).cast("long") for b in borders]), coarse * 64 + 1, F.lit(64)), lambda b: b < value))
+
+
 # -- texts as bytes ---------------------------------------------------------------------------------------------------
 
 #: ASCII white space: what separates words.

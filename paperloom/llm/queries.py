@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprint, packing, topk, toxicity, url_filter
+from paperloom.llm import bpe, fingerprint, packing, substrings, topk, toxicity, url_filter
 from paperloom.llm.common import small_batches, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -73,6 +73,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbour_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.drop_repeats(table(spark, sf_dir, "documents"), width=20)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -84,6 +89,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_topk": op8_exact_topk,
         "op10_bpe": op10_bpe,
     }
