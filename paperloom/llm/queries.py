@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprint, packing, substrings, topk, toxicity, url_filter
+from paperloom.llm import bpe, fingerprint, near_dup, packing, substrings, topk, toxicity, url_filter
 from paperloom.llm.common import small_batches, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -64,6 +64,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -87,6 +91,7 @@ def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_toxicity": op2_toxicity,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op7_substring_dedup": op7_substring_dedup,
