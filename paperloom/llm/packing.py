@@ -22,10 +22,13 @@ INNER_STEP = 32
 #: Ids that one run of the dynamic programme covers; what follows its last sequence goes to the next run.
 HORIZON = 1 << 18
 #: A task's table of encoded units starts anew beyond so many entries.
-UNITS = 300_000
+UNITS = 600_000
+#: New units are encoded so many to a text.
+UNITS_TOGETHER = 128
 #: White space that the unit split does not know, and a space beside other white space: such texts take a slower way.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BESIDE = re.compile(rb" [\x20\x09-\x0d]|[\x09-\x0d] ")
+_BLANK = b" \t\n\r\x0b\x0c"
 _SENTENCE_END = re.compile("[.!?\u3002\uff01\uff1f][\"')\\]\u201d\u2019]*$|\n")
 #: Of this process: the encoder and the sentence ends for each path.
 _ENCODERS: dict[str, tuple] = {}
@@ -42,14 +45,29 @@ class UnitEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
         self.spaced: dict[bytes, bytes] = {}
         self.first: dict[bytes, bytes] = {}
 
-    def _learn(self, known: dict[bytes, bytes], units: set[bytes], before: str) -> None:
-        new = list(units - known.keys())
-        for u, e in zip(new, self.tokenizer.encode_batch_fast([before + u.decode() for u in new], add_special_tokens=False), strict=True):
+    def _learn(self, known: dict[bytes, bytes], units: list[bytes], before: str) -> None:
+        for u, e in zip(units, self.tokenizer.encode_batch_fast([before + u.decode() for u in units], add_special_tokens=False), strict=True):
             known[u] = np.array(e.ids, "<u4").tobytes()
 
+    def _learn_spaced(self, units: set[bytes]) -> None:
+        """Many units make one text; each unit's first id is the only one that begins with a space."""
+        alone = [u for u in units if not u or u[-1] in _BLANK or u[0] in _BLANK]
+        new = list(units.difference(alone))
+        groups = [new[i : i + UNITS_TOGETHER] for i in range(0, len(new), UNITS_TOGETHER)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([(b" " + b" ".join(g)).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.begins[ids]).tolist()
+            if len(at) != len(own) or at[0]:
+                alone += own
+                continue
+            raw = ids.tobytes()
+            self.spaced.update(zip(own, [raw[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
+        self._learn(self.spaced, alone, " ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         if len(self.spaced) + len(self.first) > UNITS:
@@ -65,8 +83,8 @@ class UnitEncoder:
                 dealt[i] = raw.split(b" ")
         for i, e in zip(hard, self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        self._learn(self.first, {x[0] for x in dealt.values()}, "")
-        self._learn(self.spaced, {u for x in dealt.values() for u in x[1:]}, " ")
+        self._learn(self.first, list({x[0] for x in dealt.values()} - self.first.keys()), "")
+        self._learn_spaced(set().union(*[x[1:] for x in dealt.values()]) - self.spaced.keys())
         spaced = self.spaced.__getitem__
         for i, x in dealt.items():
             out[i] = b"".join([self.first[x[0]], *map(spaced, x[1:])])
