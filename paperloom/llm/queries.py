@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprint, near_dup, packing, substrings, topk, toxicity, url_filter
+from paperloom.llm import bpe, fingerprint, html_text, licenses, near_dup, packing, substrings, topk, toxicity, url_filter
 from paperloom.llm.common import small_batches, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -64,6 +64,30 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"), licenses.TEMPLATES, least=0.8)
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*[x.replace("'", "''") for x in row]) for row in licenses.TEMPLATES.items())
+#: Counts the template shingles in every window, without hashes or bands.
+OP3_SQL = f"""
+WITH t(license, template) AS (VALUES {_TEMPLATE_ROWS}),
+tw AS (SELECT license, list_filter(string_split_regex(translate(template, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM t),
+ts AS (SELECT DISTINCT license, len(w) AS n_words, array_to_string(w[i:i+4], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+tn AS (SELECT license, n_words, greatest(n_words // 16, 1) AS stride, count(*) AS n FROM ts GROUP BY ALL),
+d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i+4], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d)),
+h AS (SELECT doc_id, license, n_words, p, shingle FROM ds JOIN ts USING (shingle)),
+s AS (
+  SELECT doc_id, license, shingle, unnest(range(CAST(ceil(greatest(p - h.n_words + 5, 0) / stride) AS BIGINT), p // stride + 1)) * stride AS start
+  FROM h JOIN tn USING (license)),
+c AS (SELECT doc_id, license, start, count(DISTINCT shingle) AS k FROM s GROUP BY ALL),
+m AS (SELECT c.*, tn.n_words, k / n AS containment FROM c JOIN tn USING (license) WHERE k / n >= 0.8),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) AS r FROM m)
+SELECT doc_id, license, CAST(start AS BIGINT) AS start, CAST(n_words AS BIGINT) AS n_words, round(containment, 6) AS containment FROM b WHERE r = 1
+"""
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
@@ -82,6 +106,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -91,14 +119,16 @@ def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_toxicity": op2_toxicity,
+        "op3_license_scan": op3_license_scan,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_topk": op8_exact_topk,
+        "op9_html_text": op9_html_text,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op3_license_scan": OP3_SQL, "op8_exact_topk": OP8_SQL}

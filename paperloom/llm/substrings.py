@@ -98,8 +98,8 @@ class Block:
                 yield text[sizes[k] : max(sizes[k], sizes[k + 1] - 1)], int(b - a), gaps
 
 
-def drop_repeats(documents: DataFrame, passing: tuple[str, ...] = ("doc_id",), width: int = WIDTH) -> DataFrame:
-    """The columns passing, text (kept words joined by single spaces), n_words, n_removed and removed (intervals of words) of every row.
+def drop_repeats(documents: DataFrame, passing: tuple[str, ...] = ("doc_id",), width: int = WIDTH, spacing: bool = False) -> DataFrame:
+    """The columns passing, text (kept words joined by single spaces; with spacing, texts that lose nothing stay as they are), n_words, n_removed and removed (intervals of words) of every row.
 
     A word is removed if a window of width words covers it whose words also stand earlier: in a row of a smaller doc_id,
     or in the same row from an earlier word on. Windows are judged on the input. Rows of one doc_id are in the order of
@@ -174,11 +174,14 @@ def drop_repeats(documents: DataFrame, passing: tuple[str, ...] = ("doc_id",), w
             own = order[begins[i] : begins[i + 1]]
             known[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
         found = list(block.cleaned(known))
+        cleaned = [x.decode() for x, _, _ in found]
+        if spacing:
+            cleaned = [x if gaps else was for x, (_, _, gaps), was in zip(cleaned, found, texts.column("text").to_pylist(), strict=True)]
         columns = {c: texts.column(c) for c in ("doc_id", *names)}
         return pa.table(
             {
                 **columns,
-                "text": pa.array([x.decode() for x, _, _ in found], pa.string()),
+                "text": pa.array(cleaned, pa.string()),
                 "n_words": pa.array([n for _, n, _ in found], pa.int64()),
                 "n_removed": pa.array([sum(b - a for a, b in gaps) for _, _, gaps in found], pa.int64()),
                 "removed": pa.array([gaps for _, _, gaps in found], pa.list_(pa.list_(pa.int64()))),
