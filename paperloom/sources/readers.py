@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from paperloom.functions import text as T
 
-FEED = S.StructType.fromDDL("id string, title string, summary string, published string, updated string, author array<struct<name:string>>, category array<struct<_term:string>>")
+FEED = "id string, title string, summary string, published string, updated string, author array<struct<name:string>>, category array<struct<_term:string>>"
 
 
 def atom_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +24,7 @@ def atom_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-WORK = S.StructType.fromDDL(
+WORK = (
     "id string, doi string, display_name string, publication_date string, abstract_inverted_index map<string,array<int>>, authorships array<struct<author:struct<display_name:string>>>, "
     "primary_topic struct<display_name:string>, topics array<struct<display_name:string>>, primary_location struct<pdf_url:string>, best_oa_location struct<pdf_url:string>"
 )
@@ -44,9 +43,9 @@ def works(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pdf_files(spark: SparkSession, path: str, most_bytes: int = 25 << 20) -> DataFrame:
-    """path, length, content and problem (null, empty, too large, no PDF) of files."""
+    """path, length, content and problem (null, too large, no PDF) of files; Spark leaves out empty ones."""
     rows = spark.read.format("binaryFile").load(path)
-    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF")
+    problem = F.when(F.col("length") > most_bytes, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF")
     return rows.select("path", "length", "content", problem.alias("problem"))
 
 
