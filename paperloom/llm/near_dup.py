@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,13 @@ from paperloom.llm.common import batches, mix, saved, shingle_hashes, small_batc
 #: a probability of 0.87, and of its fourth level with one of over 0.6: in 12 trees it is missed once in 100,000 times.
 TOKENS, TREES = 64, 12
 #: Trees whose nodes are compared with one row of theirs each, before the rest is searched.
-STAR_TREES = 2
-#: A node is compared exhaustively once at most so many of its rows are outside of its largest class.
+STAR_TREES = 1
+#: A node is small once at most so many of its rows are outside of its largest class.
 SMALL = 8
-#: Levels of branching; what is then still in large nodes is compared exhaustively whatever its size.
-LEVELS = 24
+#: Levels of branching. What is then still in large nodes is alike throughout; it is compared exhaustively, in blocks.
+LEVELS = 3
+#: Rows of a block of an exhaustive comparison, and shingles of one matrix product.
+BLOCK, SHINGLES = 512, 4096
 #: Lists of ids up to this length are broadcast, longer ones are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Nodes that hold over this share of all rows are fewer than its inverse; they are joined by broadcast, so that no task gets all rows of one.
@@ -133,17 +136,76 @@ def pairs_of(rows: DataFrame, nodes: DataFrame, total: int, percent: int) -> Dat
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
+def sets_of(ids: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """rep and the shingle set of each of the ids (rep)."""
+    ids = ids.select(F.col("rep").alias("doc_id"))
+    return saved(shingles_of(with_ids(documents.select("doc_id", "text"), ids, "doc_id"), words).withColumnRenamed("doc_id", "rep"))
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # of rows of one doc_id, any row may have been the set's: all their sets are kept
-    sets = saved(shingles_of(with_ids(documents.select("doc_id", "text"), ids, "doc_id"), words))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
+    """The pairs whose full sets have 100 * intersection >= percent * union. Of an id's several texts each has its set."""
+    sets = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), documents, words)
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     return pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("s") + F.size("t") - both) * percent).select("a", "b")
 
 
+def linked(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) that say which rows (rep, cls, shingles) of different classes are connected by pairs at the threshold, all pairs compared."""
+    reps, cls = table.column("rep").to_numpy(), table.column("cls").to_numpy()
+    column = table.column("shingles").combine_chunks()
+    flat = column.flatten().to_numpy()
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(reps)), sizes)
+    _, of, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts >= 2
+    place = np.cumsum(shared) - 1
+    owner, of = owner[shared[of]], place[of[shared[of]]]
+    order = np.argsort(of, kind="stable")
+    owner, of = owner[order], of[order]
+    both = np.zeros((len(reps), len(reps)), np.float32)
+    for v in range(0, int(shared.sum()), SHINGLES):
+        i, j = np.searchsorted(of, (v, v + SHINGLES))
+        part = np.zeros((len(reps), min(SHINGLES, int(shared.sum()) - v)), np.float32)
+        part[owner[i:j], of[i:j] - v] = 1
+        both += part @ part.T
+    hit = (both * 100 >= (sizes[:, None] + sizes[None, :] - both) * percent) & (cls[:, None] != cls[None, :]) & (sizes[:, None] > 0)
+    x, y = np.nonzero(np.triu(hit, 1))
+    labels = np.arange(len(reps))
+    while len(x):
+        least = labels.copy()
+        np.minimum.at(least, x, labels[y])
+        np.minimum.at(least, y, labels[x])
+        least = least[least]
+        if (least == labels).all():
+            break
+        labels = least
+    moved = np.flatnonzero(labels != np.arange(len(reps)))
+    return pa.table({"a": pa.array(reps[labels[moved]], pa.int64()), "b": pa.array(reps[moved], pa.int64())})
+
+
+def compared(members: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the members (node, rep, cls) of each node, all pairs of different classes compared on full sets, in blocks of about BLOCK rows.
+
+    If a node's largest class is over a block, its members meet the others' blocks only, so a large group of one class
+    costs no more than its rows times the others' blocks. A task holds two blocks, whatever a node's size.
+    """
+    total = members.count()
+    by_class = members.groupBy("node", "cls").agg(F.count("*").alias("own"))
+    nodes = by_class.groupBy("node").agg(F.sum("own").alias("n_rows"), F.max_by("cls", F.struct("own", "cls")).alias("main"), F.max("own").alias("most"))
+    large = F.when(F.col("most") > BLOCK, F.col("most")).otherwise(0)
+    nodes = nodes.select("node", "n_rows", "main", F.ceil(large / BLOCK).cast("int").alias("n_large"), F.greatest(F.ceil((F.col("n_rows") - large) / BLOCK), F.lit(1)).cast("int").alias("n_rest"))
+    rows = attached(members, saved(nodes), total)
+    is_large = (F.col("cls") == F.col("main")) & (F.col("n_large") > 0)
+    rest, beyond = F.sequence(F.lit(0), F.col("n_rest") - 1), F.when(F.col("n_large") > 0, F.sequence(F.col("n_rest"), F.col("n_rest") + F.greatest("n_large", F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    at = F.when(is_large, F.col("n_rest") + F.pmod(F.xxhash64("rep"), F.greatest("n_large", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), "n_rest")).cast("int")
+    meets = F.explode(F.when(is_large, rest).otherwise(F.concat(rest, beyond)))
+    dealt = rows.withColumn("at", at).withColumn("with", meets).select("node", F.least("at", "with").alias("low"), F.greatest("at", "with").alias("high"), "rep", "cls")
+    sets = sets_of(members.select("rep").distinct(), documents, words)
+    return dealt.join(sets, "rep").groupBy("node", "low", "high").applyInArrow(lambda t: linked(t, percent), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc_id and label, the least id that it reaches, of every id in links (a, b). Least neighbours and pointer jumping, until nothing changes.
 
@@ -172,9 +234,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, tre
 
     Rows of equal sets are one representative. In each of the trees every node of representatives branches by minwise
     tokens that it chooses. First, in STAR_TREES trees, each node's rows are compared with one of them; links make
-    classes, which take dense groups to one class each. Then in all trees nodes of one class end; nodes with at most
-    SMALL rows outside of their largest class compare those with all others; the rest branch on. A comparison is of full
-    sets; only pairs whose sizes or token bits rule the threshold out are left out before. Missed links: see TREES.
+    classes, which take dense groups to few classes each. Then, in all trees, nodes of one class end; in nodes with at
+    most SMALL rows outside of their largest class those are candidates with all others; the rest branch on, and at the
+    last level all rows of a node are candidates. What candidates connect is one group, whose rows of different classes
+    are all compared on their full sets, once for all trees. Missed links: see TREES.
     """
     spark = documents.sparkSession
     sets = saved(sketched(documents, words))
@@ -201,25 +264,30 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, tre
     roots = reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("cls", F.coalesce("label", "rep"))
     roots = saved(roots.select("rep", "n", "cls", "bits", "tokens"))
     live, parent = roots.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))), F.col("tree")
-    total, wanted = reps.count() * trees, []
+    total, near = reps.count() * trees, []
     for level in range(1, LEVELS + 1):
         rows = branched(live, level, parent, percent).select("node", "rep", "n", "cls", "bits")
         mixed = rows.groupBy("node").agg(F.count("*").alias("n_rows"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("node", "n_rows")
         rows = saved(attached(rows, saved(mixed), total))
         by_class = rows.groupBy("node", "cls").agg(F.count("*").alias("own"))
-        largest = by_class.groupBy("node").agg(F.sum("own").alias("n_rows"), F.max_by("cls", F.struct("own", "cls")).alias("main"), (F.sum("own") - F.max("own")).alias("others"))
-        largest = saved(largest)
-        easy = largest if level == LEVELS else largest.filter(F.col("others") <= SMALL)
+        largest = saved(by_class.groupBy("node").agg(F.sum("own").alias("n_rows"), F.max_by("cls", F.struct("own", "cls")).alias("main"), (F.sum("own") - F.max("own")).alias("others")))
+        easy = largest.filter(F.col("others") <= SMALL)
         outside = attached(rows, easy.select("node", "n_rows", "main"), total).filter(F.col("cls") != F.col("main"))
         partners = outside.groupBy("node").agg(F.collect_list(_member()).alias("partners")).join(easy.select("node", "n_rows"), "node")
-        wanted.append(saved(pairs_of(rows, saved(partners), total, percent)))
-        hard = largest.filter(F.col("others") > SMALL).select("node", "n_rows")
-        if level == LEVELS or not hard.limit(1).count():
+        near.append(saved(pairs_of(rows, saved(partners), total, percent)))
+        hard = largest.filter(F.col("others") > SMALL)
+        if level == LEVELS:
+            dense = attached(rows, hard.select("node", "n_rows"), total)
+            first = dense.groupBy("node").agg(F.count("*").alias("n_rows"), F.min("rep").alias("first"))
+            near.append(saved(attached(dense, first, total).filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()))
+        elif hard.limit(1).count():
+            live = saved(attached(rows, hard.select("node", "n_rows"), total)).join(roots.select("rep", "tokens"), "rep")
+            parent = F.col("node")
+        else:
             break
-        live = saved(attached(rows, hard, total)).join(roots.select("rep", "tokens"), "rep")
-        parent = F.col("node")
-    pairs = reduce(DataFrame.unionByName, wanted).distinct()
-    found.append(saved(confirmed(saved(pairs), documents, words, percent)))
+    groups = components(reduce(DataFrame.unionByName, near).distinct()).select(F.col("label").alias("node"), F.col("doc_id").alias("rep"))
+    members = saved(groups.join(roots.select("rep", "cls"), "rep").select("node", "rep", "cls"))
+    found.append(saved(compared(members, documents, words, percent)))
 
     least = reps.join(classes().withColumnRenamed("doc_id", "rep"), "rep", "left").select(F.col("n").alias("n_shingles"), "d1", "d2", F.coalesce("label", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "d1", "d2").join(saved(least), ["n_shingles", "d1", "d2"], "left")
