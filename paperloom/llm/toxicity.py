@@ -17,11 +17,9 @@ GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 #: Words of a window; a text is as toxic as its most toxic window, so that a long text does not thin out one insult.
-WINDOW = 12
+WINDOW = 4
 #: At most so many labelled texts of each class are learnt from, taken in the order of a hash of their ids.
-SAMPLE_PER_CLASS = 2500
-#: At most so many bytes of a sampled text are learnt from. Scoring always reads whole texts.
-SAMPLE_BYTES = 20_000
+SAMPLE_PER_CLASS = 1000
 
 #: Bytes to symbols: ASCII letters in lower case; white space and marks that end a word are the border, 0.
 SYMBOL = np.arange(256, dtype=np.uint64)
@@ -104,7 +102,7 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     weights: of labels 0 and 1, which bring a sample back to the classes' true shares.
     """
     rng = np.random.default_rng(seed)
-    data, offsets = text_bytes(pa.array([x.encode()[:SAMPLE_BYTES].decode(errors="ignore") for x in texts]))
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
     # distinct words: the buckets of each, as one list with offsets
     index: dict[bytes, int] = {}
     bags: list[np.ndarray] = []
@@ -181,7 +179,7 @@ def fit(documents: DataFrame, labels: DataFrame, keep=None, per_class: int = SAM
     texts, marks = [], []
     for mark in (0, 1):
         picked = known.filter(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
-        found = documents.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
+        found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
         texts += [r["text"] or "" for r in found]
         marks += [mark] * len(found)
     got = [max(1, marks.count(m)) for m in (0, 1)]
