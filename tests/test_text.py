@@ -15,7 +15,7 @@ def value(spark, column):
 @pytest.mark.parametrize(
     ("rule", "given", "wanted"),
     [
-        (T.clean_page_text, " a\t b <EOS>\n \n\n c , d ! ", "a b\n\n c, d!"),
+        (T.clean_page_text, " a\t b <EOS>\n \n\n c , d ! ", "a b \n\n c, d!"),
         (T.clean_chunk_text, None, ""),
         (T.title_key, "Research  Paper: On Cats.PDF", "on cats"),
         (T.title_key, "My Research Paper.pdf", "my"),
