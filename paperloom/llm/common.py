@@ -47,19 +47,33 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 BLOCK_CHARS = 8 << 20
 
 
+#: Borders of blocks that are collected and compared with ids; beyond so many, ranges between two borders are cut evenly.
+BORDERS = 1024
+
+
 def dealt_by_id(rows: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, int]:
     """The rows with a column block, dealt by it, and the number of blocks: ranges of ids of about BLOCK_CHARS characters, rising.
 
-    Ids null are in the last block. The borders are quantiles of the ids; that list is what is collected.
+    Rows without an id are in the last block. The borders are at most BORDERS quantiles of the ids, which are collected;
+    where more blocks are needed, each range between two borders is cut into equal parts.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = rows.agg(F.sum(F.length(text_column))).first()[0] or 0
     blocks = max(parts, -(-chars // BLOCK_CHARS))
-    borders = rows.agg(F.percentile_approx(id_column, [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else []
-    borders = sorted(set(borders or []))
-    block = F.when(F.col(id_column).isNull(), len(borders)).otherwise(count_below(F.col(id_column), borders))
-    return rows.withColumn("block", block.cast("long")).repartition(parts, "block"), len(borders) + 1
+    coarse = min(blocks, BORDERS)
+    facts = rows.agg(F.percentile_approx(id_column, [i / coarse for i in range(1, max(coarse, 2))], 20 * coarse).alias("at"), F.min(id_column).alias("low"), F.max(id_column).alias("high")).first()
+    borders = sorted(set(facts["at"] or [])) if coarse > 1 else []
+    fine = -(-blocks // coarse)
+    block = count_below(F.col(id_column), borders)
+    if fine > 1 and facts["low"] is not None:
+        edges = [facts["low"] - 1, *borders, max(facts["high"], *borders)]
+        of = lambda values: F.element_at(F.array(*[F.lit(v).cast("double") for v in values]), block + 1)
+        low, high = of(edges[:-1]), of(edges[1:])
+        share = (F.col(id_column) - low) / F.greatest(high - low, F.lit(1.0))
+        block = block * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.ceil(share * fine) - 1))
+    count = (len(borders) + 1) * fine
+    return rows.withColumn("block", F.when(F.col(id_column).isNull(), count - 1).otherwise(block).cast("long")).repartition(parts, "block"), count
 
 
 def count_below(value: Column, borders: list[int]) -> Column:

@@ -165,3 +165,16 @@ def test_top_k_against_brute_force(rows, monkeypatch):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert got == want
     assert topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_blocks_of_ids_rise_with_them(spark, rows, monkeypatch):
+    from paperloom.llm import common
+
+    monkeypatch.setattr(common, "BORDERS", 3)
+    monkeypatch.setattr(common, "BLOCK_CHARS", 10)
+    df = rows("doc_id long, text string", *[(i * i, "x" * 10) for i in range(40)], (None, "y"), (-5, None))
+    dealt, count = common.dealt_by_id(df, "doc_id", "text")
+    got = [(r.doc_id, r.block) for r in dealt.collect()]
+    ordered = [b for _, b in sorted((x for x in got if x[0] is not None))]
+    assert ordered == sorted(ordered) and len(set(ordered)) > 15 and max(ordered) < count
+    assert [b for i, b in got if i is None] == [count - 1]
