@@ -73,8 +73,11 @@ def ingest_status(new: DataFrame, known: DataFrame) -> DataFrame:
     judged = new.withColumn("reason", reason)
     columns = ["id", "doi", "arxiv_id", "source", "source_id", "title", "full_text"]
     good = judged.filter(F.col("reason").isNull()).select(*columns)
-    hits = dedup.cascade(good, known.select(*columns).unionByName(good)).filter("existing_id < id")
-    rows = judged.select("id", "reason").join(hits, "id", "left")
+    old = dedup.cascade(good, known.select(*columns))
+    # both sides normalised: a row is in its own key's group, so another least id is a smaller one
+    twin = dedup.cascade(good, good, normalize_both=True).select("id", F.col("signal").alias("twin_signal"), F.col("existing_id").alias("twin_id"))
+    rows = judged.select("id", "reason").join(old, "id", "left").join(twin, "id", "left")
+    rows = rows.select("id", "reason", F.coalesce("signal", "twin_signal").alias("signal"), F.coalesce("existing_id", "twin_id").alias("existing_id"))
     status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("signal").isNotNull(), "duplicate").otherwise("created")
     return rows.select("id", status.alias("status"), F.coalesce("reason", "signal").alias("reason"), "existing_id")
 

@@ -277,7 +277,7 @@ def neighbor_expand(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_EXPANDED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY paper_id, chunk_id) AS i FROM n QUALIFY i <= 12)
-SELECT query_id, count(*) AS n_sources, sha256(string_agg('[SOURCE ' || i || ']' || chr(10) || 'Paper: ' || paper_id || chr(10) || 'Page: 1' || chr(10) || CASE WHEN is_neighbor THEN 'Similarity: neighbor' ELSE 'Similarity: ' || printf('%.4f', similarity) END || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS context_sha
+SELECT query_id, count(*) AS n_sources, sha256(string_agg('[SOURCE ' || i || ']' || chr(10) || 'Paper: ' || paper_id || chr(10) || 'Page: 1' || chr(10) || CASE WHEN is_neighbor THEN 'Similarity: neighbor' ELSE 'Similarity: ' || printf('%.4f', round(similarity, 4)) END || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS context_sha
 FROM k JOIN chunks USING (paper_id, chunk_id) GROUP BY query_id""")
 def rag_context(spark, d):
     chunks = X.text_chunks(spark, d)
@@ -398,19 +398,53 @@ def summary_parse(spark, d):
 # -- quality ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+_PARAGRAPHS = r"list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n+'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> '')"
+_ENTRY = rf"regexp_matches(x, '\b(?:19|20)\d{{2}}\b') AND regexp_matches(x, '^([A-Z][.\s]|[A-Z][a-z]|\()') AND (regexp_matches(x, '{Q.VENUE}') OR regexp_matches(x, 'et\s+al|,\s*[A-Z]|and\s+[A-Z]'))"
+_HEAD = r"(?:^|\n)\s*(?:References|Bibliography|WORKS?\s+CITED)\s*(?:\n|$)"
+_CHECKS = rf"""{X.PAPERS}, m AS (SELECT *, {X.MARKED.format(t="full_text", n="id")} AS t FROM papers),
+p AS (SELECT *, {_PARAGRAPHS} AS ps, {WORDS.format("t")} AS ws, regexp_matches(t, '(?i){_HEAD}') AS has, regexp_replace(t, '(?is)^.*?{_HEAD}', '') AS tail FROM m),
+q AS (SELECT *, list_transform(list_filter(ps, lambda x: len({WORDS.format("x")}) >= 20), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS l,
+  list_transform(regexp_extract_all(tail, '\[(\d{{1,9}})\]', 1), lambda x: CAST(x AS BIGINT)) AS nums, len(list_filter(list_transform(string_split(tail, chr(10)), lambda x: trim(x)), lambda x: {_ENTRY})) AS entries,
+  len(regexp_extract_all(tail, '(?m)^\d+\.\s+')) AS numbered FROM p),
+n AS (SELECT id, t, n_pages, len(ws) AS words, length(t) AS chars, has, trim(coalesce(title, '')) <> '' AS has_title, trim(coalesce(authors, '')) <> '' AS has_authors, trim(coalesce(abstract, ''), ' ' || chr(10)) <> '' AS has_abstract,
+  (trim(coalesce(title, '')) <> '')::INT + (trim(coalesce(authors, '')) <> '')::INT + (trim(coalesce(abstract, ''), ' ' || chr(10)) <> '')::INT + (coalesce(doi, '') <> '')::INT + (coalesce(source, '') <> '')::INT + (published_date IS NOT NULL)::INT + (pdf_url IS NOT NULL)::INT AS metadata,
+  {" + ".join(f"regexp_matches(t, '(?i){p}')::INT" for p in L.SECTIONS.values())} AS sections,
+  CASE WHEN NOT has THEN 0 WHEN len(nums) > 0 THEN list_max(nums) WHEN entries > 0 THEN entries ELSE numbered END AS refs,
+  len(regexp_extract_all(t, '\[\d+(?:[-–,]\d+)*\]')) + len(regexp_extract_all(t, '{Q.AUTHOR_YEAR}')) AS cites,
+  len(list_distinct(regexp_extract_all(t, '(?i)(?:Fig(?:ure|\.?)|Diagram|Graph|Plot)\s*(\d+)', 1))) + len(list_distinct(regexp_extract_all(t, '(?i)(?:Table|Tab\.?)\s*(\d+)', 1))) AS figures,
+  len(l) - len(list_distinct(l)) AS repeated,
+  regexp_matches(t, '\n{{5,}}')::INT + (len(list_filter(ps, lambda x: len({WORDS.format("x")}) > 800)) > 0)::INT + regexp_matches(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]')::INT
+  + (len(list_filter(ws, lambda w: length(w) > 1 AND w = upper(w) AND w <> lower(w))) / greatest(len(ws), 1) > 0.3)::INT AS structure FROM q),
+r AS (SELECT *, CASE WHEN has AND cites > 0 AND refs > 0 THEN cites / refs END AS ratio FROM n),
+c AS (SELECT id, unnest([
+  {{'k': 'pdf_readable', 's': CASE WHEN n_pages IS NULL THEN 'not_applicable' WHEN n_pages > 0 THEN 'pass' ELSE 'fail' END, 'v': CAST(n_pages AS DOUBLE)}},
+  {{'k': 'text_extracted', 's': CASE WHEN words > 0 THEN 'pass' ELSE 'fail' END, 'v': CAST(chars AS DOUBLE)}},
+  {{'k': 'ocr_required', 's': CASE WHEN coalesce(n_pages, 0) = 0 THEN 'not_applicable' WHEN chars / n_pages >= 100 THEN 'pass' ELSE 'warning' END, 'v': CASE WHEN n_pages > 0 THEN chars / n_pages END}},
+  {{'k': 'metadata_completeness', 's': CASE WHEN metadata = 7 THEN 'pass' WHEN metadata >= 4 THEN 'warning' ELSE 'fail' END, 'v': CAST(metadata AS DOUBLE)}},
+  {{'k': 'title_present', 's': CASE WHEN has_title THEN 'pass' ELSE 'fail' END, 'v': CAST(has_title::INT AS DOUBLE)}},
+  {{'k': 'authors_present', 's': CASE WHEN has_authors THEN 'pass' ELSE 'fail' END, 'v': CAST(has_authors::INT AS DOUBLE)}},
+  {{'k': 'abstract_present', 's': CASE WHEN has_abstract THEN 'pass' ELSE 'fail' END, 'v': CAST(has_abstract::INT AS DOUBLE)}},
+  {{'k': 'research_sections', 's': CASE WHEN sections >= 3 THEN 'pass' WHEN sections >= 1 THEN 'warning' ELSE 'fail' END, 'v': CAST(sections AS DOUBLE)}},
+  {{'k': 'references_present', 's': CASE WHEN has THEN 'pass' ELSE 'warning' END, 'v': CAST(refs AS DOUBLE)}},
+  {{'k': 'in_text_citations', 's': CASE WHEN cites > 0 THEN 'pass' ELSE 'warning' END, 'v': CAST(cites AS DOUBLE)}},
+  {{'k': 'citation_consistency', 's': CASE WHEN ratio IS NULL THEN 'not_measured' WHEN ratio BETWEEN 0.3 AND 10 THEN 'pass' ELSE 'warning' END, 'v': CAST(ratio AS DOUBLE)}},
+  {{'k': 'figures_tables', 's': CASE WHEN figures > 0 THEN 'pass' ELSE 'warning' END, 'v': CAST(figures AS DOUBLE)}},
+  {{'k': 'empty_short_pages', 's': CASE WHEN coalesce(n_pages, 0) = 0 THEN 'not_applicable' WHEN words / n_pages >= 50 THEN 'pass' ELSE 'warning' END, 'v': CAST(words AS DOUBLE)}},
+  {{'k': 'duplicate_text', 's': CASE WHEN repeated = 0 THEN 'pass' ELSE 'warning' END, 'v': CAST(repeated AS DOUBLE)}},
+  {{'k': 'structural_issues', 's': CASE WHEN structure = 0 THEN 'pass' ELSE 'warning' END, 'v': CAST(structure AS DOUBLE)}}]) AS x FROM r)"""
+
+
+@query(f"WITH {_CHECKS} SELECT id, x.k AS \"check\", x.s AS status, round(x.v, 4) AS value FROM c")
 def quality_checks_long(spark, d):
     return Q.checks(X.marked_papers(spark, d))
 
 
-@query()
+@query(f"""WITH {_CHECKS}, v AS (SELECT id, count(*) FILTER (x.s = 'fail') AS n_fail, count(*) FILTER (x.s = 'warning') AS n_warning FROM c GROUP BY id)
+SELECT *, CASE WHEN n_fail > 0 THEN 'fail' WHEN n_warning > 0 THEN 'warning' ELSE 'pass' END AS verdict FROM v""")
 def quality_verdicts(spark, d):
     return Q.verdicts(Q.checks(X.marked_papers(spark, d)))
 
 
-_PARAGRAPHS = r"list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n+'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> '')"
-
-
 @query(rf"""WITH {X.PAPERS}, m AS (SELECT id, title, authors, abstract, doi, source, published_date, pdf_url, {X.MARKED.format(t="full_text", n="id")} AS t FROM papers),
 p AS (SELECT *, list_transform(list_filter({_PARAGRAPHS}, lambda p: len({WORDS.format("p")}) >= 20), lambda p: lower(regexp_replace(p, '\s+', ' ', 'g'))) AS l FROM m)
 SELECT id, len({WORDS.format("t")}) AS words,
@@ -549,7 +583,8 @@ def rag_eval_score(spark, d):
     return rows.agg(F.count("*").alias("n"), F.round(100 * F.avg(F.arrays_overlap("k", "t").cast("double")), 4).alias("score"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, {X.TOKENS.format("text")} AS t FROM documents)
+SELECT doc_id, len(t) AS n_tokens, CASE WHEN len(t) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM t""".replace("1.0 ELSE 0.0 END", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"))
 def embed_model(spark, d):
     rows = R.embedded(table(spark, d, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
