@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +16,35 @@ PERMANENT = ["validation", "corrupted", "not_found", "permission", "unauthorized
 def rate_limited(requests: DataFrame, key: str, time: str, order: str, limit: int = 30, seconds: int = 60) -> DataFrame:
     """key, n_requests, n_rejected, n_windows: a counter per key that starts anew at the first request `seconds` or more after its last start.
 
-    A key's rows are folded in the order of (time, order): the state is one time and three counts. Only times are
-    gathered per key. (The streaming form keeps the same state without gathering.)
+    Rows are dealt by key and sorted by (key, time, order); a task reads them batch by batch and keeps one key's start,
+    use and counts, so a key's rows are never gathered. Rows without a key are left out.
     """
-    times = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("o")))).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).alias("used"), F.lit(0).alias("rejected"), F.lit(0).alias("windows"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["since"].isNull() | (x["t"] - s["since"] >= seconds * 1_000_000)
-        used = F.when(fresh, 0).otherwise(s["used"])
-        over = used >= limit
-        return F.struct(
-            F.when(fresh, x["t"]).otherwise(s["since"]).alias("since"), F.when(over, used).otherwise(used + 1).alias("used"),
-            (s["rejected"] + over.cast("int")).alias("rejected"), (s["windows"] + fresh.cast("int")).alias("windows"),
-        )
-
-    folded = times.select(key, F.size("ts").cast("long").alias("n_requests"), F.aggregate("ts", start, step).alias("s"))
-    return folded.select(key, "n_requests", F.col("s.rejected").cast("long").alias("n_rejected"), F.col("s.windows").cast("long").alias("n_windows"))
+    schema = f"{key} {dict(requests.dtypes)[key]}, n_requests long, n_rejected long, n_windows long"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, since, used, counts = None, 0, 0, [0, 0, 0]
+        for batch in batches:
+            done = []
+            for name, own in batch.groupby("k", sort=False):
+                if name != held:
+                    done += [(held, *counts)] if counts[0] else []
+                    held, since, used, counts = name, None, 0, [0, 0, 0]
+                t, i = own["t"].to_numpy(), 0
+                counts[0] += len(t)
+                while i < len(t):
+                    if since is None or t[i] - since >= seconds * 1_000_000:
+                        since, used = t[i], 0
+                        counts[2] += 1
+                    j = int(np.searchsorted(t, since + seconds * 1_000_000))
+                    allowed = min(j - i, limit - used)
+                    used += allowed
+                    counts[1] += j - i - allowed
+                    i = j
+            yield pd.DataFrame(done, columns=[key, "n_requests", "n_rejected", "n_windows"])
+        yield pd.DataFrame([(held, *counts)] if counts[0] else [], columns=[key, "n_requests", "n_rejected", "n_windows"])
+
+    rows = requests.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("o"))
+    return rows.repartition("k").sortWithinPartitions("k", "t", "o").select("k", "t").mapInPandas(fold, schema)
 
 
 def client_of(forwarded: Column, host: Column) -> Column:
