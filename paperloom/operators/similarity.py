@@ -7,6 +7,7 @@ leave it. A block's size is bounded, whatever a paper's or the corpus's number o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of vectors.
 BLOCK = 1024
+#: Queries of a search that one pass over the chunks serves; their vectors are what is broadcast.
+QUERY_BLOCK = 4096
+#: Similarities held at once by a task of a search.
+CELLS = 1 << 22
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -28,28 +33,53 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding") -> DataFrame:
     """query_id, rank, paper_id, chunk_id, distance of each query's k nearest chunks by cosine distance (to nine places); ties by (paper_id, chunk_id).
 
-    queries (query_id, query) are a bounded list that is collected; each batch of chunks is one matrix product and
-    sends on what reaches its k nearest only.
+    queries (query_id, query) may be many: they are taken in blocks of about QUERY_BLOCK, and only a block is collected
+    and broadcast at once. A task keeps each query's kth distance so far and sends on what reaches it, of each part of a
+    batch the first k only, so that a vector with many copies makes no more rows than another.
     """
-    asked = queries.orderBy("query_id").collect()
+    wanted = queries.filter(F.col("query").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+    count = max(1, -(-wanted.count() // QUERY_BLOCK))
+    bucket = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    rows = chunks.filter(F.col(vector).isNotNull()).select(F.col("paper_id").cast("long").alias("paper_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
+    scored = reduce(DataFrame.unionByName, [_near(rows, wanted.filter(bucket == b).orderBy("query_id").collect(), k) for b in range(count)])
+    order = Window.partitionBy("query_id").orderBy("distance", "paper_id", "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _near(rows: DataFrame, asked: list, k: int) -> DataFrame:
+    """query_id, paper_id, chunk_id, distance: a superset of the k nearest rows of each query of one block."""
     ids, q = np.array([r["query_id"] for r in asked], np.int64), np.array([r["query"] for r in asked], float).reshape(len(asked), -1)
     n = np.linalg.norm(q, axis=1, keepdims=True)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, q / np.where(n > 0, n, 1)))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, q / np.where(n > 0, n, 1)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        best = np.full((len(ids), k), np.inf)  # of each query the k least distances so far
+        step = max(1, CELLS // max(1, len(ids)))
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            d = np.round(1 - q @ matrix(batch.column("v")).T, 9)
-            most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
-            i, j = np.nonzero(d <= most)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), batch.column("paper_id").take(pa.array(j)), batch.column("chunk_id").take(pa.array(j)), pa.array(d[i, j])], names=["query_id", "paper_id", "chunk_id", "distance"])
-
-    rows = chunks.filter(F.col(vector).isNotNull()).select(F.col("paper_id").cast("long").alias("paper_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
-    scored = rows.mapInArrow(near, "query_id long, paper_id long, chunk_id long, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "paper_id", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            vectors, paper, chunk = matrix(batch.column("v")), np.asarray(batch.column("paper_id")), np.asarray(batch.column("chunk_id"))
+            finite = np.isfinite(vectors).all(axis=1)
+            vectors, paper, chunk = vectors[finite], paper[finite], chunk[finite]
+            for at in range(0, len(vectors), step):
+                sims = q @ vectors[at : at + step].T
+                edge = 1 - best.max(axis=1)
+                if sims.shape[1] > k and np.isinf(edge).any():
+                    edge = np.maximum(edge, np.partition(sims, -k, axis=1)[:, -k])
+                i, j = np.nonzero(sims >= edge[:, None] - 2e-9)
+                d, j = np.round(1 - sims[i, j], 9), j + at
+                order = np.lexsort((chunk[j], paper[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                first = place < k
+                i, j, d, place = i[first], j[first], d[first], place[first]
+                new = np.full_like(best, np.inf)
+                new[i, place] = d
+                best = np.partition(np.concatenate([best, new], axis=1), k - 1, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(paper[j]), pa.array(chunk[j]), pa.array(d)], names=["query_id", "paper_id", "chunk_id", "distance"])
+
+    return rows.mapInArrow(near, "query_id long, paper_id long, chunk_id long, distance double")
 
 
 def blocks(chunks: DataFrame, vector: str = "embedding") -> DataFrame:

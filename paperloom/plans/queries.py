@@ -177,7 +177,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9)
 SELECT query_id, CAST(r AS INTEGER) AS rank, paper_id, chunk_id, round(dist, 6) AS distance FROM r WHERE r <= 10""")
 def multi_query_topk(spark, d):
     rows = vector_chunks(spark, d)
-    asked = rows.filter("chunk_id < 16").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
     return S.top_k(rows, asked, 10).withColumn("distance", F.round(F.abs("distance"), 6))
 
 
@@ -186,7 +186,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9)
 SELECT query_id, CAST(r AS INTEGER) AS rank, paper_id, chunk_id, round(sim, 6) AS similarity FROM r WHERE r <= 10""")
 def near_dup_vectors(spark, d):
     rows = vector_chunks(spark, d)
-    asked = rows.filter("chunk_id < 50").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
     return S.near_vectors(rows, asked, least=0.3).drop("distance")
 
 
@@ -247,9 +247,9 @@ _QUESTIONS = f"qt AS (SELECT item_id AS query_id, array_to_string(({WORDS.format
 @query(f"""WITH {_QUESTIONS}, t AS (SELECT doc_id, {X.TOKENS.format("text")} AS t FROM documents)
 SELECT query_id, doc_id, round({_SCORE.format(t="t", q="asked", k=phrases(CORPUS_KEYWORDS))}, 6) AS score FROM t, q WHERE query_id < 5""")
 def keyword_scores(spark, d):
-    asked = questions(spark, d).filter("query_id < 5").select("query_id", F.col("tokens").alias("asked"))
+    asked = questions(spark, d).select("query_id", F.col("tokens").alias("asked"))
     docs = table(spark, d, "documents").select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("t"))
-    return docs.crossJoin(F.broadcast(asked)).select("query_id", "doc_id", F.round(T.keyword_score(F.col("t"), F.col("asked"), CORPUS_KEYWORDS), 6).alias("score"))
+    return docs.crossJoin(asked).select("query_id", "doc_id", F.round(T.keyword_score(F.col("t"), F.col("asked"), CORPUS_KEYWORDS), 6).alias("score"))
 
 
 _HITS = f"""{X.CHUNKS}, {_QUESTIONS},

@@ -217,3 +217,16 @@ def test_incremental_ingest(spark, rows, tmp_path):
         streams.ingest(source, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(90)
         rows("doc_id long, text string", (9, "b"), (10, "c")).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 10]
+
+
+def test_top_k_of_many_queries_in_blocks(rows, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(similarity, "CELLS", 24)
+    data = [(n % 3, n, [float((n * 7 + k * 5 + n * k) % 11 - 5) for k in range(4)]) for n in range(30)] + [(1, n, [1.0, 2.0, 0.0, 1.0]) for n in range(30, 60)]
+    df = rows("paper_id long, chunk_id long, embedding array<float>", *data, (9, 99, None))
+    asked = df.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    norm = lambda a: sum(x * x for x in a) ** 0.5 or 1.0
+    far = lambda a, b: round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b), 9) + 0.0
+    want = {(c, n): x[1:] for _, c, v in data for n, x in enumerate(sorted((far(v, w), p, i) for p, i, w in data)[:5], 1)}
+    found = similarity.top_k(df, asked, 5)
+    assert {(r.query_id, r.rank): (r.paper_id, r.chunk_id) for r in found.collect()} == want

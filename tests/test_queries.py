@@ -25,3 +25,23 @@ def test_query_agrees_with_its_sql(spark, name):
 
 def test_every_query_has_sql_or_is_tested_otherwise():
     assert set(queries.QUERIES) - set(queries.SQL) == {"ingest_status"}
+
+
+@pytest.mark.skipif(not os.path.isdir(AT), reason="no test tables")
+@pytest.mark.parametrize(("name", "asks", "key"), [("multi_query_topk", "embeddings", "vec_id"), ("near_dup_vectors", "embeddings", "vec_id"), ("keyword_scores", "benchmark", "item_id")])
+def test_every_row_is_a_query(spark, name, asks, key):
+    """All ids are asked about; of the ids that the registered SQL asks about, the results are the SQL's."""
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{AT}/{t}.parquet')")
+    out = queries.QUERIES[name](spark, AT)
+    columns = ", ".join(f'"{c}"' for c in out.columns)
+    want = con.execute(f"SELECT {columns} FROM ({queries.SQL[name]})").fetchall()
+    place = out.columns.index("query_id")
+    covered = {r[place] for r in want}
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(str(r) for r in got if r[place] in covered) == sorted(map(str, want))
+    ids = {r[0] for r in con.execute(f"SELECT {key} FROM {asks}").fetchall()}
+    if name == "near_dup_vectors":  # ids with no other vector of at least 0.3 have no rows
+        ids = {r[0] for r in con.execute("SELECT DISTINCT a.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3").fetchall()}
+    assert {r[place] for r in got} == ids
