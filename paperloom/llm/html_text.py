@@ -135,11 +135,13 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 
 
 def token_scores(page: Page, weights: dict[str, float]) -> np.ndarray:
-    """Of each token: words times the sum of its features' weights. Words of never-parts cannot score above zero, tags not at all."""
+    """Of each token: words times the sum of its features' weights. Never-parts score zero, with their tags, as they are left out anyway; other tags cannot score above zero."""
     out = np.zeros(len(page.features))
     for i, (own, size, text) in enumerate(zip(page.features, page.sizes, page.texts, strict=True)):
+        if page.never[i]:
+            continue
         w = sum(weights.get(f, weights.get("word in" if text else "tag", 0.0)) for f in own)
-        out[i] = min(w, 0.0) if not text else (min(w, -0.1) if page.never[i] else max(w, 0.05)) * size
+        out[i] = min(w, 0.0) if not text else max(w, 0.05) * size
     return out
 
 

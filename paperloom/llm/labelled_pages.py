@@ -38,8 +38,17 @@ def _menu(r: random.Random) -> str:
     return "<ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in r.sample(_MENU, r.randint(3, 8))) + "</ul>"
 
 
+def _interrupted(r: random.Random, k: int) -> tuple[str, list[str]]:
+    """A page of two short parts of an article with a long part between them that is none of it."""
+    first, second, long = [_sentence(r, 3, 9)[:-1], _sentence(r)], [_sentence(r)], "".join(f"<p>{_paragraph(r)}</p>" for _ in range(12))
+    part = ["<aside>{}</aside>", '<div class="advert">{}</div>', "<form>{}<button>Send</button></form>", '<div class="notice">{}</div>'][k % 4].format(long)
+    body = f"<h1>{first[0]}</h1><p>{first[1]}</p>{part}<p>{second[0]}</p>"
+    box = ["<article>{}</article>", '<div class="content">{}</div>'][k // 4 % 2].format(body)
+    return f"<!DOCTYPE html><html><head><title>{first[0]}</title></head><body><nav>{_menu(r)}</nav>{box}<footer>{_sentence(r)}</footer></body></html>", first + second
+
+
 def labelled_pages(count: int = 60, seed: int = 1) -> list[tuple[str, list[str]]]:
-    """html and the list of its main text's blocks, of so many made-up pages in several layouts."""
+    """html and the list of its main text's blocks, of so many made-up pages in several layouts, and a sixth as many with a long part amid the article that is none of it."""
     r = random.Random(seed)
     out = []
     for k in range(count):
@@ -51,4 +60,5 @@ def labelled_pages(count: int = 60, seed: int = 1) -> list[tuple[str, list[str]]
         foot = r.choice([f"<footer>{_sentence(r)}</footer>", f'<div class="footer"><p>{_sentence(r)}</p></div>'])
         head = f"<head><title>{texts[0]}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head>"
         out.append((f"<!DOCTYPE html><html>{head}<body>{before}{notice}{box.format(body)}{after}{foot}</body></html>", texts))
-    return out
+    r = random.Random(seed + 1_000_000)
+    return out + [_interrupted(r, k) for k in range(-(-count // 6))]

@@ -129,6 +129,16 @@ def test_html_cases(rows):
     assert got[2].text == "" and got[2].n_chars == 0
 
 
+@pytest.mark.parametrize("part", ["<aside>{}</aside>", "<div class=ad>{}</div>", "<form>{}<button>Go</button></form>", "<div class='cookie-notice'>{}</div>", "<nav><ul><li><a href=x>{}</a></ul></nav>"])
+def test_html_long_part_amid_the_article(part):
+    weights = html_text.train(labelled_pages())
+    long = part.format("".join(f"<p>{'buy this now ' * 40}</p>" for _ in range(20)))
+    for box in ("<article>{}</article>", "<div class=content>{}</div>"):
+        for first, second in (("One short part.", "Another one of a few words more."), ("One part of a few words more.", "End.")):
+            page = f"<html><body><nav><a href=x>menu</a></nav>{box.format(f'<h1>A title</h1><p>{first}</p>{long}<p>{second}</p>')}<footer>f</footer></body></html>"
+            assert html_text.main_text(page, weights) == f"A title\n{first}\n{second}"
+
+
 def test_best_region_is_the_best():
     r = np.random.default_rng(5)
     for _ in range(50):
