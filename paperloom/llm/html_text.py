@@ -16,7 +16,7 @@ from paperloom.llm.common import small_batches
 from paperloom.llm.labelled_pages import labelled_pages
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|([^<]+|<)", re.S)
-_MARK = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Elements whose content is no markup.
@@ -34,6 +34,11 @@ NEVER_MARKED = set(
     "subscription signup login search share sharing social related recommended recommendations trending comment comments commentlist disqus respond replies reply "
     "discussion widget widgets toolbar pagination pager skip complementary contentinfo dialog copyright legal disclaimer form".split()
 )
+#: Words that make a name say what an element has, lacks or is like, not what it is: has-sidebar, no-ads, comments-open.
+HAVING, STATES = {"has", "have", "with", "without", "no", "not", "is", "hide", "show"}, {"open", "opened", "closed", "on", "off", "enabled", "disabled", "allowed", "active", "inactive", "visible", "collapsed", "expanded"}
+#: Words beside those of NEVER_MARKED in a section's id that names such a part; other ids of sections are topics (related-work).
+BESIDE = set("list area section wrap wrapper container box block bar posts post articles links buttons content thread us and".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Header elements are the page's unless they stand in one of these.
 ARTICLES = {"article", "main"}
 #: Elements that open inside of another one end it.
@@ -53,14 +58,88 @@ class Page:
     never: list[bool]
 
 
-def _named(attributes: str) -> bool:
-    return any(w.lower() in NEVER_MARKED for m in _MARK.finditer(attributes) for w in _PARTS.split(m[1] or m[2] or m[3] or "") if w)
+def _named(attributes: str, name: str = "") -> bool:
+    """Does a class, id or the like name a part that is never the article? Not a heading's id, nor a section's that is a topic, nor what only says that an element has such a part."""
+    for m in _MARK.finditer(attributes):
+        is_id = m[1].lower() == "id"
+        if is_id and name in HEADINGS:
+            continue
+        for value in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in _PARTS.split(value) if w]
+            if not any(w in NEVER_MARKED for w in words) or len(words) > 1 and (words[0] in HAVING or words[-1] in STATES):
+                continue
+            if is_id and name == "section" and not all(w in NEVER_MARKED or w in BESIDE for w in words):
+                continue
+            return True
+    return False
+
+
+@dataclass
+class Elements:
+    """Elements of a page in the order of their opening; parents come first."""
+
+    names: list[str]
+    parents: list[int]
+    hard: list[bool]
+    named: list[bool]
+
+    def never(self, tokens: list[int], sizes: list[int]) -> list[bool]:
+        """Which elements are never the article, by themselves or by one around them; tokens are the elements of the texts of so many words.
+
+        A mark is only a name. It does not count on an element around main or around the largest article without a name
+        of that kind (if this has more words than all that no mark is on), nor, where nothing outside of marks looks like an
+        article, around the first h1 or, without any of these, around most of the page's words.
+        """
+        n = len(self.names)
+        marked = [x and t not in ("html", "body", *ARTICLES) for x, t in zip(self.named, self.names, strict=True)]
+        gone, mark, words, root = [False] * n, [-1] * n, [0] * n, [0] * n
+        for e, p in enumerate(self.parents):
+            gone[e] = self.hard[e] or (p >= 0 and gone[p])
+            mark[e] = e if marked[e] else mark[p] if p >= 0 else -1
+        if not any(marked[e] and not gone[e] for e in range(n)):
+            return gone
+        plain = 0
+        for e, size in zip(tokens, sizes, strict=True):
+            if e < 0 or not gone[e]:
+                if e >= 0:
+                    words[e] += size
+                if e >= 0 and mark[e] >= 0:
+                    root[mark[e]] += size
+                else:
+                    plain += size
+        for e in range(n - 1, -1, -1):
+            if self.parents[e] >= 0:
+                words[self.parents[e]] += words[e]
+        total = plain + sum(root)
+        alike = [e for e in range(n) if not gone[e] and self.names[e] in ("h1", "article", "main")]
+        held = {e for e in alike if self.names[e] == "main"}
+        seen = any(mark[e] < 0 for e in alike)
+        if not seen:
+            held |= set([e for e in alike if self.names[e] == "h1"][:1])
+        articles = [e for e in alike if self.names[e] == "article" and not self.named[e]]
+        largest = max(articles, key=lambda e: words[e], default=None)
+        if largest is not None and words[largest] > plain:
+            held.add(largest)
+        around = set()
+        for e in held:
+            p = self.parents[e]
+            while p >= 0:
+                around.add(p)
+                p = self.parents[p]
+        out = [False] * n
+        for e, p in enumerate(self.parents):
+            inside = p >= 0 and out[p]
+            own = marked[e] and e not in around and e not in held
+            if own and not inside and not gone[e] and not seen and not held and 2 * words[e] > total and 10 * plain < words[e]:
+                own, plain = False, plain + root[e]
+            out[e] = inside or self.hard[e] or own
+        return out
 
 
 def parse(html: str) -> Page:
     """Tokens of a page. Text that follows a block's border begins a new block; text outside of all markup is a block too."""
-    page = Page([], [], [], [], [])
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they or one around them are never the article
+    page, elements, of = Page([], [], [], [], []), Elements([], [], [], []), []
+    stack: list[tuple[str, int]] = []  # open elements and their places among elements
     at, block, n = 0, 0, len(html)
     while at < n:
         m = _TOKEN.match(html, at)
@@ -71,15 +150,14 @@ def parse(html: str) -> Page:
         if m[4] is not None:
             text = unescape(m[4])
             own = text.split()
-            never = bool(stack) and stack[-1][1]
             if text:
                 near = next((t for t, _ in reversed(stack) if t not in INLINE), "")
                 link = any(t == "a" for t, _ in stack[-6:])
-                page.features.append((f"word in {near}", *(("word in a",) if link else ()), *(("word in never",) if never else ())))
+                page.features.append((f"word in {near}", *(("word in a",) if link else ())))
                 page.sizes.append(len(own))
                 page.blocks.append(block)
                 page.texts.append(text)
-                page.never.append(never)
+                of.append(stack[-1][1] if stack else -1)
             continue
         if not m[2]:
             continue
@@ -102,23 +180,26 @@ def parse(html: str) -> Page:
                 if k < 0 or stack[k][0] not in closes:
                     break
                 del stack[k:]
-            around = bool(stack) and stack[-1][1]
             header = name == "header" and not any(t in ARTICLES for t, _ in stack)
-            marked = name not in ("html", "body", *ARTICLES) and _named(m[3])
-            never = around or name in NEVER or header or marked or bool(_HIDDEN.search(m[3]))
-            if name in RAW:
+            raw = name in RAW
+            if raw:
                 end = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
                 at = end.start() if end else n
-                stack.append((name, True))
-            elif name not in VOID and not m[0].endswith("/>"):
-                stack.append((name, never))
-        never = bool(stack) and stack[-1][1]
+            if raw or name not in VOID and not m[0].endswith("/>"):
+                elements.parents.append(stack[-1][1] if stack else -1)
+                stack.append((name, len(elements.names)))
+                elements.names.append(name)
+                elements.hard.append(raw or name in NEVER or header or bool(_HIDDEN.search(m[3])))
+                elements.named.append(_named(m[3], name))
         if name not in INLINE:
-            page.features.append((f"tag {name}", *(("tag in never",) if never else ())))
+            page.features.append((f"tag {name}",))
             page.sizes.append(1)
             page.blocks.append(-1)
             page.texts.append("")
-            page.never.append(never)
+            of.append(stack[-1][1] if stack else -1)
+    never = elements.never(*zip(*((e, size) for e, size, text in zip(of, page.sizes, page.texts, strict=True) if text), strict=True)) if any(page.texts) else elements.never([], [])
+    page.never = [e >= 0 and never[e] for e in of]
+    page.features = [(*own, "word in never" if text else "tag in never") if gone else own for own, text, gone in zip(page.features, page.texts, page.never, strict=True)]
     return page
 
 

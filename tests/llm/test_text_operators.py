@@ -139,6 +139,34 @@ def test_html_long_part_amid_the_article(part):
             assert html_text.main_text(page, weights) == f"A title\n{first}\n{second}"
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout has-sidebar"><article>{}</article></div>', '<div id="post" class="comments-open">{}</div>', '<div class="sidebar-layout"><article>{}</article><div class="sidebar"><p>other things</p></div></div>',
+    '<div class="search"><main>{}</main></div>', '<div class="form-page"><section>{}</section></div>', '<div class="no-ads with-comments">{}</div>', '<div id="social"><div class="share">{}</div></div>',
+])
+def test_html_marked_wrapper_keeps_its_article(wrapper):
+    weights = html_text.train(labelled_pages())
+    body = "<h1>A title</h1><p>First part of some words.</p><h2 id='legal-history'>Legal history</h2><p>More of it.</p><section id='related-work'><h2>Related work</h2><p>Others did this.</p></section>"
+    after = "<div class='comments'>" + "<article class='comment'><p>I have much to say about this and that.</p></article>" * 9 + "</div>"
+    page = "<html><body><nav><a href=x>menu</a></nav>{}{}<footer>f</footer></body></html>"
+    want = "A title\nFirst part of some words.\nLegal history\nMore of it.\nRelated work\nOthers did this."
+    assert html_text.main_text(page.format(wrapper.format(body), ""), weights) == want
+    assert html_text.main_text(page.format(wrapper.format(body), after), weights) == want
+
+
+def test_html_most_of_the_text_may_be_without_heading():
+    weights = html_text.train(labelled_pages())
+    page = "<html><body><nav><a href=x>menu</a></nav><div class='sidebar-right'><p>First part of some words.</p><p>Second part of it.</p><div class='sidebar'>other</div></div></body></html>"
+    assert html_text.main_text(page, weights) == "First part of some words.\nSecond part of it."
+
+
+def test_html_marked_parts_with_articles_stay_out():
+    weights = html_text.train(labelled_pages())
+    cards = "<section class='related'>" + "<article><h1>Another page</h1><p>Read this too.</p></article>" * 6 + "</section><section id='comments-list'><p>So true, and much more of that.</p></section>"
+    body = "<h1>A title</h1>" + "<p>One part of the article that has some words in it.</p>" * 4
+    page = f"<html><body><div class='masthead'><h1>Site</h1></div><div class='content'>{body}</div>{cards}</body></html>"
+    assert html_text.main_text(page, weights) == "A title" + "\nOne part of the article that has some words in it." * 4
+
+
 def test_best_region_is_the_best():
     r = np.random.default_rng(5)
     for _ in range(50):
