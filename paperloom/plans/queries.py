@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicons as L
@@ -345,9 +345,12 @@ _TERMS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]{{4,}}'
 @query(f"""WITH t AS (SELECT d.doc_id, b.item_id, {_TERMS.format("b.text")} AS s, {_TERMS.format("d.text")} AS c FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
 SELECT doc_id, item_id, len(s) AS n_terms, len(s) = 0 OR len(c) = 0 OR len(list_intersect(s, c)) >= CASE WHEN len(s) <= 4 THEN 1 ELSE 2 END AS grounded FROM t""")
 def grounding_check(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", T.key_terms(F.col("text")).alias("s"))
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), T.key_terms(F.col("text")).alias("c"))
-    return docs.join(items, "item_id").select("doc_id", "item_id", F.size("s").cast("long").alias("n_terms"), T.grounded(F.col("s"), F.col("c")).alias("grounded"))
+    # the nth of all items goes with the documents whose id leaves n
+    items = table(spark, d, "benchmark")
+    places = items.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("place"))
+    items = items.select("item_id", T.key_terms(F.col("text")).alias("s")).join(places, "item_id")
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % F.lit(max(1, places.count()))).alias("place"), T.key_terms(F.col("text")).alias("c"))
+    return docs.join(items, "place").select("doc_id", "item_id", F.size("s").cast("long").alias("n_terms"), T.grounded(F.col("s"), F.col("c")).alias("grounded"))
 
 
 def gap_case(spark, d):
@@ -579,8 +582,9 @@ def events_session(spark, d):
 @query(r"SELECT CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) FILTER (list_has_any(" + X.TOKENS.format("b.text") + ", " + X.TOKENS.format("d.text") + r")) / count(*), 4) AS score FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3")
 def rag_eval_score(spark, d):
     items = table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id"), T.tokens(F.col("text")).alias("k"))
-    rows = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).join(items, "doc_id")
-    return rows.agg(F.count("*").alias("n"), F.round(100 * F.avg(F.arrays_overlap("k", "t").cast("double")), 4).alias("score"))
+    rows = items.join(table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "left")
+    found = F.coalesce(F.arrays_overlap("k", "t"), F.lit(False)).cast("double")
+    return rows.agg(F.count("*").alias("n"), F.round(100 * F.avg(found), 4).alias("score"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {X.TOKENS.format("text")} AS t FROM documents)

@@ -45,3 +45,21 @@ def test_every_row_is_a_query(spark, name, asks, key):
     if name == "near_dup_vectors":  # ids with no other vector of at least 0.3 have no rows
         ids = {r[0] for r in con.execute("SELECT DISTINCT a.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3").fetchall()}
     assert {r[place] for r in got} == ids
+
+
+def test_every_item_is_checked_and_counted(spark, tmp_path):
+    """More than 40 items, ids with a gap, and items without a document of their own."""
+    ids = [i for i in range(60) if i != 7]
+    spark.createDataFrame([(i, f"alpha beta gamma{i}") for i in ids], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "alpha beta and others" if i % 2 else "nothing alike") for i in range(120)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["grounding_check"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.item_id for r in got} == {i: ids[i % len(ids)] for i in range(120)} and len(got) == 120
+    score = queries.QUERIES["rag_eval_score"](spark, str(tmp_path)).collect()[0]
+    hits = sum(1 for i in ids if 3 * i < 120 and 3 * i % 2)
+    assert score.n == len(ids) and score.score == round(100 * hits / len(ids), 4)
+
+
+@pytest.mark.skipif(not os.path.isdir(AT), reason="no test tables")
+@pytest.mark.parametrize("name", ["grounding_check", "rag_eval_score"])
+def test_pairs_agree_with_their_sql(spark, name):
+    test_query_agrees_with_its_sql(spark, name)
