@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicons as L
+from paperloom.functions.vectors import let
 
+_CUTS = str.maketrans("-_\n\t\r", "     ")
 STRIP_MARKS = ".,?!:;()[]{}\"'"
 
 
+SPACE = " \t\n\x0b\x0c\r"
+
+
 def strip(c: Column) -> Column:
     """c without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def one_space(c: Column) -> Column:
@@ -23,8 +29,7 @@ def one_space(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The words between white space; an empty array for a blank or null text."""
-    own = strip(F.coalesce(c, F.lit("")))
-    return F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, r"\s+"))
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"\s+"), "")
 
 
 def word_count(c: Column) -> Column:
@@ -49,27 +54,33 @@ def sentences(c: Column) -> Column:
 
 
 def contains_any(c: Column, phrases: Sequence[str]) -> Column:
-    """Whether the lower-cased text has any of the phrases."""
-    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.lower(c), p)) if phrases else F.lit(False)
+    """Whether the lower-cased text has any of the phrases: one pass of one alternation."""
+    return F.lower(c).rlike("|".join(rf"\Q{p}\E" for p in phrases)) if phrases else F.lit(False)
 
 
 def count_present(c: Column, phrases: Sequence[str]) -> Column:
     """How many of the phrases the lower-cased text has."""
-    return F.size(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.lower(c), p)))
+    return let(F.lower(c), lambda low: F.size(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))))
 
 
 def low_quality(c: Column) -> Column:
     """Whether a chunk is noise: short, full of marks or of one- and two-letter words, or a bibliography."""
-    own, w = strip(F.coalesce(c, F.lit(""))), words(c)
-    marks = (F.length(own) - F.length(F.replace(own, F.lit("<EOS>"), F.lit("")))) / 5 + (F.length(own) - F.length(F.replace(own, F.lit("<pad>"), F.lit("")))) / 5
-    short = F.size(F.filter(w, lambda x: F.length(x) <= 2))
-    return (
-        (F.length(own) < 80)
-        | (F.size(w) < 15)
-        | (marks > 2)
-        | ((F.size(w) >= 20) & (short / F.size(w) > 0.45))
-        | (count_present(own, L.BIBLIOGRAPHY_MARKS) >= 2)
-    )
+    own = strip(F.coalesce(c, F.lit("")))
+    marks = F.regexp_count(own, F.lit("<EOS>|<pad>"))
+    of_words = lambda w: (F.size(w) < 15) | ((F.size(w) >= 20) & (F.size(F.filter(w, lambda x: F.length(x) <= 2)) / F.size(w) > 0.45))
+    return (F.length(own) < 80) | (marks > 2) | let(words(own), of_words) | (count_present(own, L.BIBLIOGRAPHY_MARKS) >= 2)
+
+
+def noise(text: str) -> bool:
+    """What low_quality() tells, of a stripped text with one space between its words."""
+    if len(text) < 80:
+        return True
+    own = text.split(" ")
+    n = len(own)
+    if n < 15 or text.count("<EOS>") + text.count("<pad>") > 2 or n >= 20 and sum(len(w) <= 2 for w in own) / n > 0.45:
+        return True
+    low = text.lower()
+    return sum(p in low for p in L.BIBLIOGRAPHY_MARKS) >= 2
 
 
 def tokens(c: Column) -> Column:
@@ -79,6 +90,12 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 3))
 
 
+def token_list(text: str) -> list[str]:
+    """What tokens() gives, of a string."""
+    cut = (text or "").lower().translate(_CUTS).split(" ")
+    return list(dict.fromkeys([w for w in [x.strip(STRIP_MARKS) for x in cut] if len(w) >= 3]))
+
+
 def keyword_score(text: Column, query: Column, keywords: Sequence[str] = tuple(L.RESEARCH_KEYWORDS)) -> Column:
     """Share of the query's tokens in the text, with a bonus for keywords; at most 0.5. Both sides are token arrays."""
     both = F.array_intersect(text, query)
@@ -157,11 +174,56 @@ def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
+def raw_hash(c: Column) -> Column:
+    """SHA-256 of a text as it stands, or of a file's bytes; null if there is none."""
+    return F.when(F.length(c) > 0, F.sha2(c, 256))
+
+
+def question_form(c: Column) -> Column:
+    """A question as it counts for a cache: lower case, one space between words."""
+    return F.lower(one_space(c))
+
+
+def search_key(query: Column, source: Column, page: Column | int = 1) -> Column:
+    return F.concat(F.lit("search:"), source, F.lit(":"), short_hash(question_form(query)), F.lit(":p"), F.lit(page).cast("string"))
+
+
+def paper_key(external_id: Column) -> Column:
+    return F.concat(F.lit("paper:meta:"), short_hash(external_id))
+
+
+def embedding_key(text_hash: Column) -> Column:
+    return F.concat(F.lit("embed:"), text_hash)
+
+
+def chat_key(paper_ids: Column, question: Column, model: Column, provider: Column) -> Column:
+    ids = F.array_join(F.transform(F.array_sort(paper_ids), lambda i: i.cast("string")), ",")
+    return F.concat(F.lit("llm:chat:"), short_hash(F.concat_ws(":", ids, question_form(question), model, provider)))
+
+
+def analysis_key(paper_id: Column, kind: Column, provider: Column) -> Column:
+    return F.concat_ws(":", F.lit("llm"), kind, paper_id.cast("string"), provider)
+
+
+def related_key(paper_id: Column) -> Column:
+    return F.concat(F.lit("related:"), paper_id.cast("string"))
+
+
+def health_key(service: Column) -> Column:
+    return F.concat(F.lit("health:"), service)
+
+
+def any_like(c: Column, words: Sequence[str]) -> Column:
+    """Whether the text holds any of the words, whatever their case, % and _ being wild."""
+    return reduce(lambda a, b: a | b, [c.ilike(f"%{w}%") for w in words])
+
+
 def injection_flags(c: Column, patterns: Sequence[str] = tuple(L.INJECTION_PATTERNS)) -> Column:
     """injection_pattern_i for each pattern that the text has."""
     return F.array_compact(F.array(*[F.when(c.rlike(f"(?i){p}"), F.lit(f"injection_pattern_{i}")) for i, p in enumerate(patterns)]))
 
 
+# How an answer names a source, strictly and loosely.
 STRICT_SOURCE, LOOSE_SOURCE = r"\[\s*SOURCE\s+(\d+)\s*\]", r"(?i)[\(\[]?\s*source\s+(\d+)\s*[\)\]]?"
 
 
@@ -242,6 +304,32 @@ def author_line(c: Column) -> Column:
     )
 
 
+def page_lines(c: Column) -> Column:
+    """The lines of a page in one space each, blank ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r]"), one_space), lambda x: x != "")
+
+
+def title_line(lines: Column) -> Column:
+    """A page's first line as a title: null if it is longer than 300 characters or a heading."""
+    first = F.try_element_at(lines, F.lit(1))
+    return F.when((F.length(first) <= 300) & ~F.lower(first).isin("abstract", "introduction"), first)
+
+
+def author_block(lines: Column, title: Column) -> Column:
+    """Authors of a first page: of the 12 lines after the title (sought in the first 30; from the first line, if it is not there) up to a section's begin, the first four that may name authors, distinct, joined by a comma. Null if there are none."""
+    wanted = F.lower(one_space(F.coalesce(title, F.lit(""))))
+    same = lambda x: (x == wanted) | F.contains(x, wanted) | F.contains(wanted, x)
+    at = F.when(wanted != "", F.array_position(F.transform(F.slice(lines, 1, 30), lambda x: same(F.lower(x))), True)).otherwise(F.lit(0)).cast("int")
+    near = F.slice(lines, F.coalesce(at, F.lit(0)) + 1, 12)
+
+    def named(own: Column) -> Column:
+        end = F.array_position(F.transform(own, lambda x: F.lower(x).isin(*L.BLOCK_ENDS)), True).cast("int")
+        before = F.when(end > 0, F.slice(own, F.lit(1), end - 1)).otherwise(own)
+        return F.slice(F.filter(before, author_line), 1, 4)
+
+    return F.nullif(F.array_join(F.array_distinct(let(near, named)), ", "), F.lit(""))
+
+
 def abstract_of(index: Column) -> Column:
     """The text of an inverted index (word to positions), words of one position in their order."""
     flat = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -33,14 +38,50 @@ def unit_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), held).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("double"))
 
 
+def hashed_vectors(tokens: pa.Array, dimensions: int = 64) -> np.ndarray:
+    """Unit vectors of token counts by md5 bucket, one for each list of tokens; each distinct token is hashed once."""
+    tokens = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
+    flat = tokens.flatten().dictionary_encode()
+    bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dimensions for t in flat.dictionary.to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.repeat(np.arange(len(sizes)), sizes) * dimensions + (bucket[flat.indices.to_numpy()] if len(bucket) else np.zeros(0, np.int64))
+    return unit_rows(np.bincount(place, minlength=len(sizes) * dimensions).astype(float).reshape(len(sizes), dimensions))
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of unit length; zero rows stay."""
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n > 0, n, 1)
+
+
+def lists_of(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel(), pa.float64()))
+
+
 def hashed_embedding(tokens: Column, dimensions: int = 64) -> Column:
-    """A unit vector of token counts by md5 bucket: the embedding that needs no model. tokens: an array."""
-    bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimensions
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    place = lambda c, b: F.concat(F.slice(c, F.lit(1), b), F.array(F.element_at(c, b + 1) + 1.0), F.slice(c, b + 2, F.lit(dimensions)))
-    counts = F.aggregate(tokens, zeros, lambda c, t: let(bucket(t).cast("int"), lambda b: place(c, b)))
-    scaled = lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
-    return let(counts, scaled)
+    """A unit vector of token counts by md5 bucket: the embedding that needs no model. tokens: an array of strings without blanks, which go to an Arrow function as one string."""
+
+    def work(column: pa.Array) -> pa.Array:
+        lists = pc.split_pattern(column, " ")
+        some = pc.if_else(pc.equal(column, ""), pa.scalar([], lists.type), lists)
+        return lists_of(hashed_vectors(some, dimensions))
+
+    return F.arrow_udf(work, "array<double>")(F.array_join(tokens, " "))
+
+
+def model_embedding(text: Column, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:
+    """Unit vectors of texts by a model: load() gives a function from a list of texts to a matrix, and is called once in a task. A null or blank text has a null vector."""
+
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load()
+        for batch in batches:
+            texts = batch.to_pylist()
+            some = [i for i, t in enumerate(texts) if t and t.strip()]
+            found = unit_rows(np.asarray(model([texts[i] for i in some]), float)).tolist() if some else []
+            out = dict(zip(some, found, strict=True))
+            yield pa.array([out.get(i) for i in range(len(texts))], pa.list_(pa.float64()))
+
+    return F.arrow_udf(work, "array<double>", ArrowUDFType.SCALAR_ITER)(text)
 
 
 def hybrid_score(similarity: Column, keywords: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from paperloom.functions import lexicons as L
 from paperloom.functions import text as T
@@ -71,27 +74,98 @@ def accepted_strengths(answers: DataFrame, sources: DataFrame, categories: Seque
     return rows.select("request_id", F.col("at").cast("long").alias("at"), "statement", "category", F.format_string("SOURCE %d", F.col("number")).alias("source"))
 
 
-def parsed_summaries(answers: DataFrame, aliases: dict[str, list[str]] = L.SUMMARY_KEYS, missing: str = "Not stated") -> DataFrame:
-    """request_id and the five parts of each summary; null parts if the answer is no JSON object with at least three of them.
+# Fixed value: what stands for a part of a summary that an answer does not give.
+NOT_STATED = "Not stated"
 
-    Of a part's names in order the first with a string counts. A trailing comma and a missing last brace are mended, an
-    object in a string or one level down is found; absent parts are `missing`.
+
+def json_candidates(text: str) -> list[str]:
+    """Parts of an answer that may be a JSON object, best first: the whole without code fences, then its balanced {...}, longest first, each with those inside of it, then what begins at the first brace, mended.
+
+    Of each, too, the form in which an object that stands in a string is written out.
+    """
+    own = re.sub(r"```(?:json)?", "", text).strip()
+    opens, found = [], []
+    for m in re.finditer(r"[{}]", own):
+        if m[0] == "{":
+            opens.append(m.start())
+        elif opens:
+            found.append(own[opens.pop() : m.end()])
+    found.sort(key=len, reverse=True)
+    first = own.find("{")
+    out = [own, *found, *([own[first:], own[first:] + "}"] if first >= 0 else [])]
+    out = [re.sub(r",\s*}", "}", x) for x in out if x.startswith("{")]
+    return list(dict.fromkeys([*out, *[x.replace('\\"', '"') for x in out if '\\"' in x]]))
+
+
+def parsed_summaries(answers: DataFrame, aliases: dict[str, list[str]] = L.SUMMARY_KEYS, missing: str = NOT_STATED) -> DataFrame:
+    """request_id and the five parts of each summary; null parts if no JSON object in the answer has at least three of them.
+
+    The candidates (json_candidates) are parsed in order, and the first with three parts counts: that mends trailing
+    commas and a missing last brace and finds an object in prose, in another object or in a string. Names are compared
+    in lower case with _ for blanks. Of a part's names in order the first with a string counts; absent parts are `missing`.
     """
-    body = T.extracted_json(F.col("answer"))
-    unclosed = F.concat(F.regexp_extract(F.regexp_replace("answer", "```(json)?", ""), r"(?s)\{.*", 0), F.lit("}"))
-    mended = F.regexp_replace(body, r",\s*\}", "}")
+
+    def work(column: pa.Array) -> pa.Array:
+        return pa.array([json_candidates(x) if x else [] for x in column.to_pylist()], pa.list_(pa.string()))
+
     parse = lambda c: F.from_json(c, "map<string,string>")
-    rows = answers.select("request_id", F.coalesce(parse(body), parse(mended), parse(F.regexp_replace(unclosed, r",\s*\}", "}"))).alias("m"))
-    names = [n for own in aliases.values() for n in own]
-    known = lambda m: F.size(F.array_intersect(F.map_keys(m), F.array(*[F.lit(n) for n in names])))
-    # an object one level down, or in a string
-    rows = rows.withColumn("m", F.when(known(F.col("m")) >= 3, F.col("m")).otherwise(F.when(F.size(F.map_keys("m")) > 0, F.try_element_at(F.filter(F.transform(F.map_values("m"), parse), lambda x: x.isNotNull() & (known(x) >= 3)), F.lit(1)))))
+    plain = lambda m: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(m), lambda e: F.struct(F.translate(F.lower(T.strip(e["key"])), " ", "_").alias("key"), e["value"].alias("value")))))
+    hits = lambda m: sum((F.arrays_overlap(F.map_keys(m), F.array(*[F.lit(n) for n in own])).cast("int") for own in aliases.values()), F.lit(0))
+    maps = F.filter(F.transform(F.arrow_udf(work, "array<string>")(F.col("answer")), parse), lambda m: m.isNotNull() & (F.size(m) > 0))
+    maps = F.filter(F.transform(F.filter(maps, lambda m: F.size(F.array_distinct(F.transform(F.map_keys(m), lambda k: F.translate(F.lower(T.strip(k)), " ", "_")))) == F.size(m)), plain), lambda m: hits(m) >= 3)
+    rows = answers.select("request_id", F.explode(F.array(F.try_element_at(maps, F.lit(1)))).alias("m"))
     part = lambda own: F.coalesce(*[F.nullif(T.strip(F.col("m")[n]), F.lit("")) for n in own], F.lit(missing))
     return rows.select("request_id", *[F.when(F.col("m").isNotNull(), part(own)).alias(key) for key, own in aliases.items()])
 
 
+def answered(prompt: Column, providers: Sequence[tuple[str, Callable[[], Callable[[str], str]]]], strikes: int = 3) -> Column:
+    """provider, answer and n_tried of each prompt: the plug point for language models, called in Arrow batches within tasks.
+
+    providers: (name, load) in the order in which they are asked; load() gives the function of a prompt, once in a task,
+    and a provider whose load fails is left out. A blank answer or an exception passes on to the next; a provider whose
+    calls raised `strikes` times in a row is not asked again in the task. All null if none answers.
+    """
+
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ready, failed = [], {}
+        for name, load in providers:
+            try:
+                ready.append((name, load()))
+            except Exception:  # noqa: BLE001 - a plug-in may raise anything; the next one is asked
+                continue
+        for batch in batches:
+            out = []
+            for text in batch.to_pylist():
+                got, tried = None, 0
+                for name, ask in ready if text is not None else []:
+                    if failed.get(name, 0) >= strikes:
+                        continue
+                    tried += 1
+                    try:
+                        said = ask(text)
+                        failed[name] = 0
+                    except Exception:  # noqa: BLE001
+                        failed[name] = failed.get(name, 0) + 1
+                        continue
+                    if said and said.strip():
+                        got = {"provider": name, "answer": said, "n_tried": tried}
+                        break
+                out.append(got)
+            yield pa.array(out, pa.struct([("provider", pa.string()), ("answer", pa.string()), ("n_tried", pa.int64())]))
+
+    return F.arrow_udf(work, "provider string, answer string, n_tried long", ArrowUDFType.SCALAR_ITER)(prompt)
+
+
 def verifier_reply(reply):
     """valid and evidence of a verifier's reply: VALID: YES at its start, and its first EVIDENCE line unless that is NONE."""
     own = T.strip(reply)
     found = T.strip(F.regexp_extract(own, r"(?im)^\s*EVIDENCE:(.*)$", 1))
     return F.struct(F.upper(own).startswith("VALID: YES").alias("valid"), F.when((found != "") & (F.upper(found) != "NONE"), found).alias("evidence"))
+
+
+def history(turns: DataFrame, key: str, order: str, most: int = 6) -> DataFrame:
+    """key, n_turns, history: each conversation's last turns (role, text), blank ones left out, as lines `Role: text`. Spark keeps `most` rows of a key before it shuffles."""
+    last = turns.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("n") <= most).filter(T.strip(F.col("text")) != "")
+    line = F.concat(F.initcap("role"), F.lit(": "), T.one_space(F.col("text")))
+    gathered = last.select(key, F.struct(F.col(order).alias("o"), line.alias("line")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return gathered.select(key, F.size("xs").cast("long").alias("n_turns"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("history"))

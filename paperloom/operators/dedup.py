@@ -16,6 +16,13 @@ def duplicate_groups(df: DataFrame, id_column: str, key: Column) -> DataFrame:
     return rows.groupBy("key_hash").agg(F.count("*").alias("n_rows"), F.min("id").alias("keep_id")).filter("n_rows > 1")
 
 
+def members(df: DataFrame, id_column: str, key: Column) -> DataFrame:
+    """id, first_id, n_others of every row whose key others have too: its group by the least id, not all its pairs."""
+    rows = df.select(id_column, key.alias("key_hash")).filter(F.col("key_hash").isNotNull())
+    groups = rows.groupBy("key_hash").agg(F.min(id_column).alias("first_id"), (F.count("*") - 1).alias("n_others")).filter("n_others > 0")
+    return rows.join(groups, "key_hash").select(id_column, "first_id", "n_others")
+
+
 #: Signals in the order in which they decide.
 SIGNALS = ("doi", "arxiv", "source_id", "text", "title")
 
@@ -44,29 +51,56 @@ def cascade(new: DataFrame, known: DataFrame, normalize_both: bool = False) -> D
     return best.select("id", F.element_at(names, F.col("best.priority") + 1).alias("signal"), F.col("best.existing_id").alias("existing_id"))
 
 
-def similar_titles(titles: DataFrame, id_column: str, title: Column, least: float = 0.85) -> DataFrame:
-    """a, b (a < b), similarity: pairs of rows whose titles' trigram sets have a Jaccard likeness of at least `least`.
+def similar_titles(titles: DataFrame, id_column: str, title: Column, least: float = 0.85, also: Column | None = None) -> DataFrame:
+    """a, b (a < b), similarity: pairs of rows whose titles are equal or have trigram sets of a Jaccard likeness of at least `least`.
 
-    Equal titles are one representative, then a prefix filter: two sets of that likeness share one of the rarest
-    n - ceil(least * n) + 1 trigrams of each, so only those are joined, within the size ratio. Pairs of equal titles are
-    returned between each id and the least id of its title only.
+    also: a key that a pair must have in common, such as the authors; rows where it is null have no pairs. Blank titles
+    have none either, and titles of fewer than three characters equal ones only. Equal titles (and keys) are one
+    representative, then a prefix filter: two sets of that likeness share one of the rarest n - ceil(least * n) + 1
+    trigrams of each, so only those are joined, within the size ratio. Pairs of equal titles are returned between each
+    id and the least id of its title only.
     """
-    rows = titles.select(F.col(id_column).alias("id"), title.alias("t")).filter(F.length("t") >= 3)
-    distinct = rows.groupBy("t").agg(F.min("id").alias("rep"))
-    sets = distinct.select("rep", F.explode(F.array(T.trigrams(F.col("t")))).alias("g"))
-    grams = sets.select("rep", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    rows = titles.select(F.col(id_column).alias("id"), title.alias("t"), (F.lit("") if also is None else also).alias("also")).filter((F.col("t") != "") & F.col("also").isNotNull())
+    distinct = rows.groupBy("t", "also").agg(F.min("id").alias("rep"))
+    sets = distinct.filter(F.length("t") >= 3).select("rep", "also", F.explode(F.array(T.trigrams(F.col("t")))).alias("g"))
+    grams = sets.select("rep", "also", F.size("g").alias("n"), F.explode("g").alias("gram"))
     rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(rarity, "gram").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
-    prefix = ranked.select("rep", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("x")).select("rep", "n", "x.gram")
-    a, b = (prefix.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), "gram") for x in ("a", "b"))
-    pairs = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
+    ranked = grams.join(rarity, "gram").groupBy("rep", "also", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
+    prefix = ranked.select("rep", "also", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("x")).select("rep", "also", "n", "x.gram")
+    a, b = (prefix.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), "also", "gram") for x in ("a", "b"))
+    pairs = a.join(b, ["also", "gram"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
     met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
     likeness = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
     found = met.withColumn("similarity", likeness).filter(F.col("similarity") >= least).select("a", "b", F.round("similarity", 6).alias("similarity"))
-    equal = rows.join(distinct, "t").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    equal = rows.join(distinct, ["t", "also"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return found.unionByName(equal)
 
 
+def signals(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
+    """id, signal, existing_id, auto_merge, candidates of each new paper: doi_match or title_source_match with a known one, which merges, else the known papers of similar titles to be looked at.
+
+    Both sides: id (unique over both), doi, source, title. DOIs are compared normalised; then equal titles of one source; of several known
+    papers the least id. candidates: the classes of equal titles, each by its least known id, that are similar.
+    """
+    some = lambda c: F.when(c != "", c)
+    keyed = lambda df: df.select("id", some(T.doi_key(F.col("doi"))).alias("doi"), some(T.fuzzy_title(F.col("title"))).alias("t"), "source")
+    mine, theirs = keyed(new), keyed(known)
+    by_doi = theirs.filter(F.col("doi").isNotNull()).groupBy("doi").agg(F.min("id").alias("of_doi"))
+    by_title = theirs.filter(F.col("t").isNotNull() & F.col("source").isNotNull()).groupBy("t", "source").agg(F.min("id").alias("of_title"))
+    rows = mine.join(by_doi, "doi", "left").join(by_title, ["t", "source"], "left")
+    # one row stands for all of a title on each side
+    firsts = lambda df: df.filter(F.col("t").isNotNull()).groupBy("t").agg(F.min("id").alias("rep"))
+    old, fresh = firsts(theirs), firsts(mine)
+    both = old.select("rep", "t").unionByName(fresh.join(old.select("t"), "t", "left_anti").select("rep", "t"))
+    near = similar_titles(both, "rep", F.col("t"), least).select("a", "b")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(old.select(F.col("rep").alias("b")), "b", "left_semi").join(both.select(F.col("rep").alias("a"), "t"), "a").select("t", "b")
+    listed = near.unionByName(old.select("t", F.col("rep").alias("b"))).groupBy("t").agg(F.array_sort(F.collect_set("b")).alias("candidates"))
+    rows = rows.join(listed, "t", "left")
+    signal = F.when(F.col("of_doi").isNotNull(), "doi_match").when(F.col("of_title").isNotNull(), "title_source_match")
+    none = F.array().cast("array<bigint>")
+    return rows.select("id", signal.alias("signal"), F.coalesce("of_doi", "of_title").alias("existing_id"), signal.isNotNull().alias("auto_merge"), F.when(signal.isNull(), F.coalesce("candidates", none)).otherwise(none).alias("candidates"))
+
+
 def without(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """Rows of df whose column is not among gone's: deletion as an anti-join."""
     return df.join(gone.select(column).distinct(), column, "left_anti")

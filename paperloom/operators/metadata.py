@@ -26,14 +26,41 @@ def categories(raw: Column, subjects: dict[str, str] = L.SUBJECTS, none: Sequenc
     return F.filter(full, lambda c, i: F.array_position(lower, F.lower(c)) == i + 1)
 
 
+def unwrapped(raw: DataFrame, column: str = "paper") -> DataFrame:
+    """raw with the fields of the struct `column` in the place of its own where that is not null; fields only the struct has are added."""
+    if column not in raw.columns:
+        return raw
+    inner = raw.schema[column].dataType.fieldNames()
+    held = F.col(column).isNotNull()
+    mine = [F.when(held, F.col(column)[c]).otherwise(F.col(c)).alias(c) if c in inner else F.col(c) for c in raw.columns if c != column]
+    return raw.select(*mine, *[F.col(column)[c].alias(c) for c in inner if c not in raw.columns])
+
+
+def names_of(authorships: Column) -> Column:
+    """Names of an array of authorships (author.display_name)."""
+    return F.transform(authorships, lambda a: a["author"]["display_name"])
+
+
+def cards(papers: DataFrame) -> DataFrame:
+    """Papers as they are listed: each field there is, without the full text, of which only is told whether there is one."""
+    fields = ("id", "title", "abstract", "authors", "doi", "source", "source_id", "arxiv_id", "published_date", "updated_date", "categories", "url", "pdf_url", "pdf_path", "created_at", "n_pages")
+    return papers.select(*[c for c in fields if c in papers.columns], (T.strip(F.coalesce("full_text", F.lit(""))) != "").alias("has_full_text"))
+
+
 def normalized(raw: DataFrame) -> DataFrame:
-    """One shape of metadata from raw records: title, abstract, authors, doi, source, source_id, arxiv_id, published_date, categories, pdf_url.
+    """One shape of metadata from raw records: title, abstract, authors, doi, source, source_id, arxiv_id, published_date, categories, url, pdf_url.
 
-    raw: any of title, display_name, name, abstract, description, authors (array), doi, source, source_id, id, arxiv_id,
-    published_date, categories (array), pdf_url, best_pdf_url. Columns that are not there count as null; others pass.
+    raw: any of title, display_name, name, abstract, description, authors (array), authorships, doi, source, source_id,
+    id, arxiv_id, published_date, categories (array), url, landing_page_url, pdf_url, primary_location (with the two), best_pdf_url. Columns that are
+    not there count as null; others pass. A record within a record is taken out by unwrapped().
     """
     col = lambda name, kind="string": F.col(name) if name in raw.columns else F.lit(None).cast(kind)
-    authors = F.array_distinct(F.filter(F.transform(F.coalesce(col("authors", "array<string>"), F.array().cast("array<string>")), T.strip), lambda a: a != ""))
+    inner = raw.schema["primary_location"].dataType.fieldNames() if "primary_location" in raw.columns else []
+    place = lambda name: F.col("primary_location")[name] if name in inner else F.lit(None).cast("string")
+    listed = col("authors", "array<string>")
+    if "authorships" in raw.columns:
+        listed = F.when(F.size(F.coalesce(listed, F.array().cast("array<string>"))) > 0, listed).otherwise(names_of(F.col("authorships")))
+    authors = F.array_distinct(F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), T.strip), lambda a: a != ""))
     own = {
         "title": first_text(col("title"), col("display_name"), col("name")),
         "abstract": first_text(col("abstract"), col("description")),
@@ -44,7 +71,8 @@ def normalized(raw: DataFrame) -> DataFrame:
         "arxiv_id": first_text(col("arxiv_id")),
         "published_date": T.utc_time(col("published_date")),
         "categories": categories(F.coalesce(col("categories", "array<string>"), F.array().cast("array<string>"))),
-        "pdf_url": first_text(col("pdf_url"), col("best_pdf_url")),
+        "url": first_text(col("url"), col("landing_page_url"), place("landing_page_url")),
+        "pdf_url": first_text(col("pdf_url"), place("pdf_url"), col("best_pdf_url")),
     }
     return raw.select(*[c for c in raw.columns if c not in own], *[v.alias(k) for k, v in own.items()])
 

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import lexicons as L
+
 # What a permanent error's message holds. Any other error is tried again.
 PERMANENT = ["validation", "corrupted", "not_found", "permission", "unauthorized"]
 
 
-def rate_limited(requests: DataFrame, key: str, time: str, order: str, limit: int = 30, seconds: int = 60) -> DataFrame:
+def rate_limited(requests: DataFrame, key: str, time: str, order: str, limit: int = 30, seconds: float = 60) -> DataFrame:
     """key, n_requests, n_rejected, n_windows: a counter per key that starts anew at the first request `seconds` or more after its last start.
 
     Rows are dealt by key and sorted by (key, time, order); a task reads them batch by batch and keeps one key's start,
     use and counts, so a key's rows are never gathered. Rows without a key are left out.
     """
+    width = round(seconds * 1_000_000)
     schema = f"{key} {dict(requests.dtypes)[key]}, n_requests long, n_rejected long, n_windows long"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,10 +36,10 @@ def rate_limited(requests: DataFrame, key: str, time: str, order: str, limit: in
                 t, i = own["t"].to_numpy(), 0
                 counts[0] += len(t)
                 while i < len(t):
-                    if since is None or t[i] - since >= seconds * 1_000_000:
+                    if since is None or t[i] - since >= width:
                         since, used = t[i], 0
                         counts[2] += 1
-                    j = int(np.searchsorted(t, since + seconds * 1_000_000))
+                    j = int(np.searchsorted(t, since + width))
                     allowed = min(j - i, limit - used)
                     used += allowed
                     counts[1] += j - i - allowed
@@ -47,6 +51,18 @@ def rate_limited(requests: DataFrame, key: str, time: str, order: str, limit: in
     return rows.repartition("k").sortWithinPartitions("k", "t", "o").select("k", "t").mapInPandas(fold, schema)
 
 
+def stale_checks(requests: DataFrame, key: str, time: str, order: str, seconds: float = 30) -> DataFrame:
+    """key, n_asked, n_checks: how often a service is looked at anew, if a request does so once the last look is more than `seconds` ago."""
+    counted = rate_limited(requests, key, time, order, limit=1, seconds=seconds + 1e-6)
+    return counted.select(key, F.col("n_requests").alias("n_asked"), F.col("n_windows").alias("n_checks"))
+
+
+def request_kind(path: Column, exempt: Sequence[str] = tuple(L.EXEMPT_PATHS), strict: Sequence[str] = tuple(L.STRICT_PATHS)) -> Column:
+    """exempt, strict (counted by the limit) or open, by a request's path."""
+    own = F.rtrim(path, F.lit("/"))
+    return F.when(own.isin(*exempt), "exempt").when(reduce(lambda a, b: a | b, [own.startswith(s) for s in strict]), "strict").otherwise("open")
+
+
 def client_of(forwarded: Column, host: Column) -> Column:
     """The first address of X-Forwarded-For, else the host."""
     return F.coalesce(F.nullif(F.btrim(F.element_at(F.split(forwarded, ","), 1)), F.lit("")), host)
@@ -83,14 +99,12 @@ def health(reachable: Column, total: Column) -> Column:
     return F.when(reachable == total, "online").when(reachable == 0, "offline").otherwise("degraded")
 
 
-def error_kind(status: Column) -> Column:
-    """The kind of a provider's error by HTTP status; null for success."""
-    return F.when(status.between(200, 299), None).when(status.isin(401, 403), "auth").otherwise("unavailable")
+def error_kind(status: Column, strict: Column | bool = False, ready: Column | bool = True) -> Column:
+    """The kind of a provider's error by HTTP status (null: no reply): config if it is not ready to be asked, auth, unavailable, or null for success. strict: a provider that answers 400 to a wrong key."""
+    of = lambda x: F.lit(x) if isinstance(x, bool) else x
+    return F.when(~of(ready), "config").when(status.between(200, 299), None).when(status.isin(401, 403) | (of(strict) & (status == 400)), "auth").otherwise("unavailable")
 
 
-def sessions(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
-    """key, start, n_events of sessions that end where no event follows within the gap: the batch form of session_window."""
-    order = Window.partitionBy(key).orderBy(time)
-    new = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(F.col(time).cast("timestamp")).over(order)) >= gap_seconds * 1_000_000, F.lit(True))
-    marked = events.withColumn("new", new.cast("int")).withColumn("session", F.sum("new").over(order))
-    return marked.groupBy(key, "session").agg(F.min(time).alias("start"), F.count("*").alias("n_events")).drop("session")
+def error_text(c: Column, most: int = 2000) -> Column:
+    """An error as a job keeps it."""
+    return F.substring(c, 1, most)

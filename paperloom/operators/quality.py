@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicons as L
 from paperloom.functions import text as T
-
-HEADING = r"(?i)(?:^|\n)\s*(?:References|Bibliography|WORKS?\s+CITED)\s*(?:\n|$)"
-AUTHOR_YEAR = r"\([A-Z][a-z]+(?:\s+(?:et\s+al\.?|and|&)\s*[A-Z]?[a-z]*)?,?\s*\d{4}(?:;\s*[A-Z][a-z]+(?:\s+(?:et\s+al\.?|and|&)\s*[A-Z]?[a-z]*)?,?\s*\d{4})*\)"
-VENUE = r"(?i)journal|proceedings|conf\.|workshop|arxiv|preprint|press|springer|ieee|acm|aaai|nips|icml|iclr|cvpr|eccv|emnlp|acl|naacl|iccv|wscl|ssrn"
-
+from paperloom.functions.lexicons import AUTHOR_YEAR, HEADING, VENUE
+from paperloom.functions.vectors import let
 
 def distinct_numbers(c: Column, pattern: str) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))).cast("long")
@@ -19,48 +18,56 @@ def distinct_numbers(c: Column, pattern: str) -> Column:
 
 def references(text: Column) -> Column:
     """has, n and method of a reference section: the greatest [n], else lines that look like entries, else numbered lines."""
-    has = text.rlike(HEADING)
-    tail = F.regexp_replace(text, r"(?is)^.*?(?:^|\n)\s*(?:References|Bibliography|WORKS?\s+CITED)\s*(?:\n|$)", "")
-    numbers = F.transform(F.regexp_extract_all(tail, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("long"))
+    result = lambda n, method, has=True: F.struct(F.lit(has).alias("has"), n.cast("long").alias("n"), F.lit(method).alias("method"))
     entry = lambda x: x.rlike(r"\b(?:19|20)\d{2}\b") & x.rlike(r"^([A-Z][.\s]|[A-Z][a-z]|\()") & (x.rlike(VENUE) | x.rlike(r"et\s+al|,\s*[A-Z]|and\s+[A-Z]"))
-    entries = F.size(F.filter(F.transform(F.split(tail, "\n"), T.strip), entry)).cast("long")
-    numbered = F.regexp_count(tail, F.lit(r"(?m)^\d+\.\s+")).cast("long")
-    result = lambda n, method: F.struct(F.lit(True).alias("has"), n.alias("n"), F.lit(method).alias("method"))
-    return (
-        F.when(~has, F.struct(F.lit(False).alias("has"), F.lit(0).cast("long").alias("n"), F.lit("not_available").alias("method")))
-        .when(F.size(numbers) > 0, result(F.array_max(numbers), "bracket_numbering"))
-        .when(entries > 0, result(entries, "heuristic_entry_count"))
-        .when(numbered > 0, result(numbered, "numbered_entries"))
-        .otherwise(result(F.lit(0).cast("long"), "unable_to_count"))
-    )
+
+    def of_tail(tail: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(tail, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("long"))
+        facts = F.struct(
+            F.array_max(numbers).alias("greatest"), F.size(F.filter(F.transform(F.split(tail, "\n"), T.strip), entry)).alias("entries"),
+            F.regexp_count(tail, F.lit(r"(?m)^\d+\.\s+")).alias("numbered"),
+        )
+        return let(facts, lambda x: F.when(x["greatest"].isNotNull(), result(x["greatest"], "bracket_numbering")).when(x["entries"] > 0, result(x["entries"], "heuristic_entry_count")).when(x["numbered"] > 0, result(x["numbered"], "numbered_entries")).otherwise(result(F.lit(0), "unable_to_count")))
+
+    tail = F.regexp_replace(text, "(?s)^.*?" + HEADING, "")
+    return F.when(text.rlike(HEADING), let(tail, of_tail)).otherwise(result(F.lit(0), "not_available", False))
 
 
 def measured(papers: DataFrame) -> DataFrame:
-    """papers (id, title, authors, abstract, doi, source, published_date, pdf_url, full_text, n_pages) with what the checks need, one column each."""
-    text = F.coalesce("full_text", F.lit(""))
-    some = lambda c: (F.coalesce(T.strip(F.col(c).cast("string")), F.lit("")) != "").cast("int")
-    rows = papers.withColumn("t", text)
-    paragraphs = F.filter(F.transform(F.split("t", r"\n\s*\n+"), T.strip), lambda p: p != "")
+    """papers (id, title, authors, abstract, doi, source, published_date, pdf_url, full_text, n_pages) with what the checks need, one column each.
+
+    The text, its words and its paragraphs are generated columns, so that each is worked out once a paper.
+    """
+    fields = ("title", "authors", "abstract", "doi", "source", "published_date", "pdf_url")
+    has = lambda c: F.coalesce(T.strip(F.col(c).cast("string")), F.lit("")) != ""
+    rows = papers.select("id", F.col("n_pages").cast("long").alias("n_pages"), *[has(c).alias(f"has_{c}") for c in fields], F.explode(F.array(F.coalesce("full_text", F.lit("")))).alias("t"))
+    # words of each paragraph; those of the text are all of them
+    paragraphs = F.filter(F.transform(F.split("t", r"\n\s*\n+"), T.words), lambda w: F.size(w) > 0)
+    rows = rows.select("*", F.explode(F.array(F.struct(F.lower("t").alias("low"), paragraphs.alias("ps")))).alias("x")).select("*", "x.low", "x.ps")
+    rows = rows.select("*", F.explode(F.array(F.transform(F.filter("ps", lambda w: F.size(w) >= 20), lambda w: F.lower(F.array_join(w, " "))))).alias("lows"))
+    rows = rows.select("*", F.aggregate("ps", F.lit(0), lambda n, w: n + F.size(w)).alias("n"))
+    caps = F.size(F.filter(F.flatten("ps"), lambda w: (F.length(w) > 1) & (w == F.upper(w)) & (w != F.lower(w))))
     bracket = F.regexp_count("t", F.lit(r"\[\d+(?:[-–,]\d+)*\]"))
-    rows = rows.withColumn("paragraphs", F.explode(F.array(paragraphs)))
-    long_ = F.transform(F.filter("paragraphs", lambda p: F.size(T.words(p)) >= 20), lambda p: F.lower(T.one_space(p)))
-    caps = F.filter(T.words(F.col("t")), lambda w: (F.length(w) > 1) & (w == F.upper(w)) & (w != F.lower(w)))
+    some = lambda words: reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in words])
+    # a plain search for what a pattern must hold spares most texts the pattern
+    counted = lambda words, pattern: F.when(some(words), distinct_numbers(F.col("t"), pattern)).otherwise(F.lit(0).cast("long"))
     return rows.select(
-        "id", (F.col("t") != "").alias("has_text"), T.word_count(F.col("t")).alias("words"), F.length("t").cast("long").alias("chars"), F.col("n_pages").cast("long").alias("n_pages"),
-        sum((some(c) for c in ("title", "authors", "abstract", "doi", "source", "published_date", "pdf_url")), F.lit(0)).cast("long").alias("metadata"),
-        *[some(c).cast("boolean").alias(f"has_{c}") for c in ("title", "authors", "abstract")],
-        sum((F.col("t").rlike(f"(?i){p}").cast("int") for p in L.SECTIONS.values()), F.lit(0)).cast("long").alias("sections"),
-        references(F.col("t")).alias("refs"), (bracket + F.regexp_count("t", F.lit(AUTHOR_YEAR))).cast("long").alias("cites"),
-        distinct_numbers(F.col("t"), r"(?i)(?:Fig(?:ure|\.?)|Diagram|Graph|Plot)\s*(\d+)").alias("figures"), distinct_numbers(F.col("t"), r"(?i)(?:Table|Tab\.?)\s*(\d+)").alias("tables"),
-        (F.size(long_) - F.size(F.array_distinct(long_))).cast("long").alias("repeated"), F.size(long_).cast("long").alias("paragraphs"),
-        (F.col("t").rlike(r"\n{5,}").cast("int") + F.exists("paragraphs", lambda p: F.size(T.words(p)) > 800).cast("int") + F.col("t").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]").cast("int")
-         + (F.size(caps) / F.greatest(F.size(T.words(F.col("t"))), F.lit(1)) > 0.3).cast("int")).cast("long").alias("structure"),
+        "id", (F.col("t") != "").alias("has_text"), F.col("n").cast("long").alias("words"), F.length("t").cast("long").alias("chars"), "n_pages",
+        sum((F.col(f"has_{c}").cast("int") for c in fields), F.lit(0)).cast("long").alias("metadata"),
+        *[f"has_{c}" for c in ("title", "authors", "abstract")],
+        sum(((some(L.SECTION_WORDS[k]) & F.col("t").rlike(f"(?i){p}")).cast("int") for k, p in L.SECTIONS.items()), F.lit(0)).cast("long").alias("sections"),
+        references(F.col("t")).alias("refs"), (bracket + F.when(F.contains("t", F.lit("(")), F.regexp_count("t", F.lit(AUTHOR_YEAR))).otherwise(0)).cast("long").alias("cites"),
+        counted(["fig", "diagram", "graph", "plot"], r"(?i)(?:Fig(?:ure|\.?)|Diagram|Graph|Plot)\s*(\d+)").alias("figures"), counted(["tab"], r"(?i)(?:Table|Tab\.?)\s*(\d+)").alias("tables"),
+        (F.size("lows") - F.size(F.array_distinct("lows"))).cast("long").alias("repeated"), F.size("lows").cast("long").alias("paragraphs"),
+        (F.contains("t", F.lit("\n" * 5)).cast("int") + F.exists("ps", lambda w: F.size(w) > 800).cast("int") + F.col("t").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]").cast("int")
+         + (caps / F.greatest(F.col("n"), F.lit(1)) > 0.3).cast("int")).cast("long").alias("structure"),
     )
 
 
 def checks(papers: DataFrame) -> DataFrame:
     """id, check, status, value (a number) of fifteen checks of every paper, one row each. Statuses: pass, warning, fail, not_applicable, not_measured."""
-    m = measured(papers).withColumn("ratio", F.when(F.col("refs.has") & (F.col("cites") > 0) & (F.col("refs.n") > 0), F.col("cites") / F.col("refs.n")))
+    m = measured(papers)
+    m = m.select(F.explode(F.array(F.struct(*m.columns))).alias("m")).select("m.*").withColumn("ratio", F.when(F.col("refs.has") & (F.col("cites") > 0) & (F.col("refs.n") > 0), F.col("cites") / F.col("refs.n")))
     pick = lambda ok, other: F.when(ok, "pass").otherwise(other)
     per_page = F.when(F.col("n_pages") > 0, F.col("chars") / F.col("n_pages"))
     graded = {

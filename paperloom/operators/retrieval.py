@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +14,17 @@ from paperloom.functions import vectors as V
 from paperloom.operators.similarity import top_k
 
 
-def embedded(rows: DataFrame, text_column: str = "text", dimensions: int = 64) -> DataFrame:
-    """rows with tokens (of the text) and embedding (hashed, unit length)."""
-    with_tokens = rows.withColumn("tokens", F.explode(F.array(T.tokens(F.col(text_column)))))
-    return with_tokens.withColumn("embedding", V.hashed_embedding(F.col("tokens"), dimensions))
+def embedded(rows: DataFrame, text_column: str = "text", dimensions: int = 64, model: Callable | None = None) -> DataFrame:
+    """rows with tokens (of the text) and embedding (unit length): hashed counts of tokens, or a model's: see vectors.model_embedding."""
+    if model:
+        return rows.withColumn("tokens", F.explode(F.array(T.tokens(F.col(text_column))))).withColumn("embedding", V.model_embedding(F.col(text_column), model))
+
+    def work(column: pa.Array) -> pa.Array:
+        tokens = pa.array([T.token_list(x) for x in column.to_pylist()], pa.list_(pa.string()))
+        return pa.StructArray.from_arrays([tokens, V.lists_of(V.hashed_vectors(tokens, dimensions))], names=["tokens", "embedding"])
+
+    both = F.arrow_udf(work, "tokens array<string>, embedding array<double>")(F.col(text_column))
+    return rows.withColumn("__both", both).select(*rows.columns, "__both.tokens", "__both.embedding")
 
 
 def pool_size(k: int) -> int:
@@ -23,21 +34,60 @@ def pool_size(k: int) -> int:
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 8, floor: float = 0.15) -> DataFrame:
     """query_id, rank, paper_id, chunk_id, similarity, keyword_score, final_score of each question's k best chunks.
 
-    chunks: paper_id, chunk_id, tokens, embedding; questions: query_id, tokens, embedding — a bounded list, broadcast.
-    A pool of max(5k, 30), at most 100, chunks by cosine distance is re-ranked by 0.8 similarity + 0.2 keyword score
-    (ties in the order of distance and ids), then the similarity floor, then the first k.
+    chunks: paper_id, chunk_id, tokens, embedding, best a stored table, as it is read twice; questions: query_id, tokens,
+    embedding, of any number: they are searched in blocks, and joined to their pools by a shuffle unless Spark sees that
+    they are short. A pool of max(5k, 30), at most 100, chunks by cosine distance is re-ranked by 0.8 similarity + 0.2
+    keyword score (ties in the order of distance and ids), then the similarity floor, then the first k.
     """
     k = min(max(k, 1), 20)
     near = top_k(chunks, questions.select("query_id", F.col("embedding").alias("query")), pool_size(k)).withColumnRenamed("rank", "at")
-    # at most 100 rows for each of a bounded list of questions
-    pool = chunks.select("paper_id", "chunk_id", "tokens").join(F.broadcast(near), ["paper_id", "chunk_id"]).join(F.broadcast(questions.select("query_id", F.col("tokens").alias("asked"))), "query_id")
+    pool = chunks.select("paper_id", "chunk_id", "tokens").join(near, ["paper_id", "chunk_id"]).join(questions.select("query_id", F.col("tokens").alias("asked")), "query_id")
+    return _ranked(pool, ["query_id"], k, floor)
+
+
+def _ranked(pool: DataFrame, by: list[str], k: int, floor: float) -> DataFrame:
+    """The k best of each `by` of a pool: distance, at (its order by distance), tokens, asked."""
     similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance")))
     ranked = pool.withColumn("similarity", F.round(similarity, 6)).withColumn("keyword_score", F.round(T.keyword_score(F.col("tokens"), F.col("asked")), 6))
     ranked = ranked.withColumn("final_score", F.round(V.hybrid_score(F.col("similarity"), F.col("keyword_score")), 6)).filter(F.col("similarity") >= floor)
-    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "at")
+    order = Window.partitionBy(*by).orderBy(F.desc("final_score"), "at")
     return ranked.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "paper_id", "chunk_id", "similarity", "keyword_score", "final_score")
 
 
+def _pooled(rows: DataFrame, k: int, floor: float) -> DataFrame:
+    """The k best chunks of each question within each paper. rows: query_id, paper_id, chunk_id, tokens, asked, distance of every chunk that a question is put to."""
+    k = min(max(k, 1), 20)
+    order = Window.partitionBy("query_id", "paper_id").orderBy(F.round("distance", 9), "chunk_id")
+    pool = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= pool_size(k))
+    return _ranked(pool, ["query_id", "paper_id"], k, floor)
+
+
+def retrieve_in_papers(chunks: DataFrame, questions: Sequence[str], k: int = 5, floor: float = 0.2, dimensions: int = 64) -> DataFrame:
+    """retrieve() for a fixed list of questions put to every paper alone: query_id is a question's place. chunks: paper_id, chunk_id, tokens, embedding.
+
+    The questions' vectors are part of the plan; a chunk is scored against all of them at once, and Spark keeps the
+    pools' rows before it shuffles.
+    """
+    asked = [T.token_list(q) for q in questions]
+    q = V.hashed_vectors(pa.array(asked, pa.list_(pa.string())), dimensions)
+
+    def work(column: pa.Array) -> pa.Array:
+        vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, dimensions))
+        return V.lists_of(np.round(1 - vectors @ q.T, 9))
+
+    distances = F.arrow_udf(work, "array<double>")(F.col("embedding"))
+    lists = F.array(*[F.array(*[F.lit(t) for t in own]).cast("array<string>") for own in asked])
+    rows = chunks.select("paper_id", "chunk_id", "tokens", distances.alias("d")).select("paper_id", "chunk_id", "tokens", F.posexplode("d").alias("query_id", "distance"))
+    return _pooled(rows.select("*", F.element_at(lists, F.col("query_id") + 1).alias("asked")).withColumn("query_id", F.col("query_id").cast("long")), k, floor)
+
+
+def retrieve_own(chunks: DataFrame, questions: DataFrame, k: int = 15, floor: float = 0.05) -> DataFrame:
+    """retrieve() for questions that are each put to one paper. questions: query_id, paper_id, tokens, embedding."""
+    asked = questions.select("query_id", "paper_id", F.col("tokens").alias("asked"), F.col("embedding").alias("q"))
+    rows = chunks.select("paper_id", "chunk_id", "tokens", "embedding").join(asked, "paper_id")
+    return _pooled(rows.withColumn("distance", F.round(1 - V.dot(F.col("embedding"), F.col("q")), 9)), k, floor)
+
+
 def with_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
     """Hits and the chunks beside them, each once per question: query_id, paper_id, chunk_id, is_neighbor, similarity, final_score.
 
@@ -52,15 +102,24 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> Data
     return first.select("query_id", "paper_id", "chunk_id", (~self_).alias("is_neighbor"), F.when(self_, F.col("similarity")).alias("similarity"), F.when(self_, F.col("final_score")).otherwise(0.0).alias("final_score"))
 
 
-def context(rows: DataFrame, chunks: DataFrame, most: int = 12, by_score: bool = False) -> DataFrame:
-    """query_id, n_sources, context: the first rows in document order (or by score), numbered [SOURCE i], with their texts."""
+def numbered(rows: DataFrame, chunks: DataFrame, most: int = 12, by_score: bool = False, by: str = "query_id") -> DataFrame:
+    """The first rows of each `by` in document order, or by score (ties in document order), as sources: by, source (from 1), paper_id, chunk_id, similarity, page_number, text."""
     keys = ([F.desc("final_score")] if by_score else []) + [F.col("paper_id"), F.col("chunk_id")]
-    picked = rows.withColumn("source", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys))).filter(F.col("source") <= most)
+    picked = rows.withColumn("source", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).filter(F.col("source") <= most)
     told = picked.join(chunks.select("paper_id", "chunk_id", "page_number", "text"), ["paper_id", "chunk_id"])
-    line = F.concat_ws("\n", F.format_string("[SOURCE %d]", F.col("source")), F.format_string("Paper: %d", F.col("paper_id")), F.format_string("Page: %d", F.col("page_number")), F.when(F.col("similarity").isNotNull(), F.format_string("Similarity: %.4f", F.col("similarity"))).otherwise("Similarity: neighbor"), F.col("text"))
-    told = told.select("query_id", F.struct("source", line.alias("line")).alias("x"))
-    gathered = told.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return gathered.select("query_id", F.size("xs").cast("long").alias("n_sources"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n\n").alias("context"))
+    return told.select(*dict.fromkeys([by, "source", "paper_id", "chunk_id", "similarity", "page_number", "text"]))
+
+
+def rendered(sources: DataFrame, by: str = "query_id") -> DataFrame:
+    """by, n_sources, context: numbered sources as one text, [SOURCE i] first. A request has few sources, so they are gathered."""
+    line = F.concat_ws("\n", F.format_string("[SOURCE %d]", F.col("source")), F.format_string("Paper: %d", F.col("paper_id")), F.format_string("Page: %d", F.col("page_number")), F.when(F.col("similarity").isNotNull(), F.format_string("Similarity: %.4f", F.floor(F.col("similarity") * 10000 + 0.5) / 10000)).otherwise("Similarity: neighbor"), F.col("text"))
+    gathered = sources.select(by, F.struct("source", line.alias("line")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return gathered.select(by, F.size("xs").cast("long").alias("n_sources"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n\n").alias("context"))
+
+
+def context(rows: DataFrame, chunks: DataFrame, most: int = 12, by_score: bool = False) -> DataFrame:
+    """query_id, n_sources, context: the first rows in document order (or by score), numbered [SOURCE i], with their texts."""
+    return rendered(numbered(rows, chunks, most, by_score))
 
 
 def merged_hits(hits: DataFrame, how: str = "max") -> DataFrame:
@@ -77,3 +136,21 @@ def evidence_ranked(hits: DataFrame, has_evidence, floor: float = 0.18, boost: f
     if by:
         return scored.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("n") <= most).drop("n")
     return scored.orderBy(*order).limit(most)
+
+
+def keyword_matches(documents: DataFrame, questions: DataFrame, keywords: Sequence[str], id_column: str = "doc_id") -> DataFrame:
+    """query_id, id, score (see text.keyword_score) of every document and question (query_id, text) that share a token: an equi-join on distinct tokens, of which only the counts are shuffled."""
+    asked = questions.select("query_id", F.explode(F.array(T.tokens(F.col("text")))).alias("asked"))
+    wanted = asked.select("query_id", F.size("asked").alias("n"), F.explode("asked").alias("token"))
+    held = documents.select(id_column, F.explode(T.tokens(F.col("text"))).alias("token"))
+    both = held.join(wanted, "token").groupBy("query_id", id_column, "n").agg(F.count("*").alias("both"), F.count_if(F.col("token").isin(*keywords)).alias("known"))
+    score = F.least(F.lit(0.5), F.col("both") / F.col("n") * 0.35 + F.least(F.lit(0.15), F.col("known") * 0.05))
+    return both.select("query_id", id_column, F.round(score, 6).alias("score"))
+
+
+def evaluated(items: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """n, score: of the items (query_id, k: key terms) that have terms, the percentage for which at least half of them stand in what retrieval returned."""
+    found = hits.join(chunks.select("paper_id", "chunk_id", "tokens"), ["paper_id", "chunk_id"]).select("query_id", F.explode("tokens").alias("term")).distinct()
+    wanted = items.filter(F.size("k") > 0).select("query_id", F.size("k").alias("n"), F.explode("k").alias("term"))
+    each = wanted.join(found.withColumn("met", F.lit(1)), ["query_id", "term"], "left").groupBy("query_id", "n").agg(F.count("met").alias("met"))
+    return each.agg(F.count("*").alias("n"), F.round(100 * F.avg((2 * F.col("met") >= F.col("n")).cast("double")), 4).alias("score"))

@@ -1,7 +1,7 @@
 """Vector search over chunks, comparison of papers and novelty against a corpus.
 
-Papers are compared block-wise: each task holds one block of rows and one block of others as matrices, and only maxima
-leave it. A block's size is bounded, whatever a paper's or the corpus's number of chunks.
+Asking rows are taken in blocks of a bounded size, which are broadcast; each task holds a block against its own rows as
+matrices, and only maxima or nearest rows leave it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors.
-BLOCK = 1024
+from paperloom.sources.steps import saved
+
+#: Chunks whose best matches one pass over all chunks finds.
+BLOCK = 2048
 #: Queries of a search that one pass over the chunks serves; their vectors are what is broadcast.
 QUERY_BLOCK = 4096
 #: Similarities held at once by a task of a search.
@@ -41,7 +43,10 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, vector: str = "emb
     count = max(1, -(-wanted.count() // QUERY_BLOCK))
     bucket = F.pmod(F.xxhash64("query_id"), F.lit(count))
     rows = chunks.filter(F.col(vector).isNotNull()).select(F.col("paper_id").cast("long").alias("paper_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
-    scored = reduce(DataFrame.unionByName, [_near(rows, wanted.filter(bucket == b).orderBy("query_id").collect(), k) for b in range(count)])
+    if count > 1:
+        wanted = saved(wanted)
+    keep = saved if count > 1 else lambda df: df
+    scored = reduce(DataFrame.unionByName, [keep(_near(rows, wanted.filter(bucket == b).orderBy("query_id").collect(), k)) for b in range(count)])
     order = Window.partitionBy("query_id").orderBy("distance", "paper_id", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -82,53 +87,48 @@ def _near(rows: DataFrame, asked: list, k: int) -> DataFrame:
     return rows.mapInArrow(near, "query_id long, paper_id long, chunk_id long, distance double")
 
 
-def blocks(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
-    """block, paper_id, chunk_id, v: chunks dealt to blocks of about BLOCK rows by a hash; null vectors left out."""
-    rows = chunks.filter(F.col(vector).isNotNull()).select("paper_id", "chunk_id", F.col(vector).cast("array<double>").alias("v"))
-    count = max(1, -(-rows.count() // BLOCK))
-    return rows.withColumn("block", F.pmod(F.xxhash64("paper_id", "chunk_id"), F.lit(count)).cast("int")), count
-
-
 def best_matches(chunks: DataFrame, vector: str = "embedding", normed: bool = True, targets: DataFrame | None = None) -> DataFrame:
-    """paper_id, chunk_id, other_id, best_chunk, best: for each chunk (of the papers in targets: paper_id) and each other paper, its best chunk; ties to the least chunk_id.
+    """paper_id, chunk_id, other_id, best_chunk, best: for each chunk (of the papers in targets: paper_id; else of all) and each other paper, its best chunk; ties to the least chunk_id.
 
-    normed: cosines; else inner products of unit vectors. Every block of targets meets every block of others in a task
-    of its own.
+    normed: cosines; else inner products of unit vectors. The asking chunks are taken in blocks of BLOCK: a block is
+    collected and broadcast, and each task holds it against its own rows and sends on one row for each asking chunk and
+    paper it has, so no vector is shuffled. Where there are several blocks, what each finds is written.
     """
-    rows, count = blocks(chunks, vector)
-    own = rows if targets is None else rows.join(targets.select("paper_id").distinct(), "paper_id", "left_semi")
-    left = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("with"))
-    right = rows.select("paper_id", "chunk_id", "v", F.col("block").alias("with"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
-    schema = "paper_id long, chunk_id long, other_id long, best_chunk long, best double"
-
-    def plain(column: pa.ChunkedArray) -> np.ndarray:
-        column = column.combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-    of = matrix if normed else plain
-
-    def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("paper_id", "chunk_id", "other_id", "best_chunk", "best")}
-        if a.num_rows and b.num_rows:
-            b = b.sort_by([("paper_id", "ascending"), ("chunk_id", "ascending")])
-            x, y = of(a.column("v")), of(b.column("v"))
-            scores = np.round(x @ y.T, 12)
-            paper, ids = np.asarray(b.column("paper_id")), np.asarray(b.column("chunk_id"))
-            starts = np.flatnonzero(np.r_[True, paper[1:] != paper[:-1]])
-            own_paper, own_chunk = np.asarray(a.column("paper_id")), np.asarray(a.column("chunk_id"))
-            for s, e in zip(starts, [*starts[1:], len(paper)], strict=True):
-                at = scores[:, s:e].argmax(axis=1)
-                rows = np.flatnonzero(own_paper != paper[s])
-                out["paper_id"].append(own_paper[rows])
-                out["chunk_id"].append(own_chunk[rows])
-                out["other_id"].append(np.full(len(rows), paper[s]))
-                out["best_chunk"].append(ids[s + at[rows]])
-                out["best"].append(scores[rows, s + at[rows]])
-        return pa.table({c: np.concatenate(v) if v else np.zeros(0, float if c == "best" else np.int64) for c, v in out.items()})
-
-    partial = left.groupBy("block", "with").cogroup(right.groupBy("block", "with")).applyInArrow(work, schema)
+    rows = chunks.filter(F.col(vector).isNotNull()).select(F.col("paper_id").cast("long").alias("paper_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
+    asking = rows if targets is None else rows.join(targets.select("paper_id").distinct(), "paper_id", "left_semi")
+    count = max(1, -(-asking.count() // BLOCK))
+    bucket = F.pmod(F.xxhash64("paper_id", "chunk_id"), F.lit(count))
+    ordered = rows.sortWithinPartitions("paper_id", "chunk_id")
+    keep = saved if count > 1 else lambda df: df
+    found = [keep(_best(ordered, asking.filter(bucket == b).orderBy("paper_id", "chunk_id").collect(), normed)) for b in range(count)]
     best = F.max(F.struct("best", (-F.col("best_chunk")).alias("before"))).alias("x")
-    return partial.groupBy("paper_id", "chunk_id", "other_id").agg(best).select("paper_id", "chunk_id", "other_id", (-F.col("x.before")).alias("best_chunk"), F.col("x.best").alias("best"))
+    return reduce(DataFrame.unionByName, found).groupBy("paper_id", "chunk_id", "other_id").agg(best).select("paper_id", "chunk_id", "other_id", (-F.col("x.before")).alias("best_chunk"), F.col("x.best").alias("best"))
+
+
+def _best(rows: DataFrame, asking: list, normed: bool) -> DataFrame:
+    """Of rows in the order of papers: for each asking chunk the best row of each other paper, as far as a batch goes."""
+    scaled = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1) if normed else m
+    q = np.array([r["v"] for r in asking], float).reshape(len(asking), len(asking[0]["v"]) if asking else 0)
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["paper_id"] for r in asking], np.int64), np.array([r["chunk_id"] for r in asking], np.int64), scaled(q)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_paper, own_chunk, x = shared.value
+        step = max(1, CELLS // max(1, len(own_paper)))
+        for batch in batches:
+            for i in range(0, batch.num_rows if len(own_paper) else 0, step):
+                part = batch.slice(i, step)
+                paper, ids = part.column("paper_id").to_numpy(), part.column("chunk_id").to_numpy()
+                y = scaled(part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(paper), -1))
+                scores = np.round(x @ y.T, 12)
+                starts = np.flatnonzero(np.r_[True, paper[1:] != paper[:-1]])
+                best = np.maximum.reduceat(scores, starts, axis=1)
+                # of the best, the first: papers' rows are in the order of their chunks
+                place = np.where(scores == np.repeat(best, np.diff(np.append(starts, len(paper))), axis=1), np.arange(len(paper)), len(paper))
+                at = np.minimum.reduceat(place, starts, axis=1)
+                a, b = np.nonzero(own_paper[:, None] != paper[starts][None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (own_paper[a], own_chunk[a], paper[starts][b], ids[at[a, b]], best[a, b])], names=["paper_id", "chunk_id", "other_id", "best_chunk", "best"])
+
+    return rows.mapInArrow(work, "paper_id long, chunk_id long, other_id long, best_chunk long, best double")
 
 
 def comparisons(matches: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def evidence(matches: DataFrame, most: int = 5) -> DataFrame:
 def novelty(matches: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
     """paper_id, other_id, rank, similarity, novelty_score: mean over a paper's chunks of its best cosine with each other paper (negatives count 0); novelty is 1 - the greatest.
 
-    duplicates (paper_id, other_id) are left out beforehand.
+    duplicates (paper_id, other_id) are left out beforehand. See unscored() for papers that have no score.
     """
     if duplicates is not None:
         matches = matches.join(duplicates, ["paper_id", "other_id"], "left_anti")
@@ -167,6 +167,13 @@ def novelty(matches: DataFrame, duplicates: DataFrame | None = None) -> DataFram
     return per.withColumn("novelty_score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 5)
 
 
+def unscored(papers: DataFrame, chunks: DataFrame, scored: DataFrame) -> DataFrame:
+    """paper_id, novelty_score (null), reason of each paper (paper_id) without a score: it has no embedded chunks, or nothing to be compared with."""
+    embedded = chunks.filter(F.col("embedding").isNotNull()).select("paper_id").distinct().withColumn("has", F.lit(True))
+    rows = papers.select("paper_id").distinct().join(scored.select("paper_id").distinct(), "paper_id", "left_anti").join(embedded, "paper_id", "left")
+    return rows.select("paper_id", F.lit(None).cast("double").alias("novelty_score"), F.when(F.col("has"), "no other paper to compare with").otherwise("no embedded chunks").alias("reason"))
+
+
 def near_vectors(vectors: DataFrame, queries: DataFrame, least: float = 0.97, most: int = 10) -> DataFrame:
     """query_id, rank, paper_id, chunk_id, similarity of at least `least` to a query, the best `most`."""
     found = top_k(vectors, queries, most + 1)

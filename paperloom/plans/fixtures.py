@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.functions import vectors as V
 from paperloom.operators import chunks as C
+from paperloom.operators.retrieval import embedded
+from paperloom.sources.steps import saved, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,8 @@ PAPERS = """papers AS (
     text AS full_text, CASE WHEN doc_id % 10 <> 0 THEN CAST(greatest(1, ceil(length(text) / 2000)) AS BIGINT) END AS n_pages
   FROM documents)"""
 
+FUZZY_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(title, ''))), '\.(pdf|txt)$', ''), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
 #: A text with what rules look for that the invented prose never holds, by the remainder of the id. Spark and DuckDB read it alike.
 MARKED = """{t} || CASE {n} % 8
   WHEN 0 THEN ' Introduction [1] and [2,3]. Method and Results (Smith, 2020). Fig. 2 and Fig. 3, Table 1.' || chr(10) || 'References' || chr(10) || '[1] A. [2] B. [7] C.'
@@ -49,10 +53,9 @@ def marked_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paper_id, chunk_id, page_number, text, tokens, embedding of documents."""
+    """paper_id, chunk_id, page_number, text, tokens, embedding of documents: a stored table, written once for a query, however often it reads it."""
     rows = C.chunked(table(spark, sf_dir, "documents"), "doc_id", "text")
-    with_tokens = rows.withColumn("tokens", F.explode(F.array(T.tokens(F.col("text")))))
-    return with_tokens.withColumn("embedding", V.hashed_embedding(F.col("tokens"), 64))
+    return saved(embedded(rows))
 
 
 CLEAN = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '<EOS>|<pad>', ' ', 'g'), '\s+', ' ', 'g'))"

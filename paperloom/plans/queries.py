@@ -15,6 +15,7 @@ from paperloom.operators import chunks as C
 from paperloom.operators import dedup as D
 from paperloom.operators import metadata as M
 from paperloom.operators import operations as O
+from paperloom.operators import pipelines as P
 from paperloom.operators import quality as Q
 from paperloom.operators import retrieval as R
 from paperloom.operators import similarity as S
@@ -60,8 +61,7 @@ def chunk_rows(spark, d):
 SELECT source, count(*) AS n_chunks, count(DISTINCT paper_id) AS n_papers, CAST(sum(length(chunks.text)) AS BIGINT) AS chars, CAST(max(length(chunks.text)) AS BIGINT) AS longest
 FROM chunks JOIN documents ON doc_id = paper_id GROUP BY source""")
 def chunk_stats(spark, d):
-    docs = table(spark, d, "documents")
-    rows = C.chunked(docs, "doc_id").join(docs.select(F.col("doc_id").alias("paper_id"), "source"), "paper_id")
+    rows = C.chunked(table(spark, d, "documents"), "doc_id", passing=("source",))
     n = F.length("text").cast("long")
     return rows.groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("paper_id").alias("n_papers"), F.sum(n).alias("chars"), F.max(n).alias("longest"))
 
@@ -135,17 +135,23 @@ def left_anti_unique(spark, d):
     return D.without(docs, gone, "doc_id").select("doc_id", "source")
 
 
-_FUZZY = r"""WITH t AS (SELECT {id} AS id, trim(regexp_replace(regexp_replace(lower({title}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM {table}),
-u AS (SELECT t, min(id) AS rep FROM t WHERE length(t) >= 3 GROUP BY t),
-g AS (SELECT rep, length(t) AS n, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM u),
-f AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) AS na, len(b.g) AS nb FROM g a JOIN g b ON a.rep < b.rep AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)) - 1e-9)
-SELECT a, b, round(i / (na + nb - i), 6) AS similarity FROM f WHERE i / (na + nb - i) >= 0.85
-UNION ALL SELECT rep, id, 1.0 FROM t JOIN u USING (t) WHERE id <> rep"""
+_FUZZY = r"""t AS (SELECT {id} AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce({title}, ''))), '\.(pdf|txt)$', ''), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t, {also} AS also FROM {table}),
+u AS (SELECT t, also, min(id) AS rep FROM t WHERE t <> '' AND also IS NOT NULL GROUP BY ALL),
+g AS (SELECT rep, also, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM u WHERE length(t) >= 3),
+f AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) AS na, len(b.g) AS nb FROM g a JOIN g b ON a.also = b.also AND a.rep < b.rep AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)) - 1e-9),
+fuzzy AS (SELECT a, b, round(i / (na + nb - i), 6) AS similarity FROM f WHERE i / (na + nb - i) >= 0.85
+UNION ALL SELECT rep, id, 1.0 FROM t JOIN u USING (t, also) WHERE id <> rep)"""
 
 
-@query(_FUZZY.format(id="doc_id", title="substr(text, 1, 60)", table="documents"))
+@query("WITH " + _FUZZY.format(id="p_partkey", title="p_name", table="part", also="1") + " SELECT * FROM fuzzy")
 def fuzzy_title_pairs(spark, d):
-    return D.similar_titles(table(spark, d, "documents"), "doc_id", T.fuzzy_title(F.substring("text", 1, 60)))
+    return D.similar_titles(table(spark, d, "part"), "p_partkey", T.fuzzy_title(F.col("p_name")))
+
+
+@query(f"WITH {X.PAPERS}, " + _FUZZY.format(id="id", title="title", table="papers", also="split_part(lower(authors), ' ', 2)") + " SELECT * FROM fuzzy")
+def fuzzy_title_author_pairs(spark, d):
+    papers = X.papers(spark, d)
+    return D.similar_titles(papers, "id", T.fuzzy_title(F.col("title")), also=F.nullif(T.author_key(F.array("authors")), F.lit("")))
 
 
 @query("""WITH t AS (SELECT doc_id, lower(doc_id % 3 || 'x') AS z, CASE doc_id % 3 WHEN 0 THEN ' https://doi.org/10.1000/' || doc_id WHEN 1 THEN 'DOI: 10.1000/' || doc_id ELSE 'http://dx.doi.org/' || doc_id END AS doi FROM documents)
@@ -156,10 +162,18 @@ def doi_arxiv_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", T.doi_key(doi).alias("doi_key"), F.concat(F.lit("arxiv "), T.arxiv_key(F.concat(F.lit("arXiv:"), n, F.lit("v2")))).alias("arxiv_key"))
 
 
-@query(r"SELECT doc_id, 'search:' || source || ':' || substr(sha256(lower(trim(regexp_replace(substr(text, 1, 50), '\s+', ' ', 'g')))), 1, 16) || ':p1' AS cache_key FROM documents")
+_ASKED = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '))"
+
+
+@query(f"""SELECT doc_id, 'search:' || source || ':' || substr(sha256({_ASKED}), 1, 16) || ':p1' AS search, 'paper:meta:' || substr(sha256('s' || doc_id), 1, 16) AS meta, 'embed:' || sha256(text) AS embed,
+  'llm:chat:' || substr(sha256(least(doc_id, 7) || ',' || greatest(doc_id, 7) || ':' || {_ASKED} || ':m:p'), 1, 16) AS chat, 'llm:gaps:' || doc_id || ':p' AS analysis, 'related:' || doc_id AS related, 'health:' || source AS health FROM documents""")
 def cache_keys(spark, d):
-    asked = F.lower(T.one_space(F.substring("text", 1, 50)))
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("search:"), "source", F.lit(":"), T.short_hash(asked), F.lit(":p1")).alias("cache_key"))
+    n, text = F.col("doc_id"), F.col("text")
+    return table(spark, d, "documents").select(
+        "doc_id", T.search_key(text, F.col("source")).alias("search"), T.paper_key(F.concat(F.lit("s"), n)).alias("meta"), T.embedding_key(F.sha2("text", 256)).alias("embed"),
+        T.chat_key(F.array(n, F.lit(7).cast("long")), text, F.lit("m"), F.lit("p")).alias("chat"), T.analysis_key(n, F.lit("gaps"), F.lit("p")).alias("analysis"),
+        T.related_key(n).alias("related"), T.health_key(F.col("source")).alias("health"),
+    )
 
 
 # -- vectors: a label is a paper, a vector a chunk -----------------------------------------------------------------------
@@ -172,21 +186,21 @@ def vector_chunks(spark, d):
 _VECTORS = "e AS (SELECT CAST(label AS BIGINT) AS paper_id, vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
-@query(f"""WITH {_VECTORS}, s AS (SELECT q.chunk_id AS query_id, c.paper_id, c.chunk_id, 1 - list_cosine_similarity(q.v, c.v) AS dist FROM e c, e q WHERE q.chunk_id < 16),
+@query(f"""WITH {_VECTORS}, s AS (SELECT q.chunk_id AS query_id, c.paper_id, c.chunk_id, 1 - list_cosine_similarity(q.v, c.v) AS dist FROM e c, e q WHERE q.chunk_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), paper_id, chunk_id) AS r FROM s)
 SELECT query_id, CAST(r AS INTEGER) AS rank, paper_id, chunk_id, round(dist, 6) AS distance FROM r WHERE r <= 10""")
 def multi_query_topk(spark, d):
     rows = vector_chunks(spark, d)
-    asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
     return S.top_k(rows, asked, 10).withColumn("distance", F.round(F.abs("distance"), 6))
 
 
-@query(f"""WITH {_VECTORS}, s AS (SELECT q.chunk_id AS query_id, c.paper_id, c.chunk_id, list_cosine_similarity(q.v, c.v) AS sim FROM e c, e q WHERE q.chunk_id < 50 AND q.chunk_id <> c.chunk_id),
+@query(f"""WITH {_VECTORS}, s AS (SELECT q.chunk_id AS query_id, c.paper_id, c.chunk_id, list_cosine_similarity(q.v, c.v) AS sim FROM e c, e q WHERE q.chunk_id % 100 = 0 AND q.chunk_id <> c.chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, paper_id, chunk_id) AS r FROM s WHERE sim >= 0.3)
 SELECT query_id, CAST(r AS INTEGER) AS rank, paper_id, chunk_id, round(sim, 6) AS similarity FROM r WHERE r <= 10""")
 def near_dup_vectors(spark, d):
     rows = vector_chunks(spark, d)
-    asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
     return S.near_vectors(rows, asked, least=0.3).drop("distance")
 
 
@@ -230,26 +244,26 @@ def compare_evidence(spark, d):
 # -- retrieval --------------------------------------------------------------------------------------------------------
 
 
-def questions(spark, d, words: int = 12):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.words(F.col("text")), 1, words), " ").alias("text"))
-    return R.embedded(asked)
+def questions(spark, d):
+    return R.embedded(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 def hits_of(spark, d, k: int = 8, floor: float = 0.15):
-    return R.retrieve(X.text_chunks(spark, d), questions(spark, d), k, floor)
+    """The stored chunks, and the hits of every benchmark item among them."""
+    chunks = X.text_chunks(spark, d)
+    return chunks, R.retrieve(chunks, questions(spark, d), k, floor)
 
 
 _KEYWORDS = phrases(L.RESEARCH_KEYWORDS)
 _SCORE = "CASE WHEN len({q}) = 0 THEN 0.0 ELSE least(0.5, 0.35 * len(list_intersect({t}, {q})) / len({q}) + least(0.15, 0.05 * len(list_intersect(list_intersect({t}, {q}), {k})))) END"
-_QUESTIONS = f"qt AS (SELECT item_id AS query_id, array_to_string(({WORDS.format('text')})[1:12], ' ') AS text FROM benchmark), q AS (SELECT query_id, {X.TOKENS.format('text')} AS asked FROM qt)"
+_QUESTIONS = f"q AS (SELECT item_id AS query_id, {X.TOKENS.format('text')} AS asked FROM benchmark)"
 
 
 @query(f"""WITH {_QUESTIONS}, t AS (SELECT doc_id, {X.TOKENS.format("text")} AS t FROM documents)
-SELECT query_id, doc_id, round({_SCORE.format(t="t", q="asked", k=phrases(CORPUS_KEYWORDS))}, 6) AS score FROM t, q WHERE query_id < 5""")
+SELECT query_id, doc_id, round({_SCORE.format(t="t", q="asked", k=phrases(CORPUS_KEYWORDS))}, 6) AS score FROM t, q WHERE query_id % 100 = 0 AND len(list_intersect(t, asked)) > 0""")
 def keyword_scores(spark, d):
-    asked = questions(spark, d).select("query_id", F.col("tokens").alias("asked"))
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("t"))
-    return docs.crossJoin(asked).select("query_id", "doc_id", F.round(T.keyword_score(F.col("t"), F.col("asked"), CORPUS_KEYWORDS), 6).alias("score"))
+    asked = table(spark, d, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return R.keyword_matches(table(spark, d, "documents"), asked, CORPUS_KEYWORDS)
 
 
 _HITS = f"""{X.CHUNKS}, {_QUESTIONS},
@@ -263,7 +277,7 @@ hits AS (SELECT query_id, paper_id, chunk_id, similarity, keyword_score, round(0
 
 @query(f"WITH RECURSIVE {_HITS} SELECT query_id, rank, paper_id, chunk_id, similarity, keyword_score, final_score FROM hits")
 def hybrid_retrieve(spark, d):
-    return hits_of(spark, d)
+    return hits_of(spark, d)[1]
 
 
 _EXPANDED = f"""{_HITS},
@@ -273,15 +287,16 @@ n AS (SELECT x.* FROM x JOIN chunks USING (paper_id, chunk_id) QUALIFY row_numbe
 
 @query(f"WITH RECURSIVE {_EXPANDED} SELECT query_id, paper_id, chunk_id, is_neighbor, CASE WHEN NOT is_neighbor THEN similarity END AS similarity, CASE WHEN is_neighbor THEN 0.0 ELSE final_score END AS final_score FROM n")
 def neighbor_expand(spark, d):
-    return R.with_neighbours(hits_of(spark, d), X.text_chunks(spark, d))
+    chunks, hits = hits_of(spark, d)
+    return R.with_neighbours(hits, chunks)
 
 
 @query(f"""WITH RECURSIVE {_EXPANDED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY paper_id, chunk_id) AS i FROM n QUALIFY i <= 12)
-SELECT query_id, count(*) AS n_sources, sha256(string_agg('[SOURCE ' || i || ']' || chr(10) || 'Paper: ' || paper_id || chr(10) || 'Page: 1' || chr(10) || CASE WHEN is_neighbor THEN 'Similarity: neighbor' ELSE 'Similarity: ' || printf('%.4f', round(similarity, 4)) END || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS context_sha
+SELECT query_id, count(*) AS n_sources, sha256(string_agg('[SOURCE ' || i || ']' || chr(10) || 'Paper: ' || paper_id || chr(10) || 'Page: 1' || chr(10) || CASE WHEN is_neighbor THEN 'Similarity: neighbor' ELSE 'Similarity: ' || printf('%.4f', floor(similarity * 10000 + 0.5) / 10000) END || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS context_sha
 FROM k JOIN chunks USING (paper_id, chunk_id) GROUP BY query_id""")
 def rag_context(spark, d):
-    chunks = X.text_chunks(spark, d)
-    told = R.context(R.with_neighbours(hits_of(spark, d), chunks), chunks)
+    chunks, hits = hits_of(spark, d)
+    told = R.context(R.with_neighbours(hits, chunks), chunks)
     return told.select("query_id", "n_sources", F.sha2("context", 256).alias("context_sha"))
 
 
@@ -292,7 +307,8 @@ _LIMITED = f"({present('text', LIMITING)} > 0 AND NOT ({present('text', PRAISING
 z AS (SELECT query_id, paper_id, chunk_id, round(final_score + CASE WHEN {_LIMITED} THEN 0.05 ELSE 0 END, 6) AS boosted FROM b JOIN chunks USING (paper_id, chunk_id) WHERE final_score >= 0.18)
 SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY boosted DESC, chunk_id) <= 5""")
 def evidence_rank_gap(spark, d):
-    rows = R.merged_hits(hits_of(spark, d)).join(X.text_chunks(spark, d).select("paper_id", "chunk_id", "text"), ["paper_id", "chunk_id"])
+    chunks, hits = hits_of(spark, d)
+    rows = R.merged_hits(hits).join(chunks.select("paper_id", "chunk_id", "text"), ["paper_id", "chunk_id"])
     return R.evidence_ranked(rows, T.limitation_evidence(F.col("text"), LIMITING, PRAISING), by="paper_id").select("query_id", "paper_id", "chunk_id", "boosted")
 
 
@@ -300,7 +316,8 @@ def evidence_rank_gap(spark, d):
 z AS (SELECT query_id, paper_id, chunk_id, round(final_score + CASE WHEN {present("text", STRONG)} > 0 THEN 0.05 ELSE 0 END, 6) AS boosted FROM b JOIN chunks USING (paper_id, chunk_id) WHERE final_score >= 0.18)
 SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY boosted DESC, chunk_id) <= 10""")
 def evidence_rank_strength(spark, d):
-    rows = R.merged_hits(hits_of(spark, d), "first").join(X.text_chunks(spark, d).select("paper_id", "chunk_id", "text"), ["paper_id", "chunk_id"])
+    chunks, hits = hits_of(spark, d)
+    rows = R.merged_hits(hits, "first").join(chunks.select("paper_id", "chunk_id", "text"), ["paper_id", "chunk_id"])
     return R.evidence_ranked(rows, T.contains_any(F.col("text"), STRONG), most=10, by="paper_id").select("query_id", "paper_id", "chunk_id", "boosted")
 
 
@@ -342,7 +359,7 @@ def reference_filter(spark, d):
 _TERMS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]{{4,}}')), lambda w: NOT list_contains(" + phrases(L.STOPWORDS) + ", w))"
 
 
-@query(f"""WITH t AS (SELECT d.doc_id, b.item_id, {_TERMS.format("b.text")} AS s, {_TERMS.format("d.text")} AS c FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+@query(f"""WITH t AS (SELECT d.doc_id, b.item_id, {_TERMS.format("b.text")} AS s, {_TERMS.format("d.text")} AS c FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark) b ON d.doc_id % b.n = b.place)
 SELECT doc_id, item_id, len(s) AS n_terms, len(s) = 0 OR len(c) = 0 OR len(list_intersect(s, c)) >= CASE WHEN len(s) <= 4 THEN 1 ELSE 2 END AS grounded FROM t""")
 def grounding_check(spark, d):
     # the nth of all items goes with the documents whose id leaves n
@@ -479,18 +496,14 @@ def page_coverage(spark, d):
 @query(r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations QUALIFY r <= 6)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(upper(role[1]) || role[2:] || ': ' || trim(regexp_replace(text, '\s+', ' ', 'g')), chr(10) ORDER BY turn)) AS history_sha FROM r WHERE trim(text, ' ' || chr(10)) <> '' GROUP BY conv_id""")
 def history_last6(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text")), asc=False).alias("x"))
-    kept = F.filter(F.reverse(F.slice("x", 1, 6)), lambda t: T.strip(t["text"]) != "")
-    line = F.transform(kept, lambda t: F.concat(F.initcap(t["role"]), F.lit(": "), T.one_space(t["text"])))
-    return rows.select("conv_id", F.size(kept).cast("long").alias("n_turns"), F.sha2(F.array_join(line, "\n"), 256).alias("history_sha")).filter("n_turns > 0")
+    return A.history(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "n_turns", F.sha2("history", 256).alias("history_sha"))
 
 
-@query(r"SELECT doc_id, array_to_string((" + WORDS.format("text") + r")[1:30], ' ') AS abstract FROM documents WHERE len(" + WORDS.format("text") + ") > 0")
+@query("SELECT doc_id, sha256(array_to_string(" + WORDS.format("text") + ", ' ')) AS abstract_sha FROM documents WHERE len(" + WORDS.format("text") + ") > 0")
 def inverted_abstract(spark, d):
-    own = F.slice(T.words(F.col("text")), 1, 30)
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(own).alias("p", "w"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("p", "w"))
     index = rows.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
-    return index.select("doc_id", T.abstract_of(F.col("m")).alias("abstract"))
+    return index.select("doc_id", F.sha2(T.abstract_of(F.col("m")), 256).alias("abstract_sha"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Artificial Intelligence|Machine Learning' WHEN 1 THEN 'Computation|x' || doc_id WHEN 2 THEN source ELSE '' END AS categories FROM documents""")
@@ -579,16 +592,19 @@ def events_session(spark, d):
     return streams.sessions(table(spark, d, "events"), "ts", "user_id")
 
 
-@query(r"SELECT CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) FILTER (list_has_any(" + X.TOKENS.format("b.text") + ", " + X.TOKENS.format("d.text") + r")) / count(*), 4) AS score FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3")
+@query(f"""WITH RECURSIVE {_HITS}, k AS (SELECT item_id AS query_id, {_TERMS.format("text")} AS k FROM benchmark),
+t AS (SELECT query_id, list_distinct(flatten(list(tokens))) AS t FROM hits JOIN c USING (paper_id, chunk_id) GROUP BY query_id)
+SELECT count(*) AS n, round(100.0 * count(*) FILTER (2 * len(list_intersect(k, coalesce(t, []))) >= len(k)) / count(*), 4) AS score FROM k LEFT JOIN t USING (query_id) WHERE len(k) > 0""")
 def rag_eval_score(spark, d):
-    items = table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id"), T.tokens(F.col("text")).alias("k"))
-    rows = items.join(table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "left")
-    found = F.coalesce(F.arrays_overlap("k", "t"), F.lit(False)).cast("double")
-    return rows.agg(F.count("*").alias("n"), F.round(100 * F.avg(found), 4).alias("score"))
+    chunks, hits = hits_of(spark, d)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.key_terms(F.col("text")).alias("k"))
+    return R.evaluated(items, hits, chunks)
 
 
-@query(f"""WITH t AS (SELECT doc_id, {X.TOKENS.format("text")} AS t FROM documents)
-SELECT doc_id, len(t) AS n_tokens, CASE WHEN len(t) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM t""".replace("1.0 ELSE 0.0 END", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"))
+@query(f"""WITH t AS (SELECT doc_id, {X.TOKENS.format("text")} AS t FROM documents), v AS (SELECT *, {X.EMBED.format("t")} AS v FROM t),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v)
+SELECT doc_id, len(t) AS n_tokens, sha256(array_to_string(list_transform(v, lambda x: CAST(round(CASE WHEN norm > 0 THEN x / norm ELSE 0 END * 1000000) AS BIGINT)), ',')) AS vector_sha FROM n""")
 def embed_model(spark, d):
     rows = R.embedded(table(spark, d, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+    whole = F.transform("embedding", lambda x: F.round(x * 1000000).cast("long").cast("string"))
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join(whole, ","), 256).alias("vector_sha"))

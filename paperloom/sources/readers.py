@@ -79,3 +79,53 @@ def read_chunks(spark: SparkSession, path: str, paper_id: int | None = None, buc
         bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(paper_id).cast("long")), F.lit(buckets)).cast("int")).first()[0]
         rows = rows.filter((F.col("bucket") == bucket) & (F.col("paper_id") == paper_id))
     return rows.drop("bucket")
+
+
+def full_texts(pages: DataFrame) -> DataFrame:
+    """path, n_pages, n_chars, full_text, title, authors of extracted pages: the pages with text joined by blank lines, and what the first page tells where a file's metadata is silent."""
+    rows = pages.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("xs"))
+    texts = F.filter(F.transform("xs", lambda x: x["text"]), lambda t: T.strip(F.coalesce(t, F.lit(""))) != "")
+    rows = rows.select("path", F.size("xs").cast("long").alias("n_pages"), F.array_join(texts, "\n\n").alias("full_text"), F.explode(F.array(T.page_lines(F.col("xs")[0]["text"]))).alias("lines"))
+    title = T.title_line(F.col("lines"))
+    return rows.select("path", "n_pages", F.length("full_text").cast("long").alias("n_chars"), "full_text", title.alias("title"), T.author_block(F.col("lines"), title).alias("authors"))
+
+
+def newest_first(papers: DataFrame) -> DataFrame:
+    return papers.orderBy(F.desc("id"))
+
+
+def of_id(rows: DataFrame, value: int, column: str = "id") -> DataFrame:
+    """The rows of one id; the comparison reaches the file scan."""
+    return rows.filter(F.col(column) == F.lit(value))
+
+
+def append_papers(papers: DataFrame, path: str) -> None:
+    papers.write.mode("append").parquet(path)
+
+
+def _swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a table that is written in full in the place of another."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = at(f"{path}-old")
+    files.delete(old, True)
+    if not files.rename(at(path), old) or not files.rename(at(staged), at(path)):
+        raise OSError(f"could not put {staged} in the place of {path}")
+    files.delete(old, True)
+
+
+def deleted(spark: SparkSession, path: str, gone: DataFrame, column: str, partitions: tuple[str, ...] = ()) -> int:
+    """Take the rows whose column is among gone's out of the table at path; how many they were. The new table is written beside the old one and then renamed."""
+    rows = spark.read.parquet(path)
+    ids = gone.select(column).distinct()
+    count = rows.join(ids, column, "left_semi").count()
+    if count:
+        rows.join(ids, column, "left_anti").write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}-staged")
+        _swap(spark, f"{path}-staged", path)
+    return count
+
+
+def delete_duplicates(spark: SparkSession, papers_path: str, chunks_path: str, duplicates: DataFrame) -> tuple[int, int]:
+    """Delete papers (id) that are duplicates, and their chunks; the numbers of both."""
+    gone = duplicates.select("id").distinct()
+    return deleted(spark, papers_path, gone, "id"), deleted(spark, chunks_path, gone.withColumnRenamed("id", "paper_id"), "paper_id", ("bucket",))

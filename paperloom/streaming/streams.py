@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,59 +32,85 @@ def distinct_texts(documents: DataFrame, time: str, text: str, late: str = "1 da
 
 
 def ingest(documents: DataFrame, path: str, checkpoint: str, id_column: str = "doc_id", text: str = "text") -> StreamingQuery:
-    """Append documents with texts that the table at path does not have. A batch's own repeats keep the least id; a batch that is run again adds nothing."""
+    """Append documents with texts that the table at path does not have. A batch's own repeats keep the least id; a batch that is run again adds nothing.
+
+    The table's folders are dealt by the first three digits of the hash, of which a batch reads only those it meets.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("text_hash", T.text_hash(F.col(text))).filter(F.col("text_hash").isNotNull())
-        least = rows.groupBy("text_hash").agg(F.min_by(F.struct(*rows.columns), id_column).alias("x")).select("x.*")
+        rows = batch.withColumn("text_hash", T.text_hash(F.col(text))).filter(F.col("text_hash").isNotNull()).withColumn("hash_bucket", F.concat(F.lit("h"), F.substring("text_hash", 1, 3)))
+        least = rows.groupBy("text_hash").agg(F.min_by(F.struct(*rows.columns), id_column).alias("x")).select("x.*").persist()
+        met = [r["hash_bucket"] for r in least.select("hash_bucket").distinct().collect()]  # 4,096 at most
         try:
-            known = spark.read.parquet(path).select("text_hash")
+            known = spark.read.parquet(path).filter(F.col("hash_bucket").isin(met)).select("text_hash")
         except Exception as e:  # the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = spark.createDataFrame([], "text_hash string")
-        least.join(known, "text_hash", "left_anti").write.mode("append").parquet(path)
+        least.join(known, "text_hash", "left_anti").write.mode("append").partitionBy("hash_bucket").parquet(path)
+        least.unpersist()
 
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rate_limits(requests: DataFrame, key: str, time: str, limit: int = 30, seconds: int = 60) -> DataFrame:
-    """key, time, allowed of every request: the state of a key is the time of its counter's start and the count."""
+    """key, time, allowed of every request: the state of a key is the time of its counter's start and the count, and ends when it has been quiet for `seconds`.
+
+    Of a key's rows of one batch only the times are held, eight bytes each.
+    """
+    width = seconds * 1_000_000
 
     def judge(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(time)
-        allowed = []
-        for t in rows[time].astype("int64") // 1000 if str(rows[time].dtype).endswith("[ns]") else rows[time].astype("int64"):
-            if since is None or t - since >= seconds * 1_000_000:
-                since, used = t, 0
-            allowed.append(used < limit)
-            used += allowed[-1]
+        times = np.sort(np.concatenate([batch[time].to_numpy().astype("datetime64[us]").astype(np.int64) for batch in batches]))
+        allowed, i = np.zeros(len(times), bool), 0
+        while i < len(times):
+            if since is None or times[i] - since >= width:
+                since, used = int(times[i]), 0
+            j = int(np.searchsorted(times, since + width))
+            allowed[i : i + max(0, limit - used)] = True
+            allowed[j:] = False
+            used = min(limit, used + j - i)
+            i = j
         state.update((since, used))
-        yield pd.DataFrame({key: name[0], time: rows[time].to_numpy(), "allowed": allowed})
+        state.setTimeoutDuration(seconds * 1000)
+        for i in range(0, len(times), 10_000):
+            yield pd.DataFrame({key: name[0], time: times[i : i + 10_000].astype("datetime64[us]"), "allowed": allowed[i : i + 10_000]})
 
     schema = f"{key} {dict(requests.dtypes)[key]}, {time} timestamp, allowed boolean"
-    return requests.select(key, time).groupBy(key).applyInPandasWithState(judge, schema, "since long, used long", "append", GroupStateTimeout.NoTimeout)
+    return requests.select(key, time).groupBy(key).applyInPandasWithState(judge, schema, "since long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 TRANSITIONS = {"start": "running", "succeed": "succeeded", "fail": "failed", "retry": "retrying", "queue": "queued"}
 
 
 def job_states(events: DataFrame, key: str, most_retries: int = 3) -> DataFrame:
-    """key, status, retries, delay after each batch of a job's events (event, progress): failures are tried again up to the most, after 10, 20, 40 seconds and so on, at most 300."""
+    """key, status, retries, delay after each batch of a job's events (event, progress): failures are tried again up to the most, after 10, 20, 40 seconds and so on, at most 300.
+
+    A job's state ends a day after its last event. Of its rows of one batch the times and events are held.
+    """
 
     def move(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, retries = state.get if state.exists else ("queued", 0)
         delay: Any = None
-        for event in pd.concat(list(batches)).sort_values("ts")["event"]:
+        held = [(batch["ts"].to_numpy(), pd.Categorical(batch["event"])) for batch in batches]
+        events = np.concatenate([np.asarray(c.categories, object)[c.codes] for _, c in held])
+        for event in events[np.argsort(np.concatenate([t for t, _ in held]), kind="stable")]:
             status = TRANSITIONS.get(event, status)
             delay = None
             if status == "failed" and retries < most_retries:
                 retries += 1
                 status, delay = "retrying", min(5 * 2**retries, 300)
         state.update((status, retries))
+        state.setTimeoutDuration(86_400_000)
         yield pd.DataFrame({key: [name[0]], "status": [status], "retries": [retries], "delay": [delay]})
 
     schema = f"{key} {dict(events.dtypes)[key]}, status string, retries int, delay double"
-    return events.groupBy(key).applyInPandasWithState(move, schema, "status string, retries int", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(move, schema, "status string, retries int", "update", GroupStateTimeout.ProcessingTimeTimeout)
