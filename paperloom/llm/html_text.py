@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -12,197 +13,254 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import small_batches
+from paperloom.llm.common import bounded
 from paperloom.llm.labelled_pages import labelled_pages
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|([^<]+|<)", re.S)
-_MARK = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)|(?=[\s>])|([\"'])))?")
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: Elements whose content is no markup.
-RAW = {"script", "style", "textarea", "xmp", "iframe", "noembed", "noframes"}
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_STOP = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
+#: Elements whose content is characters up to their end tag, in whatever case.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that do not end a block.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that are never part of the article, whatever stands in them.
-NEVER = set("head title nav footer aside form button select option noscript script style textarea iframe template svg canvas object menu dialog fieldset input".split())
-#: Words in class, id, role and the like that name such parts.
-NEVER_MARKED = set(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu menubar "
-    "breadcrumb breadcrumbs sidebar aside footer foot masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup login search share sharing social related recommended recommendations trending comment comments commentlist disqus respond replies reply "
-    "discussion widget widgets toolbar pagination pager skip complementary contentinfo dialog copyright legal disclaimer form".split()
-)
-#: Words that make a name say what an element has, lacks or is like, not what it is: has-sidebar, no-ads, comments-open.
-HAVING, STATES = {"has", "have", "with", "without", "no", "not", "is", "hide", "show"}, {"open", "opened", "closed", "on", "off", "enabled", "disabled", "allowed", "active", "inactive", "visible", "collapsed", "expanded"}
-#: Words beside those of NEVER_MARKED in a section's id that names such a part; other ids of sections are topics (related-work).
-BESIDE = set("list area section wrap wrapper container box block bar posts post articles links buttons content thread us and".split())
+#: Elements whose content is not shown as text of the page.
+UNSHOWN = {"head", "title", "script", "style", "template", "noscript", "textarea", "select", "option", "datalist", "iframe", "object", "canvas", "svg", "audio", "video", "noembed", "noframes"}
+#: Start tags end an open element of these names, unless one of the others stands between.
+ENDS = {"li": (("li",), {"ul", "ol", "menu"}), "dt": (("dt", "dd"), {"dl"}), "dd": (("dt", "dd"), {"dl"}), "tr": (("tr",), {"table"}), "td": (("td", "th"), {"tr", "table"}), "th": (("td", "th"), {"tr", "table"}), "option": (("option",), {"select"})}
+#: Start tags that end an open paragraph, unless one of the others stands between.
+ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dt dd main menu nav ol p pre section summary table ul".split())
+HOLDS_P = {"table", "td", "th", "caption", "button", "object"}
+#: Elements that say by their name that they are a part beside something.
+PARTS = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Header elements are the page's unless they stand in one of these.
-ARTICLES = {"article", "main"}
-#: Elements that open inside of another one end it.
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "main", "aside", "nav", "footer", "header", "form", "blockquote"}
-_END_P = SCOPES - {"body"} | {"h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr", "address", "figure", "fieldset"}
+#: What any tag costs at least, where a word of an article brings several.
+TAG_COST = 0.1
+#: What an end tag of an inline element does not reach over.
+WALLS = {"table", "td", "th", "li", "div", "article", "section", "body", "main", "aside", "nav", "footer", "header", "form", "blockquote", "p"}
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+    """(kind, name or text, attributes, self-closing) of a page, by the rules of HTML: kind is text, start or end. Comments and declarations are left out, and so is a tag that the page's end cuts off."""
+    at, n = 0, len(html)
+    while at < n:
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = n if end < 0 else end
+            yield "text", html[at:end], {}, False
+            at = end
+            continue
+        after = html[at + 1 : at + 2]
+        closing = after == "/"
+        first = html[at + 2 : at + 3] if closing else after
+        if first.isascii() and first.isalpha():
+            m = _NAME.match(html, at + 1 + closing)
+            name, at, found = m[0].lower(), m.end(), {}
+            while True:
+                m = _ATTRIBUTE.match(html, at)
+                if not m or m[5] is not None:
+                    break
+                at = m.end()
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+            if m:  # a quote that never ends
+                return
+            end = html.find(">", at)
+            if end < 0:
+                return
+            bare = html[end - 1] == "/"
+            at = end + 1
+            yield ("end" if closing else "start"), name, found, bare
+            if not closing and name in RAW:
+                m = RAW[name].search(html, at)
+                end = m.start() if m else n
+                if end > at:
+                    yield "text", html[at:end], {}, False
+                at = end
+        elif html.startswith("<!--", at):
+            if html.startswith(("<!-->", "<!--->"), at):
+                at = html.index(">", at) + 1
+                continue
+            ends = [x + k for x, k in ((html.find("-->", at + 4), 3), (html.find("--!>", at + 4), 4)) if x >= 0]
+            at = min(ends, default=n)
+        elif html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            at = n if end < 0 else end + 3
+        elif after in ("!", "?") or closing and first:
+            end = html.find(">", at)
+            at = n if end < 0 else end + 1
+        else:
+            yield "text", "<", {}, False
+            at += 1
 
 
 @dataclass
 class Page:
-    """A page as tokens: texts and block tags, each with its features, and the blocks of text."""
+    """A page as blocks of text and tags in their order, and its elements: parents stand before children."""
 
-    features: list[tuple[str, ...]]
-    sizes: list[int]
-    blocks: list[int]
-    texts: list[str]
-    never: list[bool]
+    names: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    marks: list[list[str]] = field(default_factory=list)
+    unshown: list[bool] = field(default_factory=list)
+    #: Of each token: its element, and its block, or -1 for a tag.
+    owners: list[int] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)
+    #: Of each block: its text, its words, how many of them are links, its element.
+    texts: list[str] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    links: list[int] = field(default_factory=list)
+    of: list[int] = field(default_factory=list)
 
 
-def _named(attributes: str, name: str = "") -> bool:
-    """Does a class, id or the like name a part that is never the article? Not a heading's id, nor a section's that is a topic, nor what only says that an element has such a part."""
-    for m in _MARK.finditer(attributes):
-        is_id = m[1].lower() == "id"
-        if is_id and name in HEADINGS:
-            continue
-        for value in (m[2] or m[3] or m[4] or "").split():
-            words = [w.lower() for w in _PARTS.split(value) if w]
-            if not any(w in NEVER_MARKED for w in words) or len(words) > 1 and (words[0] in HAVING or words[-1] in STATES):
-                continue
-            if is_id and name == "section" and not all(w in NEVER_MARKED or w in BESIDE for w in words):
-                continue
-            return True
-    return False
+def marks_of(name: str, found: dict[str, str]) -> list[str]:
+    """What an element calls itself: the words of its classes, role and label, and its id as a whole. A heading's id is its topic."""
+    words = [w.lower() for c in ("class", "role", "aria-label", "itemprop") for w in _PARTS.split(found.get(c, "")) if w]
+    own = [f"called {w}" for w in words[:20]]
+    return own + [f"id {found['id'].lower()}"] if found.get("id") and name not in HEADINGS else own
 
 
-@dataclass
-class Elements:
-    """Elements of a page in the order of their opening; parents come first."""
-
-    names: list[str]
-    parents: list[int]
-    hard: list[bool]
-    named: list[bool]
-
-    def never(self, tokens: list[int], sizes: list[int]) -> list[bool]:
-        """Which elements are never the article, by themselves or by one around them; tokens are the elements of the texts of so many words.
-
-        A mark is only a name. It does not count on an element around main or around the largest article without a name
-        of that kind (if this has more words than all that no mark is on), nor, where nothing outside of marks looks like an
-        article, around the first h1 or, without any of these, around most of the page's words.
-        """
-        n = len(self.names)
-        marked = [x and t not in ("html", "body", *ARTICLES) for x, t in zip(self.named, self.names, strict=True)]
-        gone, mark, words, root = [False] * n, [-1] * n, [0] * n, [0] * n
-        for e, p in enumerate(self.parents):
-            gone[e] = self.hard[e] or (p >= 0 and gone[p])
-            mark[e] = e if marked[e] else mark[p] if p >= 0 else -1
-        if not any(marked[e] and not gone[e] for e in range(n)):
-            return gone
-        plain = 0
-        for e, size in zip(tokens, sizes, strict=True):
-            if e < 0 or not gone[e]:
-                if e >= 0:
-                    words[e] += size
-                if e >= 0 and mark[e] >= 0:
-                    root[mark[e]] += size
-                else:
-                    plain += size
-        for e in range(n - 1, -1, -1):
-            if self.parents[e] >= 0:
-                words[self.parents[e]] += words[e]
-        total = plain + sum(root)
-        alike = [e for e in range(n) if not gone[e] and self.names[e] in ("h1", "article", "main")]
-        held = {e for e in alike if self.names[e] == "main"}
-        seen = any(mark[e] < 0 for e in alike)
-        if not seen:
-            held |= set([e for e in alike if self.names[e] == "h1"][:1])
-        articles = [e for e in alike if self.names[e] == "article" and not self.named[e]]
-        largest = max(articles, key=lambda e: words[e], default=None)
-        if largest is not None and words[largest] > plain:
-            held.add(largest)
-        around = set()
-        for e in held:
-            p = self.parents[e]
-            while p >= 0:
-                around.add(p)
-                p = self.parents[p]
-        out = [False] * n
-        for e, p in enumerate(self.parents):
-            inside = p >= 0 and out[p]
-            own = marked[e] and e not in around and e not in held
-            if own and not inside and not gone[e] and not seen and not held and 2 * words[e] > total and 10 * plain < words[e]:
-                own, plain = False, plain + root[e]
-            out[e] = inside or self.hard[e] or own
-        return out
+def parse(html: str) -> Page:
+    """The blocks, tags and elements of a page. Text that follows a block's border begins a new block; text outside of all markup is a block too."""
+    page = Page([""], [-1], [[]], [False])
+    stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # of each name, its places in the stack
+    solid = [0]  # elements that are not inline, innermost last
+    pieces: list[str] = []
+    linked = 0
+    first = -1
 
+    def close_block() -> None:
+        nonlocal pieces, linked, first
+        text = " ".join("".join(pieces).split()) if pieces else ""
+        if text:
+            page.owners.append(first)
+            page.blocks.append(len(page.texts))
+            page.texts.append(text)
+            page.sizes.append(text.count(" ") + 1)
+            page.links.append(linked)
+            page.of.append(first)
+        pieces, linked, first = [], 0, -1
 
-def parse(html: str) -> Page:
-    """Tokens of a page. Text that follows a block's border begins a new block; text outside of all markup is a block too."""
-    page, elements, of = Page([], [], [], [], []), Elements([], [], [], []), []
-    stack: list[tuple[str, int]] = []  # open elements and their places among elements
-    at, block, n = 0, 0, len(html)
-    while at < n:
-        m = _TOKEN.match(html, at)
-        if not m:
-            at += 1
-            continue
-        at = m.end()
-        if m[4] is not None:
-            text = unescape(m[4])
-            own = text.split()
-            if text:
-                near = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                link = any(t == "a" for t, _ in stack[-6:])
-                page.features.append((f"word in {near}", *(("word in a",) if link else ())))
-                page.sizes.append(len(own))
-                page.blocks.append(block)
-                page.texts.append(text)
-                of.append(stack[-1][1] if stack else -1)
-            continue
-        if not m[2]:
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            name, _ = stack.pop()
+            places[name].pop()
+            if name not in INLINE:
+                solid.pop()
+
+    def inside(names: tuple[str, ...], walls: set[str]) -> int:
+        """Where the innermost open element of these names stands, unless a wall is nearer; else -1."""
+        at = max((places[x][-1] for x in names if places.get(x)), default=-1)
+        return at if at >= 0 and all(places[w][-1] < at for w in walls if places.get(w)) else -1
+
+    for kind, name, found, bare in tokens(html):
+        if kind == "text":
+            near = stack[-1][1] if stack else 0
+            if page.unshown[near]:
+                continue
+            text = unescape(name)
+            if text and not text.isspace():
+                if first < 0:
+                    # a block of one piece takes its inline elements' names too
+                    first = near
+                elif near != first:
+                    first = solid[-1]
+                if places.get("a"):
+                    linked += len(text.split())
+            pieces.append(text)
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name not in INLINE:
-            block += 1
+        block = name not in INLINE
+        if block:
+            close_block()
         elif name == "br":
-            if page.texts and page.blocks[-1] == block:
-                page.texts[-1] += " "
+            pieces.append(" ")
             continue
-        if closing:
-            places = [i for i, (t, _) in enumerate(stack) if t == name]
-            if places and not (name in INLINE and any(t in SCOPES for t, _ in stack[places[-1] :])):
-                del stack[places[-1] :]
+        if kind == "end":
+            own = places.get(name)
+            if own and (block or all(places[w][-1] < own[-1] for w in WALLS if places.get(w))):
+                cut(own[-1])
         else:
-            closes = CLOSES.get(name, set()) | ({"p"} if name in _END_P else set())
-            # an open inline element does not keep a block open
-            while closes and stack:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-                if k < 0 or stack[k][0] not in closes:
-                    break
-                del stack[k:]
-            header = name == "header" and not any(t in ARTICLES for t, _ in stack)
-            raw = name in RAW
-            if raw:
-                end = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
-                at = end.start() if end else n
-            if raw or name not in VOID and not m[0].endswith("/>"):
-                elements.parents.append(stack[-1][1] if stack else -1)
-                stack.append((name, len(elements.names)))
-                elements.names.append(name)
-                elements.hard.append(raw or name in NEVER or header or bool(_HIDDEN.search(m[3])))
-                elements.named.append(_named(m[3], name))
-        if name not in INLINE:
-            page.features.append((f"tag {name}",))
-            page.sizes.append(1)
+            if name in ENDS_P and (at := inside(("p",), HOLDS_P)) >= 0:
+                cut(at)
+            if name in ENDS and (at := inside(*ENDS[name])) >= 0:
+                cut(at)
+            if name not in VOID and not (bare and name in ("svg", "path")):
+                parent = stack[-1][1] if stack else 0
+                at = len(page.names)
+                hidden = name in UNSHOWN or "hidden" in found and found["hidden"].lower() != "false" or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(found.get("style", "")))
+                page.names.append(name)
+                page.parents.append(parent)
+                page.marks.append(marks_of(name, found))
+                page.unshown.append(hidden or page.unshown[parent])
+                places.setdefault(name, []).append(len(stack))
+                stack.append((name, at))
+                if block:
+                    solid.append(at)
+        if block and not page.unshown[solid[-1]]:
+            page.owners.append(solid[-1])
             page.blocks.append(-1)
-            page.texts.append("")
-            of.append(stack[-1][1] if stack else -1)
-    never = elements.never(*zip(*((e, size) for e, size, text in zip(of, page.sizes, page.texts, strict=True) if text), strict=True)) if any(page.texts) else elements.never([], [])
-    page.never = [e >= 0 and never[e] for e in of]
-    page.features = [(*own, "word in never" if text else "tag in never") if gone else own for own, text, gone in zip(page.features, page.texts, page.never, strict=True)]
+    close_block()
     return page
 
 
+def wrapping(page: Page) -> list[bool]:
+    """Which elements hold the article rather than being a part beside it, by what they contain: the main element, the largest article (if it is the only one, or has a fifth of the words), or what is around the first heading of the first rank (with two more blocks, and in no header, menu, footer or aside of the page); on pages without any of these, over half of the words."""
+    n = len(page.names)
+    words, count, beside = [0] * n, [0] * n, [False] * n
+    for size, e in zip(page.sizes, page.of, strict=True):
+        words[e] += size
+        count[e] += 1
+    for e in range(n - 1, 0, -1):
+        words[page.parents[e]] += words[e]
+        count[page.parents[e]] += count[e]
+    for e in range(1, n):
+        name = page.names[e]
+        beside[e] = name not in ("article", "main") and (beside[page.parents[e]] or name in ("nav", "header", "footer", "aside"))
+    shown = [e for e in range(n) if not page.unshown[e]]
+    held = [e for e in shown if page.names[e] == "main"]
+    articles = [e for e in shown if page.names[e] == "article"]
+    largest = max(articles, key=lambda e: words[e], default=0)
+    if largest and (5 * words[largest] >= words[0] or len(articles) == 1):
+        held.append(largest)
+    held += [page.parents[e] for e in shown if page.names[e] == "h1" and not beside[e] and count[page.parents[e]] >= 3][:1]
+    out = [False] * n
+    for e in held:
+        while e > 0 and not out[e]:
+            out[e] = True
+            e = page.parents[e]
+    return out if held else [2 * w > words[0] for w in words]
+
+
+def features(page: Page) -> tuple[list[list[str]], list[list[str]]]:
+    """Of each block what its words are known by, and of each element what its tags are known by."""
+    wraps, around, part = wrapping(page), [[]], [False] * len(page.names)
+    for e in range(1, len(page.names)):
+        # within an element beside or amid the article that says what it is
+        part[e] = part[page.parents[e]] or not wraps[e] and (page.names[e] in PARTS or any(not m.startswith("id ") for m in page.marks[e]))
+        name, end = page.names[e], "+" if wraps[e] else ""
+        own = [f"in {name}{end}"] if name not in INLINE and name not in ("html", "body") else []
+        own += [f"{m}{end}" for m in page.marks[e]] if name not in ("html", "body") else []
+        known = around[page.parents[e]]
+        new = [x for x in own if x not in known] if len(known) < 200 else []
+        around.append(known + new if new else known)
+    out = []
+    for text, size, linked, e in zip(page.texts, page.sizes, page.links, page.of, strict=True):
+        near = e
+        while page.names[near] in INLINE:
+            near = page.parents[near]
+        length = "short" if size <= 3 else "middling" if size <= 9 else "long"
+        stop = "stopped" if _STOP.search(text[-8:]) else "open"
+        share = "linked" if 2 * linked > size else "some links" if linked else "plain"
+        place = "part" if part[e] else "article" if any(x.endswith("+") for x in around[e]) else "page"
+        own = ["word", f"word in {page.names[near]}", f"of a {place}", f"{place} {length} {stop}", f"{length} {stop}", f"{share} {length}", *around[e]]
+        if size <= 5:
+            own += {f"says {w}" for w in re.findall(r"[a-z]+|[©®]", text.lower())}
+        out.append(own)
+    return out, around
+
+
 def best_region(scores: np.ndarray) -> tuple[int, int]:
     """The contiguous region of the highest sum, by one scan; the first of equals, and none if nothing is positive."""
     best, region, total, start = 0.0, (0, 0), 0.0, 0
@@ -215,67 +273,120 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return region
 
 
-def token_scores(page: Page, weights: dict[str, float]) -> np.ndarray:
-    """Of each token: words times the sum of its features' weights. Never-parts score zero, with their tags, as they are left out anyway; other tags cannot score above zero."""
-    out = np.zeros(len(page.features))
-    for i, (own, size, text) in enumerate(zip(page.features, page.sizes, page.texts, strict=True)):
-        if page.never[i]:
+@dataclass
+class Scored:
+    """A page with the score of a word of each block, and of each token."""
+
+    page: Page
+    word: np.ndarray
+    token: np.ndarray
+
+
+def scored(html: str, weights: dict[str, float]) -> Scored:
+    """Scores of a page: a block's words have the sum of its features' weights, a tag that of its own, which training keeps from being positive.
+
+    A part without any word above zero that stands amid an article's blocks (in an article or main element, or between
+    blocks of one element) scores zero: what is left out of the text must not cut it in two.
+    """
+    page = parse(html)
+    of_blocks, around = features(page)
+    get = weights.get
+    word = np.array([sum(get(f, 0.0) for f in own) for own in of_blocks])
+    tag = [sum(get(f"tag {f}", 0.0) for f in own) + get("tag", 0.0) + get(f"tag {name}", 0.0) for own, name in zip(around, page.names, strict=True)]
+    owners, blocks = np.array(page.owners, np.int64), np.array(page.blocks, np.int64)
+    token = np.array([tag[o] if b < 0 else word[b] * page.sizes[b] for o, b in zip(page.owners, page.blocks, strict=True)])
+    # spans of elements among the tokens, and positive tokens before each place
+    n = len(page.names)
+    low, high = np.full(n, len(token)), np.full(n, -1)
+    np.minimum.at(low, owners, np.arange(len(token)))
+    np.maximum.at(high, owners, np.arange(len(token)))
+    for e in range(n - 1, 0, -1):
+        p = page.parents[e]
+        low[p], high[p] = min(low[p], low[e]), max(high[p], high[e])
+    good = np.concatenate([[0], np.cumsum((token > 0) & (blocks >= 0))])
+    column = [0] * n  # the article or main element around
+    for e in range(1, n):
+        column[e] = e if page.names[e] in ("article", "main") else column[page.parents[e]]
+    direct: dict[int, list[int]] = {}
+    for i in np.flatnonzero((token > 0) & (blocks >= 0)).tolist():
+        e = page.of[blocks[i]]
+        while page.names[e] in INLINE:
+            e = page.parents[e]
+        direct.setdefault(e, []).append(i)
+        if page.names[e] != "div" or page.names[page.parents[e]] not in ("body", ""):
+            direct.setdefault(page.parents[e], []).append(i)
+    for e in range(1, n):
+        p = page.parents[e]
+        if high[e] < low[e] or good[high[e] + 1] > good[low[e]] or good[high[p] + 1] == good[low[p]]:
             continue
-        w = sum(weights.get(f, weights.get("word in" if text else "tag", 0.0)) for f in own)
-        out[i] = min(w, 0.0) if not text else max(w, 0.05) * size
-    return out
+        a, own = column[p], direct.get(p, [])
+        if a > 0 and good[low[e]] > good[low[a]] and good[high[a] + 1] > good[high[e] + 1] or own and own[0] < low[e] and own[-1] > high[e]:
+            token[low[e] : high[e] + 1] = 0.0
+    return Scored(page, word, token)
 
 
-def train(pages: list[tuple[str, list[str]]], rounds: int = 200, rate: float = 0.5) -> dict[str, float]:
-    """Weights from labelled pages (html and the blocks of its main text) by logistic regression: is a token within the content region?
+def train(pages: list[tuple[str, list[str]]], rounds: int = 150, rate: float = 0.3) -> dict[str, float]:
+    """Weights from labelled pages (html and the blocks of its main text) by logistic regression: are a block's words main text, is a tag within it?
 
-    The region of a labelled page reaches from its first to its last block of main text. Words and tags of features
-    never seen have the mean weight of all words or tags.
+    Words count up to 20 a block. Tags' weights are kept from being positive, and any tag costs TAG_COST at least.
+    Features never seen count nothing.
     """
     names: dict[str, int] = {}
     rows, marks, sizes = [], [], []
     for html, wanted in pages:
         page = parse(html)
-        texts: dict[int, str] = {}
-        for b, t in zip(page.blocks, page.texts, strict=True):
-            texts[b] = texts.get(b, "") + t
-        inside = [b >= 0 and " ".join(texts[b].split()) in wanted for b in page.blocks]
-        places = [i for i, x in enumerate(inside) if x]
-        low, high = (places[0], places[-1]) if places else (0, -1)
-        for i, own in enumerate(page.features):
+        of_blocks, around = features(page)
+        left = list(wanted)
+        inside = []
+        for text in page.texts:
+            hit = text in left
+            if hit:
+                del left[: left.index(text) + 1]
+            inside.append(hit)
+        places = [i for i, b in enumerate(page.blocks) if b >= 0 and inside[b]]
+        region = range(places[0], places[-1] + 1) if places else range(0)
+        for i, (o, b) in enumerate(zip(page.owners, page.blocks, strict=True)):
+            own = of_blocks[b] if b >= 0 else ["tag", f"tag {page.names[o]}", *[f"tag {f}" for f in around[o]]]
             rows.append([names.setdefault(f, len(names)) for f in own])
-            marks.append(1.0 if low <= i <= high and not page.never[i] else 0.0)
-            sizes.append(max(1, min(page.sizes[i], 20)))
-    x = np.zeros((len(rows), len(names)))
-    for i, own in enumerate(rows):
-        x[i, own] = 1
-    y, size = np.array(marks), np.array(sizes, float)
-    size /= size.sum()
+            marks.append(float(inside[b]) if b >= 0 else float(i in region))
+            sizes.append(min(page.sizes[b], 20) if b >= 0 else 1)
+    flat = np.array([f for own in rows for f in own], np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(own) for own in rows])
+    y, size = np.array(marks), np.array(sizes, float) / sum(sizes)
+    tags = np.array([f.startswith("tag") for f in names])
+    seen = np.bincount(flat, minlength=len(names))
+    # what stands in very few blocks is chance
+    flat_kept = seen[flat] >= 6
+    flat, row = flat[flat_kept], row[flat_kept]
+    base = names["tag"]
     w, g = np.zeros(len(names)), np.full(len(names), 1e-8)
     for _ in range(rounds):
-        d = x.T @ (size * (1 / (1 + np.exp(-(x @ w))) - y)) + 1e-4 * w
+        z = np.bincount(row, w[flat], len(rows))
+        error = size * (1 / (1 + np.exp(-z)) - y)
+        d = np.bincount(flat, error[row], len(names)) + 2e-6 * w
         g += d**2
         w -= rate * d / np.sqrt(g)
-    weights = {f: float(w[i]) for f, i in names.items()}
-    for kind in ("word in", "tag"):
-        own = [v for f, v in weights.items() if f.startswith(kind)]
-        weights[kind] = float(np.mean(own)) if own else 0.0
-    return weights
+        w[tags] = np.minimum(w[tags], 0.0)
+        w[base] = min(w[base], -TAG_COST)
+    return {f: float(w[i]) for f, i in names.items() if w[i]}
+
+
+@functools.cache
+def default_weights() -> dict[str, float]:
+    """The weights of labelled_pages(), trained once in a process."""
+    return train(labelled_pages())
+
+
+def region_blocks(found: Scored) -> list[int]:
+    """The blocks of the best region whose words score above zero."""
+    start, end = best_region(found.token)
+    return [b for b in found.page.blocks[start:end] if b >= 0 and found.word[b] > 0]
 
 
 def main_text(html: str, weights: dict[str, float]) -> str:
-    """The text of the best region: its blocks, without parts that are never the article, joined by line ends."""
-    page = parse(html)
-    start, end = best_region(token_scores(page, weights))
-    if start == end:
-        return ""
-    wanted = {b for b, t in zip(page.blocks[start:end], page.texts[start:end], strict=True) if t}
-    texts: dict[int, str] = {}
-    for b, t, never in zip(page.blocks, page.texts, page.never, strict=True):
-        if b in wanted and not never:
-            texts[b] = texts.get(b, "") + t
-    blocks = (" ".join(t.split()) for t in texts.values())
-    return "\n".join(b for b in blocks if b)
+    """The text of the best region: its blocks, without those whose words score below zero, joined by line ends."""
+    found = scored(html, weights)
+    return "\n".join(found.page.texts[b] for b in region_blocks(found))
 
 
 def page_texts(pages: DataFrame, weights: dict[str, float] | None = None, passing: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:
@@ -286,12 +397,11 @@ def page_texts(pages: DataFrame, weights: dict[str, float] | None = None, passin
     be null or repeated; other columns are not read; an empty table gives an empty result. weights: of train(); those
     of labelled_pages() if not given.
     """
-    small_batches(pages.sparkSession)
-    weights = weights if weights is not None else train(labelled_pages())
+    weights = weights if weights is not None else default_weights()
     schema = pages.select(*passing).schema.add("text", "string").add("n_chars", "long")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in bounded(it, "__html"):
             texts = [main_text(x or "", weights) for x in batch.column("__html").to_pylist()]
             kept = [batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*passing, "text", "n_chars"])
