@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,28 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+from paperloom.sources.steps import saved, spread
 
+__all__ = ["saved"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for written steps: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at}/steps-{spark.sparkContext.applicationId}"
+#: Bytes of text that one numpy step works on, and texts; a longer text is a step of its own.
+STEP_BYTES, STEP_TEXTS = 1 << 20, 4096
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends here, and a lost executor costs no earlier step."""
-    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0]) if name in ("documents", "pages") else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -43,8 +30,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def bounded(it: Iterator[pa.RecordBatch], name: str, most: int = STEP_BYTES << 3) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many bytes of the named text column, or of one longer text, so that what is made of them stays bounded too."""
+    for batch in it:
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        for i, j in steps(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), most):
+            yield batch.slice(i, j - i)
+
+
 #: Characters of text that a block of dealt_by_id is to hold.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 
 
 #: Borders of blocks that are collected and compared with ids; beyond so many, ranges between two borders are cut evenly.
@@ -73,7 +68,16 @@ def dealt_by_id(rows: DataFrame, id_column: str, text_column: str) -> tuple[Data
         share = (F.col(id_column) - low) / F.greatest(high - low, F.lit(1.0))
         block = block * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.ceil(share * fine) - 1))
     count = (len(borders) + 1) * fine
-    return rows.withColumn("block", F.when(F.col(id_column).isNull(), count - 1).otherwise(block).cast("long")).repartition(parts, "block"), count
+    return rows.withColumn("block", F.when(F.col(id_column).isNull(), count - 1).otherwise(block).cast("long")).repartition(partitions_of(spark, count), "block"), count
+
+
+#: Partitions that blocks are dealt to at most, unless the session asks for more.
+PARTITIONS = 1 << 14
+
+
+def partitions_of(spark: SparkSession, blocks: int) -> int:
+    """A partition for each block, so that a task's share does not grow with the table, as far as PARTITIONS go."""
+    return min(blocks, max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def count_below(value: Column, borders: list[int]) -> Column:
@@ -112,7 +116,7 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
     """Ranges of texts of at most so many bytes together, or one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = max(i + 1, min(int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1, i + STEP_TEXTS))
         yield i, min(j, n)
         i = min(j, n)
 

@@ -22,7 +22,7 @@ INNER_STEP = 32
 #: Ids that one run of the dynamic programme covers; what follows its last sequence goes to the next run.
 HORIZON = 1 << 18
 #: A task's table of encoded units starts anew beyond so many entries.
-UNITS = 600_000
+UNITS = 200_000
 #: New units are encoded so many to a text.
 UNITS_TOGETHER = 128
 #: White space that the unit split does not know, and a space beside other white space: such texts take a slower way.

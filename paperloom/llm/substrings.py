@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from paperloom.llm.common import SPACE, dealt_by_id, mix, small_batches, span_hashes, steps, text_bytes, windows
+from paperloom.llm.common import SPACE, dealt_by_id, mix, partitions_of, small_batches, span_hashes, steps, text_bytes, windows
 
 #: Words of a window.
 WIDTH = 20
@@ -189,7 +189,7 @@ def drop_repeats(documents: DataFrame, passing: tuple[str, ...] = ("doc_id",), w
         )
 
     arrow_types = [to_arrow_type(f.dataType) for f in schema.fields]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_of(spark, blocks)
     sent = dealt.groupBy("block").applyInArrow(send, "bucket long, block long, hashes binary")
     judged = sent.groupBy("bucket").applyInArrow(judge, "block long, bucket long, known binary")
     out = dealt.groupBy("block").cogroup(judged.repartition(parts, "block").groupBy("block")).applyInArrow(clean, schema)
