@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paperloom.llm.common import batches, small_batches
+from paperloom.llm.common import STEP_BYTES, bounded, small_batches
 
-#: Rolling hashes cover so many bytes, and a chunk ends where the top CUT_BITS bits are zero: 2 ** CUT_BITS bytes on average.
-ROLL, CUT_BITS = 16, 7
-#: A process's tables start anew beyond so many entries.
-CHUNKS, WORDS = 100_000, 250_000
+#: Rolling hashes cover so many bytes; a chunk ends where the top CUT_BITS bits are zero and it has LEAST bytes: some 1,300 bytes on average.
+ROLL, CUT_BITS, LEAST = 16, 10, 256
+#: Ids on each side of a join among which the words are sought that are encoded anew with it.
+NEAR = 40
+#: A process's tables start anew beyond so many characters of chunks, and so many joins.
+KEPT_CHARS, JOINS = 1 << 24, 50_000
 _GEAR = np.random.default_rng(5).integers(1, 2**32, 256, dtype=np.uint32)
-_BLANK = b" \t\n\r\x0b\x0c"
 #: Of this process: what has been loaded, and the encoder whose tables later tasks go on with.
 _TOKENIZERS: dict[str, Tokenizer] = {}
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -36,7 +39,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def chunk_ends(data: np.ndarray) -> np.ndarray:
-    """Where chunks end: after each byte at which the rolling hash of the ROLL bytes up to it says so. It depends on those bytes alone."""
+    """Where chunks may end: after each byte at which the rolling hash of the ROLL bytes up to it says so. It depends on those bytes alone."""
     if len(data) < ROLL:
         return np.zeros(0, np.int64)
     h, size, factor = _GEAR[data], 1, 0x01000193
@@ -46,81 +49,130 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0) + ROLL
 
 
+def cuts_of(text: str) -> list[str]:
+    """The chunks of a text. Cuts lie between characters, and none is nearer than LEAST bytes to the one before or the end."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    ends = chunk_ends(data)
+    starts = (data & 0xC0) != 0x80
+    chars = np.cumsum(starts)
+    out, last, begin = [], 0, 0
+    for e in ends.tolist():
+        if e - last >= LEAST and len(data) - e >= LEAST:
+            at = int(chars[e - 1])  # the character that the cut falls into belongs to the chunk before it
+            out.append(text[begin:at])
+            last, begin = e, at
+    return [*out, text[begin:]]
+
+
+@dataclass
+class Chunk:
+    """Ids of a chunk, and what is near its ends: the last words (tail: their text, from the id `low` on) and the first (head: up to the id `high`).
+
+    tail_of, tail_at: how many ids the tail's first word and the next id are, and where the latter stands. head_of,
+    head_at: how many the head's last word and the id before are, and where that word begins.
+    """
+
+    ids: np.ndarray
+    tail: str
+    low: int
+    tail_of: int
+    tail_at: int
+    head: str
+    high: int
+    head_of: int
+    head_at: int
+
+
 class ChunkEncoder:
-    """Encodes UTF-8 texts from tables of chunks and words.
+    """Encodes texts from tables of chunks and joins.
 
-    A chunk is kept as the fragment before its first white space, the ids of the whole words in it, and the fragment
-    after its last white space. At a join the fragments of both sides, and of chunks without white space between them,
-    are put together until white space ends them on both sides, and that word is encoded anew. The vocabulary's pieces
-    and its normal form never reach over ASCII white space, so ids and words then agree with those of the whole text.
+    Each chunk is encoded once. At a join the last three words begun before it and the first three after it are encoded
+    anew together, and the result must agree with both chunks: its first word and the id after that, and its last word
+    and the id before that, must be those of the chunks, at the same characters. Pieces of a vocabulary do not reach over
+    white space with other characters on both sides, so that what the join can change lies between. A text with a join
+    that does not agree, or with a chunk of too few words, is encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
-        self.names = [x.encode() for x in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size(with_added_tokens=True)))]
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple | None] = {}
-        self.seen = self.encoded = 0
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes(), b"".join([self.names[i] + b" " for i in e.ids])
-
-    def encode(self, texts: list[bytes], cuts: list[list[int]]) -> list[tuple[bytes, bytes]]:
-        """ids (little-endian unsigned 32-bit) and decoded text of each text. cuts: where its chunks end."""
-        if len(self.chunks) > CHUNKS or len(self.words) > WORDS:
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = np.array([(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)], object)
+        self.plain = self.tokenizer.decoder is None
+        self.chunks: dict[str, Chunk | None] = {}
+        self.joins: dict[tuple[str, str], np.ndarray | None] = {}
+        self.chars = 0
+        self.seen = self.encoded = self.whole = 0
+
+    def _ids(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+
+    def _learn(self, chunks: list[str]) -> None:
+        for x, e in zip(chunks, self._ids(chunks), strict=True):
+            self.chars += len(x)
+            n = len(e)
+            first, last = [], []  # ids that begin words, from the chunk's begin and from its end
+            for found, order in ((first, range(1, min(n, NEAR))), (last, range(n - 1, max(0, n - NEAR), -1))):
+                for i in order:
+                    at = e.token_to_chars(i)[0]
+                    if (x[at].isspace() or x[at - 1].isspace()) and e.token_to_chars(i - 1)[1] <= at:
+                        found.append((i, at))
+                        if len(found) == 3:
+                            break
+            if len(first) < 3 or len(last) < 3 or last[2][0] < first[2][0]:
+                self.chunks[x] = None
+                continue
+            (low, begin), (next_, after) = last[2], last[1]
+            (high, end), (word, at) = first[2], first[1]
+            self.chunks[x] = Chunk(np.array(e.ids, "<u4"), x[begin:], low, next_ - low + 1, after - begin, x[:end], high, high - word + 1, at)
+
+    def _join(self, pairs: list[tuple[Chunk, Chunk]]) -> None:
+        """Learn the ids of the joins of these chunks, or None where they do not agree."""
+        for (a, b), e in zip(pairs, self._ids([a.tail + b.head for a, b in pairs]), strict=True):
+            ids = np.array(e.ids, "<u4")
+            i, j = a.tail_of, len(ids) - b.head_of
+            agreed = i + b.head_of <= len(ids) and (ids[:i] == a.ids[a.low : a.low + i]).all() and (ids[j:] == b.ids[b.high - b.head_of : b.high]).all()
+            agreed = agreed and e.token_to_chars(i - 1)[0] == a.tail_at and e.token_to_chars(j + 1)[0] == len(a.tail) + b.head_at
+            self.joins[a.tail, b.head] = ids if agreed else None
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if self.chars > KEPT_CHARS or len(self.joins) > JOINS:
             self.chunks.clear()
-            self.words.clear()
-        chunks = self.chunks
-        dealt = [[x[a:b] for a, b in zip([0, *c], [*c, len(x)], strict=True) if a < b] for x, c in zip(texts, cuts, strict=True)]
-        fresh = {x for own in dealt for x in own if x not in chunks}
+            self.joins.clear()
+            self.chars = 0
+        dealt = [cuts_of(t) for t in texts]
+        cut = [own for own in dealt if len(own) > 1]
+        fresh = list({x for own in cut for x in own if x not in self.chunks})
         self.seen, self.encoded = self.seen + sum(map(len, dealt)), self.encoded + len(fresh)
-        parts = {}
-        for x in fresh:
-            words = x.split()
-            head = words.pop(0) if words and x[0] not in _BLANK else b""
-            if len(head) == len(x):
-                chunks[x] = None
-                continue
-            tail = words.pop() if words and x[-1] not in _BLANK else b""
-            parts[x] = head, words, tail
-        needed = {w for _, words, _ in parts.values() for w in words}
-        joined: list[list] = []
+        self._learn(fresh)
+        known = self.chunks
+        pairs = {}
+        for own in cut:
+            for x, y in itertools.pairwise(own):
+                a, b = known[x], known[y]
+                if a and b and (a.tail, b.head) not in self.joins:
+                    pairs[a.tail, b.head] = a, b
+        self._join(list(pairs.values()))
+        out: list[np.ndarray | None] = []
         for own in dealt:
-            line, open_ = [], b""
-            for x in own:
-                if x in parts:
-                    head, _, tail = parts[x]
-                elif (known := chunks[x]) is not None:
-                    head, tail = known[0], known[3]
-                else:
-                    open_ += x
-                    continue
-                line += (open_ + head, x)
-                open_ = tail
-            line.append(open_)
-            joined.append(line)
-            needed.update(line[::2])
-        needed.discard(b"")
-        self._learn(needed)
-        got = self.words
-        got[b""] = b"", b""
-        for x, (head, words, tail) in parts.items():
-            own = [got[w] for w in words]
-            chunks[x] = head, b"".join([a for a, _ in own]), b"".join([b for _, b in own]), tail
-        out = []
-        for line in joined:
-            ids, text = [], []
-            for i, x in enumerate(line):
-                if i % 2:
-                    _, a, b, _ = chunks[x]
-                else:
-                    a, b = got[x]
-                ids.append(a)
-                text.append(b)
-            out.append((b"".join(ids), b"".join(text)[:-1]))
-        return out
+            parts = [known[x] for x in own] if len(own) > 1 else [None]
+            joins = [self.joins[a.tail, b.head] for a, b in itertools.pairwise(parts)] if None not in parts else []
+            if not joins or any(j is None for j in joins):
+                out.append(None)
+                continue
+            line = [parts[0].ids[: parts[0].low]]
+            for j, part in zip(joins, parts[1:], strict=True):
+                line += [j, part.ids[part.high : part.low]]
+            line[-1] = parts[-1].ids[parts[-1].high :]
+            out.append(np.concatenate(line))
+        rest = list(dict.fromkeys(t for t, x in zip(texts, out, strict=True) if x is None))
+        self.whole += len(rest)
+        whole = {t: np.array(e.ids, "<u4") for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        return [whole[t] if x is None else x for t, x in zip(texts, out, strict=True)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """What the library's decode gives, special tokens kept: names joined by blanks, unless the file has a decoder."""
+        return b" ".join(self.names[ids].tolist()).decode() if self.plain else self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
 def encode_documents(documents: DataFrame, path: str, passing: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -128,9 +180,9 @@ def encode_documents(documents: DataFrame, path: str, passing: tuple[str, ...] =
 
     ids are those of the tokenizers library for the file at path (which each executor must have; a path is a parameter
     and the file is not copied), without special tokens added, truncation or padding; decoded is its decode of them,
-    special tokens kept. The file's pieces must not reach over ASCII white space, and it must have no decoder. A null
-    text is an empty one: no ids. Ids may be null or repeated, an empty table gives an empty result, and other columns
-    are not read. The chunk and word tables are a Python worker's own and bounded, so no row waits for another task.
+    special tokens kept. A null text is an empty one: no ids. Ids may be null or repeated, an empty table gives an empty
+    result, and other columns are not read. The chunk and join tables are a Python worker's own and bounded, so no row
+    waits for another task; a text is one piece of work, however long.
     """
     small_batches(documents.sparkSession)
     schema = documents.select(*passing).schema.add("ids", "binary").add("decoded", "string")
@@ -139,14 +191,9 @@ def encode_documents(documents: DataFrame, path: str, passing: tuple[str, ...] =
         if path not in _ENCODERS:
             _ENCODERS[path] = ChunkEncoder(path)
         encoder = _ENCODERS[path]
-        for batch in it:
-            found = []
-            for _, _, data, offsets in batches(batch, "__text"):
-                ends, raw = chunk_ends(data), data.tobytes()
-                borders = np.searchsorted(ends, offsets, "right")
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                found += encoder.encode(texts, [(ends[i:j] - o).tolist() for i, j, o in zip(borders[:-1], borders[1:], offsets[:-1], strict=True)])
+        for batch in bounded(it, "__text", STEP_BYTES):
+            ids = encoder.encode([x or "" for x in batch.column("__text").to_pylist()])
             kept = [batch.column(c) for c in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([a for a, _ in found], pa.binary()), pa.array([b.decode() for _, b in found], pa.string())], names=[*passing, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())], names=[*passing, "ids", "decoded"])
 
     return documents.select(*passing, F.col("text").alias("__text")).mapInArrow(work, schema)

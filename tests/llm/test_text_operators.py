@@ -51,6 +51,23 @@ def test_bpe_agrees_with_the_library(documents):
         assert r.decoded == t.decode(np.frombuffer(r.ids, "<u4").tolist(), skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_and_their_joins_give_the_ids_of_whole_texts(name):
+    """Texts of many chunks: words, no white space at all, marks, split characters and added tokens, and texts that share chunks."""
+    t, r = loaded(name), np.random.default_rng(4)
+    words = ["the", "and", "running", "naïve", "é", "你好", "\U0001f600", "x1", "don't", "'s", "<|endoftext|>", "...", "Σ", "\u0301", "ABC"]
+    texts = [sep.join(r.choice(words, int(r.integers(300, 3000)))) for sep in ("", " ", " ", " ", "\n\n", "  ", "\u3000", ".") for _ in range(6)]
+    texts += [texts[8] + " more " + texts[9], texts[8] + texts[10], "a" * 20_000, " " * 20_000, texts[8]]
+    encoder = bpe.ChunkEncoder(public_tokenizers.path(name))
+    for _ in range(2):  # the second time from the tables
+        got = encoder.encode(texts)
+        for x, ids in zip(texts, got, strict=True):
+            want = t.encode(x, add_special_tokens=False).ids
+            assert ids.tolist() == want and encoder.decode(ids) == t.decode(want, skip_special_tokens=False)
+    assert encoder.encoded < encoder.seen / 2 and len(encoder.joins) > 100 and encoder.whole < len(texts)
+    assert all("".join(bpe.cuts_of(x)) == x for x in texts)
+
+
 def test_packing_is_a_partition_of_all_ids(documents):
     t = loaded("byte_bpe_50k.json")
     got = packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), size=256).collect()
