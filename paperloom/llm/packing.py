@@ -45,7 +45,10 @@ class UnitEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
+        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        if any("\u0120" in p[1:] and p.strip("\u0120") for p in pieces):
+            raise ValueError(f"{path} has pieces that reach over a space")
+        self.begins = np.array([p.startswith("\u0120") for p in pieces])
         self.spaced: dict[bytes, bytes] = {}
         self.first: dict[bytes, bytes] = {}
 
