@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import mix, small_batches, steps, text_bytes
+from paperloom.llm.common import mix, saved, small_batches, steps, text_bytes
 
 #: Character n-grams of these sizes, word borders included, go to so many buckets.
 GRAMS = (3, 4, 5, 6)
@@ -170,18 +170,18 @@ def fit(documents: DataFrame, labels: DataFrame, keep=None, per_class: int = SAM
     """Train on at most per_class texts of each label. keep: a condition on doc_id that labels must meet to be learnt from.
 
     labels: doc_id, toxic. Of repeated labels of an id the greatest counts; rows with a null id or label are left out.
+    Of several texts of an id the least is learnt from, so that what is collected is at most 2 * per_class texts.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if keep is not None:
         known = known.filter(keep)
-    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    known = saved(known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    texts, marks = [], []
-    for mark in (0, 1):
-        picked = known.filter(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
-        found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
-        texts += [r["text"] or "" for r in found]
-        marks += [mark] * len(found)
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_class).select("doc_id", "toxic")
+    one = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("toxic", "doc_id").agg(F.min("text").alias("text"))
+    found = sorted(one.collect(), key=lambda r: (r["toxic"], r["doc_id"]))
+    texts, marks = [r["text"] or "" for r in found], [r["toxic"] for r in found]
     got = [max(1, marks.count(m)) for m in (0, 1)]
     return train(texts, marks, (shares.get(0, 0) / got[0], shares.get(1, 0) / got[1]))
 
