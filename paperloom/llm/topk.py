@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import saved
+
 #: Queries that one pass over the candidates serves; their vectors are what is broadcast.
 QUERY_BLOCK = 2048
 #: Bins of a histogram; each round narrows a query's score range by this factor.
@@ -77,13 +79,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     wanted = integer_vectors(queries, scale, id_column, vector_column).groupBy("id").agg(F.min("v").alias("v"))
     n = wanted.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
+    # several blocks: the queries are worked out once, and what each block finds is written, so that no plan grows with them
+    keep = saved if blocks > 1 else lambda df: df
+    wanted = keep(wanted)
     out = None
     bucket = F.pmod(F.xxhash64("id"), F.lit(blocks))
     for b in range(blocks):
         block = wanted.filter(bucket == b).orderBy("id").collect()
         found = _block(rows, [(r["id"], r["v"]) for r in block], k) if block else None
         if found is not None:
-            out = found if out is None else out.unionByName(found)
+            out = keep(found) if out is None else out.unionByName(keep(found))
     if out is None:
         out = spark.createDataFrame([], "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
