@@ -75,6 +75,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", id_
         F.col("rule_verdict").alias("verdict"),
     )
     decided = hits.groupBy("host", "path").agg(F.max(rank).alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.verdict")
-    return judged.join(decided, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
-        F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    # pages without a host have no rule: they go around the join, where they would be one key
+    met = judged.filter(F.col("host") != "").join(decided, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    rest = judged.filter(F.col("host") == "").select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return met.select("id", "host", "path", "rule", "verdict").unionByName(rest).select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
