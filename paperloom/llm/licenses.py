@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 WORDS, BANDS = 5, 16
 #: Windows of a template's length begin at every sixteenth of it.
 STRIDES = 16
-#: The templates are literals of the plan, so their number is bounded.
-MOST_TEMPLATES = 1000
+#: The templates' tokens are literals of the plan, so many templates at a time; more are looked for in turn.
+TEMPLATES_AT_ONCE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Public license notices.
@@ -70,10 +72,13 @@ def license_matches(documents: DataFrame, templates: dict[str, str] = TEMPLATES,
     Each shingle is hashed once. A window collides with a template in a band if the least of its shingles by that band's
     order is the template's. That shingle is then in the document, so documents without any template's minwise shingle
     are done at once, and elsewhere only windows around such shingles are looked at. What is collected and broadcast:
-    the minwise shingles of the templates, of which there are at most MOST_TEMPLATES.
+    the minwise shingles of TEMPLATES_AT_ONCE templates; where there are more, the documents are read once for each such
+    part of them.
     """
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    if len(templates) > TEMPLATES_AT_ONCE:
+        names = list(templates)
+        parts = [{n: templates[n] for n in names[i : i + TEMPLATES_AT_ONCE]} for i in range(0, len(names), TEMPLATES_AT_ONCE)]
+        return reduce(DataFrame.unionByName, [license_matches(documents, part, least, id_column, text_column) for part in parts])
     spark = documents.sparkSession
     order = lambda h, band: F.xxhash64(h, band)
     known = once(template_table(spark, templates), "words", words_of(F.col("template")))
