@@ -20,6 +20,10 @@ def test_url_rules(spark, rows):
     assert [got[i].rule for i in range(9)] == ["example.org/es/", "example.org/es/", "a.org/es/x", "org/", None, None, None, None, None]
     assert got[0].verdict == "block" and got[2].verdict == "allow" and got[6].host == "" and got[4].path == "" and got[None].verdict == "block"
     assert url_filter.url_verdicts(pages.limit(0), rules).count() == 0
+    # equal lengths: the longer host, then block; void rules; a very long URL
+    ties = rows("rule_verdict string, rule_host string, rule_path string", ("block", "b.org", "/xy"), ("allow", "a.b.org", "/"), ("allow", "b.org", "/xy"), (None, "b.org", "/xyz"), ("block", None, "/"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_verdicts(rows("page_id long, url string", (1, "x://a.b.org/xyz"), (2, "x://b.org/xy"), (3, "x://b.org/xy" + "z" * 50_000)), ties).collect()}
+    assert got == {1: ("a.b.org/", "allow"), 2: ("b.org/xy", "block"), 3: ("b.org/xy", "block")}
     assert url_filter.url_verdicts(pages, url_filter.rule_table(spark, [])).filter("rule is not null").count() == 0
 
 
@@ -55,6 +59,13 @@ def test_licenses_against_brute_force(rows):
     assert licenses.license_matches(documents.limit(0)).count() == 0
 
 
+def test_many_templates_in_turn(rows, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATES_AT_ONCE", 4)
+    documents = rows("doc_id long, text string", *[(i, f"x {t} y") for i, t in enumerate(licenses.TEMPLATES.values())], (None, None))
+    got = {(r.doc_id, r.license) for r in licenses.license_matches(documents).collect()}
+    assert got >= set(enumerate(licenses.TEMPLATES)) and len(licenses.TEMPLATES) > 8
+
+
 def sets_of(text, words=5):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
@@ -164,6 +175,10 @@ def test_top_k_against_brute_force(rows, monkeypatch):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert got == want
     assert topk.top_k(df, df.limit(0)).count() == 0
+    # repeated candidates each count, and scores beyond 2 ** 53 are exact
+    big = rows("vec_id long, embedding array<double>", (0, [2.0**21, 1.0]), (1, [2.0**21, 3.0]), (2, [2.0**21, 2.0]), (2, [2.0**21, 2.0]))
+    got = sorted((x.rank, x.vec_id, x.score) for x in topk.top_k(big, big.filter("vec_id = 0"), k=3).collect())
+    assert got == [(1, 1, 2**62 + 3 * 2**20), (2, 2, 2**62 + 2 * 2**20), (3, 2, 2**62 + 2 * 2**20)]
 
 
 def test_blocks_of_ids_rise_with_them(spark, rows, monkeypatch):

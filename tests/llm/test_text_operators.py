@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm import bpe, fingerprint, html_text, packing, toxicity
+from paperloom.llm.common import text_bytes
 from paperloom.llm.fingerprint import BottomK
 from paperloom.llm.labelled_pages import labelled_pages
 
@@ -280,6 +281,26 @@ def test_toxicity_learns_misspellings(rows):
     got = {x.doc_id: x.score for x in toxicity.toxicity_scores(rows("doc_id long, text string, score string", *[(*t, "s") for t in test]), model).collect()}
     assert got[2] > 0.5 > got[1] and got[3] == got[4] and all(0 <= s <= 1 for s in got.values())
     assert toxicity.toxicity_scores(documents.filter(F.lit(False)), model).count() == 0
+    # a repeated id sends one text only
+    again = documents.unionByName(documents.withColumn("text", F.lit("zzz")))
+    assert np.allclose(toxicity.fit(again, rows("doc_id long, toxic int", *[x[:2] for x in labels])).weight, model.weight)
+
+
+def test_window_scores_against_a_plain_loop():
+    r = np.random.default_rng(1)
+    model = toxicity.Toxicity(r.normal(size=toxicity.BUCKETS), -0.5)
+    texts = ["one two, three four five six", "word", "", "  ", "é" * 3000, "a b " * 400, "Bad BAD bad."]
+
+    def word_score(w):
+        s = np.frombuffer(b"\0" + w + b"\0", np.uint8).astype(np.uint64)
+        found = [model.weight[b[k]] for n in toxicity.GRAMS if len(s) >= n for b, k in [toxicity._grams(s, n)]]
+        return np.concatenate([np.zeros(0), *found]).sum() / max(1, sum(map(len, found)))
+
+    for text, score in zip(texts, model.scores(*text_bytes(pa.array(texts))), strict=True):
+        plain = toxicity.SYMBOL[np.frombuffer(text.encode(), np.uint8)].astype(np.uint8).tobytes() if text else b""
+        own = [word_score(w) for w in plain.split(b"\0") if w]
+        best = max((sum(own[i : i + toxicity.WINDOW]) / toxicity.WINDOW for i in range(len(own))), default=0.0)
+        assert np.isclose(score, 1 / (1 + np.exp(-(best + model.bias))))
 
 
 def test_crc_of_pieces_is_that_of_bytes(documents):
