@@ -13,6 +13,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by URL_RULES. Null and unparsable URLs have an empty host and path and the default verdict; repeated rows and null ids are judged row by row; an empty table gives no rows."""
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES), default="allow")
 
 
@@ -34,6 +35,7 @@ FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path AND m.k = 1
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors of every vector whose id is divisible by 100. Null vectors and ids, and null or non-finite components, take no part; ties go to the smaller id; repeated candidates each count; an empty table gives no rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
@@ -57,6 +59,7 @@ HELD_OUT, TOXIC_FROM = 2, 0.3
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every whole text; null and empty texts have the score of an empty bag; a null id is not held out; repeated rows are scored row by row; an empty table gives no rows."""
     documents = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), keep=~held_out)
@@ -65,6 +68,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's best window for each license it holds. Null, empty and short texts hold none; repeated and null ids are matched row by row; an empty table gives no rows."""
     return licenses.license_matches(table(spark, sf_dir, "documents"), licenses.TEMPLATES, least=0.8)
 
 
@@ -89,6 +93,7 @@ SELECT doc_id, license, CAST(start AS BIGINT) AS start, CAST(n_words AS BIGINT)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, component and whether it is kept. Null, empty and blank texts have an empty set and are linked with nothing; rows of one id count as one document; a row without id is kept; an empty table gives no rows."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
@@ -119,24 +124,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document's ids. A null or empty text is its end id alone; null and repeated ids are packed like others; a very long text is cut into many pieces; an empty table gives no rows."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edit with the next document. Null texts are empty ones; null ids come last, repeated ids in the order of their texts; a single row is its own next; an empty table gives no rows."""
     return fingerprint.neighbour_edits(table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated windows. Null and empty texts have no words; rows of one id are in the order of their texts, null ids last; of repeated rows the first keeps its words; an empty table gives no rows."""
     cleaned = substrings.drop_repeats(table(spark, sf_dir, "documents"), width=20)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text. Null and empty pages, and pages without any, have an empty one; null and repeated ids are read row by row; an empty table gives no rows."""
     return html_text.page_texts(table(spark, sf_dir, "pages"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded text as digests. Null and empty texts have no ids; null and repeated ids are encoded row by row; an empty table gives no rows."""
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

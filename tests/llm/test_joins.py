@@ -125,6 +125,7 @@ def test_near_duplicates_against_brute_force(rows):
 def test_large_nodes_find_what_all_pairs_find(rows, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE", 4)
     monkeypatch.setattr(near_dup, "SMALL", 1)
+    monkeypatch.setattr(near_dup, "LEVELS", 2)
     documents = list(enumerate(copies(9)))
     got = near_dup.near_duplicates(rows("doc_id long, text string", *documents), percent=85).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_components(documents, 85)
