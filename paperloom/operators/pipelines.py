@@ -7,13 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicons as L
 from paperloom.functions import text as T
 from paperloom.operators import answers as A
+from paperloom.operators import chunks as C
+from paperloom.operators import metadata as M
 from paperloom.operators import retrieval as R
+from paperloom.sources import readers
+from paperloom.sources.steps import saved
 
 Generator = Callable[[Column], Column]
 
@@ -34,6 +39,34 @@ def asked(chunks: DataFrame, questions: DataFrame, generate: Generator, k: int =
     return said.select("query_id", "answer", n.alias("n_sources"), F.coalesce("n_flagged", F.lit(0)).alias("n_flagged"), "v.valid", "v.citations", "v.invalid_citations", "v.missing_citations")
 
 
+#: Columns of a paper table.
+PAPER = ("id", "title", "abstract", "authors", "doi", "source", "source_id", "arxiv_id", "published_date", "categories", "pdf_url", "full_text", "n_pages")
+
+
+def ingest(new: DataFrame, papers_path: str, chunks_path: str) -> DataFrame:
+    """Take in new papers (normalised, with id, full_text and n_pages): id, status, reason, existing_id of each, as metadata.ingest_status says.
+
+    Created ones are appended to the paper table, their chunks with embeddings to the chunk table. What is taken in
+    again is a duplicate of itself and adds nothing; statuses are written before the tables change.
+    """
+    spark = new.sparkSession
+    rows = saved(new.select(*PAPER))
+    try:
+        known = spark.read.parquet(papers_path)
+    except AnalysisException as e:  # the first papers
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = rows.limit(0)
+    again = known.join(rows.select("id"), "id", "left_semi").select("id", F.lit("duplicate").alias("was"))
+    judged = M.ingest_status(rows, known).join(again, "id", "left")
+    status = saved(judged.select("id", F.coalesce("was", "status").alias("status"), F.coalesce(F.when(F.col("was").isNotNull(), "id"), "reason").alias("reason"), F.when(F.col("was").isNotNull(), F.col("id")).otherwise(F.col("existing_id")).alias("existing_id")))
+    created = saved(rows.join(status.filter("status = 'created'").select("id"), "id", "left_semi"))
+    chunks = R.embedded(C.chunked(created, "id", "full_text"))
+    readers.append_chunks(chunks, chunks_path)
+    readers.append_papers(created, papers_path)
+    return status
+
+
 def body_text(c: Column) -> Column:
     """Whether a chunk is neither of a reference list nor of a picture."""
     return ~T.reference_chunk(c) & ~T.visual_chunk(c)

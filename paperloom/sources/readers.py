@@ -44,7 +44,10 @@ def works(spark: SparkSession, path: str) -> DataFrame:
 
 def pdf_files(spark: SparkSession, path: str, most_bytes: int = 25 << 20) -> DataFrame:
     """path, length, content and problem (null, too large, no PDF) of files; Spark leaves out empty ones."""
-    rows = spark.read.format("binaryFile").load(path)
+    return with_problems(spark.read.format("binaryFile").load(path), most_bytes)
+
+
+def with_problems(rows: DataFrame, most_bytes: int = 25 << 20) -> DataFrame:
     problem = F.when(F.col("length") > most_bytes, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF")
     return rows.select("path", "length", "content", problem.alias("problem"))
 

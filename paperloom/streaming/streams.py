@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.functions import text as T
+from paperloom.operators import metadata, pipelines
+from paperloom.sources import readers
 
 
 def tumbling(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -54,6 +56,18 @@ def ingest(documents: DataFrame, path: str, checkpoint: str, id_column: str = "d
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def uploads(spark: SparkSession, path: str, papers_path: str, chunks_path: str, checkpoint: str, extract: Callable[[bytes], list[str]]) -> StreamingQuery:
+    """Take in PDF files as they come to a folder: files without a problem are read by `extract`, and their texts are papers of the source local, whose id is a hash of their path."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        found = readers.full_texts(readers.extracted_pages(readers.with_problems(batch), extract))
+        raw = found.select(F.xxhash64("path").alias("id"), "title", F.array_compact(F.array("authors")).alias("authors"), F.lit("local").alias("source"), F.col("path").alias("source_id"), "full_text", "n_pages")
+        pipelines.ingest(metadata.normalized(raw).withColumn("id", F.xxhash64("source_id")), papers_path, chunks_path)
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pdf").load(path)
+    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rate_limits(requests: DataFrame, key: str, time: str, limit: int = 30, seconds: int = 60) -> DataFrame:
     """key, time, allowed of every request: the state of a key is the time of its counter's start and the count, and ends when it has been quiet for `seconds`.
 

@@ -103,6 +103,24 @@ def test_tables_are_changed_as_a_whole(spark, rows, tmp_path):
     assert told[:] == ("f", 3, 37, "A Title\nAnn Lee\nAbstract\nText\n\nSecond", "A Title", "Ann Lee")
 
 
+def test_uploads_are_papers_once(spark, tmp_path):
+    text = "The quick brown fox jumps over the lazy dog and runs away from the big red barn today. " * 3
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, body in (("a.pdf", f"%PDF-A title\nAnn Lee\nAbstract\n{text}"), ("b.pdf", f"%PDF-A title\nAnn Lee\nAbstract\n{text}"), ("c.pdf", "no pdf"), ("d.txt", "%PDF-x")):
+        (folder / name).write_text(body)
+    run = lambda: streams.uploads(spark, str(folder), f"{tmp_path}/papers", f"{tmp_path}/chunks", f"{tmp_path}/cp", lambda b: [b[5:].decode()]).awaitTermination()
+    run()
+    papers = spark.read.parquet(f"{tmp_path}/papers").collect()
+    assert [(r.title, r.authors, r.n_pages) for r in papers] == [("A title", ["Ann Lee"], 1)]
+    (folder / "e.pdf").write_text(f"%PDF-Other\nAbstract\n{text}{text}more")
+    run()
+    run()
+    assert {r.title for r in spark.read.parquet(f"{tmp_path}/papers").collect()} == {"A title", "Other"}
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    assert chunks.select("paper_id").distinct().count() == 2 and chunks.filter("size(embedding) <> 64").count() == 0
+
+
 def test_papers_without_a_novelty_score(rows):
     df = rows("paper_id long, embedding array<double>", (1, [1.0]), (2, None), (3, [1.0]))
     got = similarity.unscored(df, df, rows("paper_id long", (3,))).collect()
