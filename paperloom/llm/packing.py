@@ -21,7 +21,7 @@ SENTENCE_CUT, INNER_CUT = 2, 12
 INNER_STEP = 32
 #: Ids that one run of the dynamic programme covers; what follows its last sequence goes to the next run.
 HORIZON = 1 << 18
-#: A task's table of encoded units starts anew beyond so many entries.
+#: A process's table of encoded units becomes the older one beyond so many entries; what the older one holds is used on, until the next time.
 UNITS = 200_000
 #: New units are encoded so many to a text.
 UNITS_TOGETHER = 128
@@ -52,6 +52,7 @@ class UnitEncoder:
             raise ValueError(f"{path} has pieces that reach over a space")
         self.begins = np.array([p.startswith("\u0120") for p in pieces])
         self.spaced: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.first: dict[bytes, bytes] = {}
 
     def _learn(self, known: dict[bytes, bytes], units: list[bytes], before: str) -> None:
@@ -75,8 +76,9 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        if len(self.spaced) + len(self.first) > UNITS:
-            self.spaced.clear()
+        if len(self.spaced) > UNITS:
+            self.spaced, self.older = {}, self.spaced
+        if len(self.first) > UNITS // 8:
             self.first.clear()
         out: list[bytes | None] = [None] * len(texts)
         dealt, hard = {}, []
@@ -89,7 +91,10 @@ class UnitEncoder:
         for i, e in zip(hard, self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
         self._learn(self.first, list({x[0] for x in dealt.values()} - self.first.keys()), "")
-        self._learn_spaced(set().union(*[x[1:] for x in dealt.values()]) - self.spaced.keys())
+        units = set().union(*[x[1:] for x in dealt.values()]) - self.spaced.keys()
+        again = units & self.older.keys()
+        self.spaced.update((u, self.older[u]) for u in again)
+        self._learn_spaced(units - again)
         spaced = self.spaced.__getitem__
         for i, x in dealt.items():
             out[i] = b"".join([self.first[x[0]], *map(spaced, x[1:])])
