@@ -19,13 +19,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{at}/steps-{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends here, and a lost executor costs no earlier step.
 
-    The folder is the application's own (steps-<application id>); clear() ends it once no result is read any more.
+    by: a column of few values whose every value has a folder, so that a filter on it reads no others. The folder is the application's own (steps-<application id>); clear() ends it once no result is read any more.
     """
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
