@@ -135,9 +135,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the index of each text's first word. offsets begin at 0 and end at len(data)."""
-    inside = ~SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the index of each text's first word. offsets begin at 0 and end at len(data); between tells the bytes that separate words."""
+    inside = ~between[data]
     edges = np.zeros(len(data) + 1, bool)
     edges[offsets] = True
     begins, ends = inside.copy(), inside.copy()

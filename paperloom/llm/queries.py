@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprint, html_text, licenses, near_dup, packing, substrings, topk, toxicity, url_filter
-from paperloom.llm.common import small_batches, table
+from paperloom.llm import bpe, byte_bpe, fingerprint, html_text, lexical, licenses, near_dup, packing, prefix_trie, substrings, topk, toxicity, url_filter
+from paperloom.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -151,6 +151,68 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item. Null and empty texts have no terms, an item without terms has no rows; repeated rows of either table each count, ties go to the smaller doc_id, null ids last; empty tables give no rows."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Scores every document that holds a term of an item.
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(t) * n_docs) // n_terms AS m FROM d, c WHERE len(t) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY term, n_docs),
+s AS (
+  SELECT q, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM (SELECT q, item_id, unnest(t) AS term FROM i) JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations. Null roles and texts are empty ones; rows without a conv_id take no part; turns of one number are in the order of their digests, repeated rows follow each other; an empty table gives no rows."""
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_openings(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
+#: The remainder of a CRC-32 by bits: each digit is followed by seven zeros, and each step takes one bit.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda s, e: xor(xor(s, e) >> 1, CASE WHEN xor(s, e) & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT))"
+#: Every prefix of every rebuilt conversation as a list of digests; a node counts for all nodes above it.
+OP12_SQL = f"""
+WITH a AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM a)),
+u AS (
+  SELECT c.conv_id, pos, 0 AS own, key, chars FROM c JOIN a ON a.conv_id = base AND pos <= h
+  UNION ALL SELECT conv_id, pos, 1, key, chars FROM a JOIN c USING (conv_id) WHERE pos > h),
+t AS (
+  SELECT conv_id, row_number() OVER x AS depth, chars, sha256(string_agg(key, ',') OVER x) AS node FROM u WINDOW x AS (PARTITION BY conv_id ORDER BY own, pos)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, max(depth) AS last FROM t GROUP BY conv_id),
+p AS (SELECT t.*, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above, depth = last AS ended FROM t JOIN e USING (conv_id)),
+n AS (
+  SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, bool_and(ended) AS leaf,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM p GROUP BY depth, node),
+s AS (SELECT t.depth, t.node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM n JOIN t ON t.conv_id = n.conv_id AND t.depth <= n.depth GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (depth, node) LEFT JOIN k USING (depth, node) LEFT JOIN n p ON p.depth = n.depth - 1 AND p.node = n.above
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded bytes as digests. Null and empty texts have no ids; null and repeated ids are encoded row by row; an empty table gives no rows."""
+    coded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -163,8 +225,13 @@ def queries() -> dict:
         "op8_exact_topk": op8_exact_topk,
         "op9_html_text": op9_html_text,
         "op10_bpe": op10_bpe,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op3_license_scan": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_exact_topk": OP8_SQL}
+    return {
+        "op1_url_filter": OP1_SQL, "op3_license_scan": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_exact_topk": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_prefix_trie": OP12_SQL,
+    }
