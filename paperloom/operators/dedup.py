@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,30 +25,38 @@ def members(df: DataFrame, id_column: str, key: Column) -> DataFrame:
 SIGNALS = ("doi", "arxiv", "source_id", "text", "title")
 
 
-def cascade(new: DataFrame, known: DataFrame, normalize_both: bool = False) -> DataFrame:
-    """id, signal and existing_id of each new paper that a known one matches: by DOI, arXiv id, source and source_id, text, then title.
+def identity_keys(papers: DataFrame, stored: bool, normalize: bool = False) -> DataFrame:
+    """priority, key, id: what a paper is known by, for each signal that it has. Empty and null values are no keys.
 
-    Both sides: id, doi, arxiv_id, source, source_id, title, full_text. Of several matches of a signal the least id.
-    Known DOIs and arXiv ids are compared as they are stored unless normalize_both. Empty and null values match nothing.
-    Each signal is an equi-join on a hashed or short key, so no pair of papers without a common key is met.
+    papers: id, doi, arxiv_id, source, source_id, title, full_text. stored: DOIs and arXiv ids as they are, unless normalize.
     """
     some = lambda c: F.when(c != "", c)
-
-    def keys(df: DataFrame, stored: bool) -> DataFrame:
-        doi = F.col("doi") if stored and not normalize_both else T.doi_key(F.col("doi"))
-        arxiv = F.col("arxiv_id") if stored and not normalize_both else T.arxiv_key(F.col("arxiv_id"))
-        pair = F.when(F.col("source").isNotNull() & (F.coalesce("source_id", F.lit("")) != ""), F.concat_ws("\x01", "source", "source_id"))
-        values = [some(doi), some(arxiv), pair, T.text_hash(F.col("full_text")), some(T.title_key(F.col("title")))]
-        each = F.array(*[F.struct(F.lit(i).alias("priority"), v.alias("key")) for i, v in enumerate(values)])
-        return df.select("id", F.inline(each)).filter(F.col("key").isNotNull())
-
-    first = keys(known, True).groupBy("priority", "key").agg(F.min("id").alias("existing_id"))
-    hits = keys(new, False).join(first, ["priority", "key"]).filter("id <> existing_id")
+    doi = F.col("doi") if stored and not normalize else T.doi_key(F.col("doi"))
+    arxiv = F.col("arxiv_id") if stored and not normalize else T.arxiv_key(F.col("arxiv_id"))
+    pair = F.when(F.col("source").isNotNull() & (F.coalesce("source_id", F.lit("")) != ""), F.concat_ws("\x01", "source", "source_id"))
+    values = [some(doi), some(arxiv), pair, T.text_hash(F.col("full_text")), some(T.title_key(F.col("title")))]
+    each = F.array(*[F.struct(F.lit(i).alias("priority"), v.alias("key")) for i, v in enumerate(values)])
+    return papers.select("id", F.inline(each)).filter(F.col("key").isNotNull()).select("priority", "key", "id")
+
+
+def matched(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """id, signal, existing_id of each paper of keys that has a key of another paper of known: by the first signal, and of several papers the least id."""
+    first = known.groupBy("priority", "key").agg(F.min("id").alias("existing_id"))
+    hits = keys.join(first, ["priority", "key"]).filter("id <> existing_id")
     names = F.array(*[F.lit(s) for s in SIGNALS])
     best = hits.groupBy("id").agg(F.min(F.struct("priority", "existing_id")).alias("best"))
     return best.select("id", F.element_at(names, F.col("best.priority") + 1).alias("signal"), F.col("best.existing_id").alias("existing_id"))
 
 
+def cascade(new: DataFrame, known: DataFrame, normalize_both: bool = False) -> DataFrame:
+    """id, signal and existing_id of each new paper that a known one matches: by DOI, arXiv id, source and source_id, text, then title.
+
+    Of several matches of a signal the least id. Known DOIs and arXiv ids are compared as they are stored unless
+    normalize_both. Each signal is an equi-join on a hashed or short key, so no pair of papers without a common key is met.
+    """
+    return matched(identity_keys(new, False), identity_keys(known, True, normalize_both))
+
+
 def similar_titles(titles: DataFrame, id_column: str, title: Column, least: float = 0.85, also: Column | None = None) -> DataFrame:
     """a, b (a < b), similarity: pairs of rows whose titles are equal or have trigram sets of a Jaccard likeness of at least `least`.
 
@@ -104,7 +110,3 @@ def signals(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
 def without(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """Rows of df whose column is not among gone's: deletion as an anti-join."""
     return df.join(gone.select(column).distinct(), column, "left_anti")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -90,21 +90,29 @@ def enriched(papers: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("authors", authors).withColumn("title", title).drop("found_title", "found_authors")
 
 
+#: What identity keys are made of.
+IDENTITY = ("id", "doi", "arxiv_id", "source", "source_id", "title", "full_text")
+
+
 def ingest_status(new: DataFrame, known: DataFrame) -> DataFrame:
     """id, status (created, duplicate or rejected), reason, existing_id of new papers (normalised, with full_text and n_pages).
 
     Invalid metadata and texts that need OCR reject; then a known paper, or a new one of a smaller id, makes a duplicate.
     """
+    return judged(new, dedup.identity_keys(known.select(*IDENTITY), True))
+
+
+def judged(new: DataFrame, known_keys: DataFrame) -> DataFrame:
+    """The status of new papers as ingest_status gives it, against the identity keys of the known ones."""
     wrong = problems()
     ocr = T.needs_ocr(F.length(F.coalesce("full_text", F.lit(""))), F.col("n_pages"))
     reason = F.when(F.size(wrong) > 0, F.element_at(wrong, 1)).when(ocr, "needs OCR")
-    judged = new.withColumn("reason", reason)
-    columns = ["id", "doi", "arxiv_id", "source", "source_id", "title", "full_text"]
-    good = judged.filter(F.col("reason").isNull()).select(*columns)
-    old = dedup.cascade(good, known.select(*columns))
+    rows = new.withColumn("reason", reason)
+    own = dedup.identity_keys(rows.filter(F.col("reason").isNull()).select(*IDENTITY), False)
+    old = dedup.matched(own, known_keys)
     # both sides normalised: a row is in its own key's group, so another least id is a smaller one
-    twin = dedup.cascade(good, good, normalize_both=True).select("id", F.col("signal").alias("twin_signal"), F.col("existing_id").alias("twin_id"))
-    rows = judged.select("id", "reason").join(old, "id", "left").join(twin, "id", "left")
+    twin = dedup.matched(own, own).select("id", F.col("signal").alias("twin_signal"), F.col("existing_id").alias("twin_id"))
+    rows = rows.select("id", "reason").join(old, "id", "left").join(twin, "id", "left")
     rows = rows.select("id", "reason", F.coalesce("signal", "twin_signal").alias("signal"), F.coalesce("existing_id", "twin_id").alias("existing_id"))
     status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("signal").isNotNull(), "duplicate").otherwise("created")
     return rows.select("id", status.alias("status"), F.coalesce("reason", "signal").alias("reason"), "existing_id")

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +14,10 @@ from paperloom.functions import lexicons as L
 from paperloom.functions import text as T
 from paperloom.operators import answers as A
 from paperloom.operators import chunks as C
+from paperloom.operators import dedup as D
 from paperloom.operators import metadata as M
 from paperloom.operators import retrieval as R
-from paperloom.sources import readers
+from paperloom.sources import readers, tables
 from paperloom.sources.steps import saved
 
 Generator = Callable[[Column], Column]
@@ -43,27 +43,39 @@ def asked(chunks: DataFrame, questions: DataFrame, generate: Generator, k: int =
 PAPER = ("id", "title", "abstract", "authors", "doi", "source", "source_id", "arxiv_id", "published_date", "categories", "pdf_url", "full_text", "n_pages")
 
 
-def ingest(new: DataFrame, papers_path: str, chunks_path: str) -> DataFrame:
+#: The priority of a key that is the paper's own id, by which papers that come again are found.
+OWN_ID = len(D.SIGNALS)
+
+
+def stored_keys(papers: DataFrame) -> DataFrame:
+    """priority, key, id: the identity keys of papers as a paper table keeps them, and their ids as keys."""
+    return D.identity_keys(papers, True).unionByName(papers.select(F.lit(OWN_ID).alias("priority"), F.col("id").cast("string").alias("key"), "id"))
+
+
+def ingest(new: DataFrame, papers_path: str, chunks_path: str, batch: object = None) -> DataFrame:
     """Take in new papers (normalised, with id, full_text and n_pages): id, status, reason, existing_id of each, as metadata.ingest_status says.
 
-    Created ones are appended to the paper table, their chunks with embeddings to the chunk table. What is taken in
-    again is a duplicate of itself and adds nothing; statuses are written before the tables change.
+    Created ones are appended to the paper table, their chunks with embeddings to the chunk table and their identity keys
+    to a table beside the papers. Only keys are compared, and of the stored ones only the buckets that the new keys fall
+    into are read: no stored text. What is taken in again is a duplicate of itself and adds nothing.
+
+    batch: the name of this batch. Run again under its name, after a failure anywhere or after its end, it gives the same
+    statuses and replaces what it wrote; readers see a batch's chunks and keys before its papers, and none while they are
+    written.
     """
-    spark = new.sparkSession
+    spark, batch = new.sparkSession, tables.batch_name(batch)
+    keys_path = readers.keys_path(papers_path)
     rows = saved(new.select(*PAPER))
-    try:
-        known = spark.read.parquet(papers_path)
-    except AnalysisException as e:  # the first papers
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = rows.limit(0)
-    again = known.join(rows.select("id"), "id", "left_semi").select("id", F.lit("duplicate").alias("was"))
-    judged = M.ingest_status(rows, known).join(again, "id", "left")
+    mine = saved(D.identity_keys(rows, False).unionByName(rows.select(F.lit(OWN_ID).alias("priority"), F.col("id").cast("string").alias("key"), "id")))
+    known = tables.read(spark, keys_path, tables.met(mine, "key"), without=batch)
+    known = mine.limit(0) if known is None else known.select("priority", "key", "id")
+    again = known.filter(F.col("priority") == OWN_ID).join(rows.select("id"), "id", "left_semi").select("id", F.lit("duplicate").alias("was")).distinct()
+    judged = M.judged(rows, known.filter(F.col("priority") < OWN_ID)).join(again, "id", "left")
     status = saved(judged.select("id", F.coalesce("was", "status").alias("status"), F.coalesce(F.when(F.col("was").isNotNull(), "id"), "reason").alias("reason"), F.when(F.col("was").isNotNull(), F.col("id")).otherwise(F.col("existing_id")).alias("existing_id")))
     created = saved(rows.join(status.filter("status = 'created'").select("id"), "id", "left_semi"))
-    chunks = R.embedded(C.chunked(created, "id", "full_text"))
-    readers.append_chunks(chunks, chunks_path)
-    readers.append_papers(created, papers_path)
+    readers.append_chunks(R.embedded(C.chunked(created, "id", "full_text")), chunks_path, batch)
+    tables.append(stored_keys(created), keys_path, "key", batch)
+    readers.append_papers(created, papers_path, batch)
     return status
 
 

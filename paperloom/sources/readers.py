@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.operators import dedup
+from paperloom.sources import tables
+from paperloom.sources.steps import saved
 
 FEED = "id string, title string, summary string, published string, updated string, author array<struct<name:string>>, category array<struct<_term:string>>"
 
@@ -70,18 +73,16 @@ def extracted_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) ->
     return pages.withColumn("text", T.clean_page_text(F.col("text")))
 
 
-def append_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Append chunks, dealt to folders by a hash of their paper, so that a paper's chunks are found in one."""
-    chunks.withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+def append_chunks(chunks: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append chunks as a batch, dealt to folders by a hash of their paper, so that a paper's chunks are found in one."""
+    tables.append(chunks, path, "paper_id", batch)
 
 
-def read_chunks(spark: SparkSession, path: str, paper_id: int | None = None, buckets: int = 64) -> DataFrame:
-    """Chunks, or those of one paper, of which only its bucket is read."""
-    rows = spark.read.parquet(path)
-    if paper_id is not None:
-        bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(paper_id).cast("long")), F.lit(buckets)).cast("int")).first()[0]
-        rows = rows.filter((F.col("bucket") == bucket) & (F.col("paper_id") == paper_id))
-    return rows.drop("bucket")
+def read_chunks(spark: SparkSession, path: str, paper_id: int | None = None) -> DataFrame:
+    """The chunks of committed batches, or those of one paper, of which only its bucket is read."""
+    buckets = None if paper_id is None else tables.met(spark.range(1).select(F.lit(paper_id).cast("long").alias("paper_id")), "paper_id")
+    rows = tables.read(spark, path, buckets).drop("batch", "bucket")
+    return rows if paper_id is None else of_id(rows, paper_id, "paper_id")
 
 
 def full_texts(pages: DataFrame) -> DataFrame:
@@ -102,33 +103,27 @@ def of_id(rows: DataFrame, value: int, column: str = "id") -> DataFrame:
     return rows.filter(F.col(column) == F.lit(value))
 
 
-def append_papers(papers: DataFrame, path: str) -> None:
-    papers.write.mode("append").parquet(path)
+def append_papers(papers: DataFrame, path: str, batch: str | None = None) -> None:
+    tables.append(papers, path, "id", batch)
 
 
-def _swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a table that is written in full in the place of another."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = at(f"{path}-old")
-    files.delete(old, True)
-    if not files.rename(at(path), old) or not files.rename(at(staged), at(path)):
-        raise OSError(f"could not put {staged} in the place of {path}")
-    files.delete(old, True)
+def read_papers(spark: SparkSession, path: str) -> DataFrame:
+    return tables.read(spark, path).drop("batch", "bucket")
 
 
-def deleted(spark: SparkSession, path: str, gone: DataFrame, column: str, partitions: tuple[str, ...] = ()) -> int:
-    """Take the rows whose column is among gone's out of the table at path; how many they were. The new table is written beside the old one and then renamed."""
-    rows = spark.read.parquet(path)
-    ids = gone.select(column).distinct()
-    count = rows.join(ids, column, "left_semi").count()
-    if count:
-        rows.join(ids, column, "left_anti").write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}-staged")
-        _swap(spark, f"{path}-staged", path)
-    return count
+def keys_path(papers_path: str) -> str:
+    """Where the identity keys of a paper table's papers are stored, beside it."""
+    return f"{papers_path.rstrip('/')}-keys"
 
 
 def delete_duplicates(spark: SparkSession, papers_path: str, chunks_path: str, duplicates: DataFrame) -> tuple[int, int]:
-    """Delete papers (id) that are duplicates, and their chunks; the numbers of both."""
+    """Delete papers (id) that are duplicates, their chunks and their identity keys; the numbers of papers and chunks.
+
+    The keys, which are dealt by key, go first: the deleted papers tell which they are.
+    """
     gone = duplicates.select("id").distinct()
-    return deleted(spark, papers_path, gone, "id"), deleted(spark, chunks_path, gone.withColumnRenamed("id", "paper_id"), "paper_id", ("bucket",))
+    papers = tables.read(spark, papers_path, tables.met(gone, "id"))
+    if papers is not None and "doi" in papers.columns:
+        held = saved(dedup.identity_keys(papers.join(gone, "id", "left_semi"), stored=True))
+        tables.delete_pairs(spark, keys_path(papers_path), held, "key", "id")
+    return tables.delete(spark, papers_path, gone, "id", "id"), tables.delete(spark, chunks_path, gone.withColumnRenamed("id", "paper_id"), "paper_id", "paper_id")

@@ -57,12 +57,12 @@ def ingest(documents: DataFrame, path: str, checkpoint: str, id_column: str = "d
 
 
 def uploads(spark: SparkSession, path: str, papers_path: str, chunks_path: str, checkpoint: str, extract: Callable[[bytes], list[str]]) -> StreamingQuery:
-    """Take in PDF files as they come to a folder: files without a problem are read by `extract`, and their texts are papers of the source local, whose id is a hash of their path."""
+    """Take in PDF files as they come to a folder: files without a problem are read by `extract`, and their texts are papers of the source local, whose id is a hash of their path. A batch that is run again replaces what it wrote."""
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         found = readers.full_texts(readers.extracted_pages(readers.with_problems(batch), extract))
         raw = found.select(F.xxhash64("path").alias("id"), "title", F.array_compact(F.array("authors")).alias("authors"), F.lit("local").alias("source"), F.col("path").alias("source_id"), "full_text", "n_pages")
-        pipelines.ingest(metadata.normalized(raw).withColumn("id", F.xxhash64("source_id")), papers_path, chunks_path)
+        pipelines.ingest(metadata.normalized(raw).withColumn("id", F.xxhash64("source_id")), papers_path, chunks_path, batch=number)
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pdf").load(path)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions import vectors
 from paperloom.operators import answers, chunks, dedup, metadata, operations, pipelines, quality, retrieval, similarity
-from paperloom.sources import readers, steps
+from paperloom.sources import readers, steps, tables
 from paperloom.streaming import streams
 
 
@@ -322,3 +323,73 @@ def test_top_k_of_many_queries_in_blocks(rows, monkeypatch):
     want = {(c, n): x[1:] for _, c, v in data for n, x in enumerate(sorted((far(v, w), p, i) for p, i, w in data)[:5], 1)}
     found = similarity.top_k(df, asked, 5)
     assert {(r.query_id, r.rank): (r.paper_id, r.chunk_id) for r in found.collect()} == want
+
+
+GOOD = "The quick brown fox jumps over the lazy dog and runs away from the big red barn today. " * 3
+
+
+def _papers(rows, *values):
+    schema = "id long, title string, abstract string, authors array<string>, doi string, source string, source_id string, arxiv_id string, published_date string, categories array<string>, pdf_url string, full_text string, n_pages long"
+    return rows(schema, *[(i, title, None, ["Ann"], doi, "s", str(i), None, None, [], None, text, 1) for i, title, doi, text in values])
+
+
+def test_a_batch_may_run_again(spark, rows, tmp_path, monkeypatch):
+    papers, chunks = f"{tmp_path}/papers", f"{tmp_path}/chunks"
+    first = _papers(rows, (1, "One", "10.1/a", GOOD), (2, "Two", None, GOOD + "b"), (3, "One", None, GOOD + "c"))
+    kept, calls = readers.append_papers, []
+
+    def failing(*args):
+        calls.append(args)
+        raise OSError("lost")
+
+    monkeypatch.setattr(readers, "append_papers", failing)
+    with pytest.raises(OSError):
+        pipelines.ingest(first, papers, chunks, batch=0)
+    monkeypatch.setattr(readers, "append_papers", kept)
+    want = {1: ("created", None, None), 2: ("created", None, None), 3: ("duplicate", "title", 1)}
+    for _ in range(2):  # after the failure, and once more after the end
+        assert {r.id: (r.status, r.reason, r.existing_id) for r in pipelines.ingest(first, papers, chunks, batch=0).collect()} == want
+        assert sorted(r.id for r in readers.read_papers(spark, papers).collect()) == [1, 2]
+        got = readers.read_chunks(spark, chunks).select("paper_id", "chunk_id").collect()
+        assert len(got) == len(set(got)) and {r.paper_id for r in got} == {1, 2}
+    second = _papers(rows, (1, "One", "10.1/a", GOOD), (4, "Four", "https://doi.org/10.1/A", GOOD + "d"), (5, "Five", None, GOOD + "e"))
+    got = {r.id: (r.status, r.reason, r.existing_id) for r in pipelines.ingest(second, papers, chunks, batch=1).collect()}
+    assert got == {1: ("duplicate", "id", 1), 4: ("duplicate", "doi", 1), 5: ("created", None, None)}
+    assert sorted(r.id for r in readers.read_papers(spark, papers).collect()) == [1, 2, 5]
+
+
+def test_unfinished_batches_are_not_read(spark, rows, tmp_path):
+    at = f"{tmp_path}/t"
+    assert tables.read(spark, at) is None
+    tables.write(rows("id long", (1,), (2,)), at, "id", "b-1")
+    assert tables.read(spark, at).count() == 0 and tables.pending(spark, at) == ["b-1"]
+    tables.write(rows("id long", (3,)), at, "id", "b-1")
+    tables.commit(spark, at, "b-1")
+    assert [r.id for r in tables.read(spark, at).collect()] == [3]
+
+
+def test_ingest_reads_keys_of_met_buckets_only(spark, rows, tmp_path):
+    papers, chunks = f"{tmp_path}/papers", f"{tmp_path}/chunks"
+    pipelines.ingest(_papers(rows, *[(i, f"T {i}", None, GOOD + str(i)) for i in range(20)]), papers, chunks)
+    one = _papers(rows, (50, "T 7", None, GOOD + "z"))
+    mine = pipelines.stored_keys(one)
+    known = tables.read(spark, readers.keys_path(papers), tables.met(mine, "key"))
+    read = {f.split("bucket=")[1].split("/")[0] for f in known.inputFiles()}
+    every = {f.split("bucket=")[1].split("/")[0] for f in tables.read(spark, readers.keys_path(papers)).inputFiles()}
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "full_text" not in plan and len(tables.met(mine, "key")) <= 5 < len(every) and read <= every
+    assert pipelines.ingest(one, papers, chunks).first()[1:] == ("duplicate", "title", 7)
+
+
+def test_deletes_touch_only_folders_of_deleted_rows(spark, rows, tmp_path):
+    papers, chunks = f"{tmp_path}/papers", f"{tmp_path}/chunks"
+    pipelines.ingest(_papers(rows, *[(i, f"T {i}", None, GOOD + str(i)) for i in range(20)]), papers, chunks)
+    files = lambda at: {str(p): p.stat().st_mtime_ns for p in Path(at).rglob("*.parquet")}
+    before = files(papers)
+    assert readers.delete_duplicates(spark, papers, chunks, rows("id long", (7,), (99,))) == (1, 1)
+    after = files(papers)
+    assert 0 < len(before.keys() - after.keys()) <= 1 and all(after[f] == t for f, t in before.items() if f in after)
+    assert readers.read_papers(spark, papers).count() == 19 and readers.read_chunks(spark, chunks, 7).count() == 0
+    assert readers.delete_duplicates(spark, papers, chunks, rows("id long", (7,))) == (0, 0)
+    # its keys are gone too
+    assert pipelines.ingest(_papers(rows, (60, "T 7", None, GOOD + "7")), papers, chunks).first().status == "created"
