@@ -105,6 +105,11 @@ def best_matches(chunks: DataFrame, vector: str = "embedding", normed: bool = Tr
     return reduce(DataFrame.unionByName, found).groupBy("paper_id", "chunk_id", "other_id").agg(best).select("paper_id", "chunk_id", "other_id", (-F.col("x.before")).alias("best_chunk"), F.col("x.best").alias("best"))
 
 
+def best_matches_among(chunks: DataFrame, targets: DataFrame, vector: str = "embedding", normed: bool = True) -> DataFrame:
+    """best_matches of the papers in targets (paper_id) with each other: no other paper's chunks are met."""
+    return best_matches(chunks.join(targets.select("paper_id").distinct(), "paper_id", "left_semi"), vector, normed)
+
+
 def _best(rows: DataFrame, asking: list, normed: bool) -> DataFrame:
     """Of rows in the order of papers: for each asking chunk the best row of each other paper, as far as a batch goes."""
     scaled = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1) if normed else m

@@ -18,6 +18,7 @@ from paperloom.operators import operations as O
 from paperloom.operators import pipelines as P
 from paperloom.operators import quality as Q
 from paperloom.operators import retrieval as R
+from paperloom.operators import nearness as N
 from paperloom.operators import similarity as S
 from paperloom.plans import fixtures as X
 from paperloom.plans.fixtures import table
@@ -204,6 +205,14 @@ def near_dup_vectors(spark, d):
     return S.near_vectors(rows, asked, least=0.3).drop("distance")
 
 
+@query(f"""WITH {_VECTORS}, s AS (SELECT a.paper_id, a.chunk_id, b.paper_id AS near_paper, b.chunk_id AS near_chunk, list_cosine_similarity(a.v, b.v) AS sim FROM e a, e b WHERE a.chunk_id <> b.chunk_id OR a.paper_id <> b.paper_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, chunk_id ORDER BY round(sim, 12) DESC, near_paper, near_chunk) AS r FROM s WHERE sim >= 0.4)
+SELECT paper_id, chunk_id, CAST(r AS INTEGER) AS rank, near_paper, near_chunk, round(sim, 6) AS similarity FROM r WHERE r <= 10""")
+def near_vectors_all(spark, d):
+    """Every vector against all others. The table has hardly a pair of 0.97, so 0.4 is asked for."""
+    return N.near_pairs(vector_chunks(spark, d), least=0.4)
+
+
 _BEST = f"""{_VECTORS},
 m AS (SELECT a.paper_id, a.chunk_id, b.paper_id AS other_id, max(list_cosine_similarity(a.v, b.v)) AS best FROM e a JOIN e b ON a.paper_id <> b.paper_id GROUP BY ALL)"""
 
@@ -212,17 +221,23 @@ m AS (SELECT a.paper_id, a.chunk_id, b.paper_id AS other_id, max(list_cosine_sim
 r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY similarity DESC, other_id) AS r, max(similarity) OVER (PARTITION BY paper_id) AS top FROM p)
 SELECT paper_id, other_id, CAST(r AS INTEGER) AS rank, similarity, round(greatest(0.0, least(1.0, 1 - top)), 4) AS novelty_score FROM r WHERE r <= 5""")
 def novelty_scores(spark, d):
-    return S.novelty(S.best_matches(vector_chunks(spark, d)))
+    return N.nearest_papers(vector_chunks(spark, d))
 
 
 @query(f"""WITH {_BEST}, p AS (SELECT paper_id, other_id, round(avg(greatest(0.0, best)), 4) AS similarity FROM m WHERE paper_id % 5 <> other_id % 5 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY similarity DESC, other_id) AS r, max(similarity) OVER (PARTITION BY paper_id) AS top FROM p)
 SELECT paper_id, other_id, CAST(r AS INTEGER) AS rank, similarity, round(greatest(0.0, least(1.0, 1 - top)), 4) AS novelty_score FROM r WHERE r <= 5""")
 def novelty_excluding_dups(spark, d):
-    rows = vector_chunks(spark, d)
-    ids = rows.select("paper_id").distinct()
-    same = ids.join(ids.select(F.col("paper_id").alias("other_id")), (F.col("paper_id") % 5 == F.col("other_id") % 5) & (F.col("paper_id") != F.col("other_id")))
-    return S.novelty(S.best_matches(rows), same)
+    return N.nearest_papers(vector_chunks(spark, d).withColumn("same", F.col("paper_id") % 5), same="same")
+
+
+@query(f"""WITH {_BEST}, p AS (SELECT paper_id, other_id, round(avg(greatest(0.0, best)), 4) AS similarity FROM m GROUP BY ALL),
+t AS (SELECT paper_id, max(similarity) AS top, least(5, count(*)) AS n FROM p GROUP BY paper_id)
+SELECT CAST(n_nationkey AS BIGINT) AS paper_id, CASE WHEN top IS NOT NULL THEN round(greatest(0.0, least(1.0, 1 - top)), 4) END AS novelty_score, top AS highest_similarity, CAST(coalesce(n, 0) AS BIGINT) AS n_compared, CASE WHEN top IS NULL THEN 'no embedded chunks' END AS reason
+FROM nation LEFT JOIN t ON t.paper_id = n_nationkey""")
+def novelty_report(spark, d):
+    """Nations as papers, of which only the first ten have chunks."""
+    return N.novelty_report(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("paper_id")), vector_chunks(spark, d))
 
 
 @query(f"""WITH {_VECTORS}, m AS (SELECT a.paper_id, a.chunk_id, b.paper_id AS other_id, max(list_inner_product(a.v, b.v)) AS best FROM e a JOIN e b ON a.paper_id <> b.paper_id GROUP BY ALL),
@@ -241,6 +256,15 @@ def compare_evidence(spark, d):
     return S.evidence(S.best_matches(vector_chunks(spark, d), normed=False))
 
 
+@query(f"""WITH {_VECTORS}, w AS (SELECT * FROM e WHERE paper_id % 3 = 0), m AS (SELECT a.paper_id, a.chunk_id, b.paper_id AS other_id, max(list_inner_product(a.v, b.v)) AS best FROM w a JOIN w b ON a.paper_id <> b.paper_id GROUP BY ALL),
+o AS (SELECT paper_id, other_id, avg(greatest(0.0, least(1.0, best))) AS mean FROM m GROUP BY ALL)
+SELECT least(paper_id, other_id) AS a, greatest(paper_id, other_id) AS b, round(sum(mean) / 2, 4) AS similarity, round(1 - sum(mean) / 2, 4) AS difference_score FROM o GROUP BY 1, 2""")
+def compare_asked(spark, d):
+    """Only the papers that are asked for are compared with each other."""
+    rows = vector_chunks(spark, d)
+    return S.comparisons(S.best_matches_among(rows, rows.filter("paper_id % 3 = 0").select("paper_id").distinct(), normed=False))
+
+
 # -- retrieval --------------------------------------------------------------------------------------------------------
 
 
