@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicons as L
@@ -16,39 +16,106 @@ from paperloom.functions import lexicons as L
 PERMANENT = ["validation", "corrupted", "not_found", "permission", "unauthorized"]
 
 
+def _window_map(times: np.ndarray, width: int, limit: int, fresh: bool) -> dict[str, np.ndarray]:
+    """What becomes of a counter over a sorted stretch of one key's times, for every place where its first own start can be.
+
+    A counter that comes in began before the stretch, so its successor starts at one of the times within `width` of the
+    first, or the one after; a stretch that nothing comes into (fresh) starts at its first. Of each such place: its time,
+    how many rows are before it, and from there on the starts, the rejected rows, the last start and its use. Each time's
+    successor is known by a search; the chain of all of them is followed by doubling.
+    """
+    n = len(times)
+    after = np.searchsorted(times, times + width)
+    rejected = np.maximum(0, after - np.arange(n) - limit)
+    starts, jump = np.ones(n, np.int64), np.append(after, n)
+    starts, rejected = np.append(starts, 0), np.append(rejected, 0)
+    last = np.append(np.where(after < n, after, np.arange(n)), n)
+    while (jump[:n] < n).any():
+        starts, rejected, jump = starts + starts[jump], rejected + rejected[jump], jump[jump]
+        last = last[last]
+    at = np.arange(1 if fresh else min(n, int(np.searchsorted(times, times[0] + width)) + 1))
+    return {"time": times[at], "before": at, "starts": starts[at], "rejected": rejected[at], "since": times[last[at]], "used": np.minimum(limit, n - last[at])}
+
+
 def rate_limited(requests: DataFrame, key: str, time: str, order: str, limit: int = 30, seconds: float = 60) -> DataFrame:
     """key, n_requests, n_rejected, n_windows: a counter per key that starts anew at the first request `seconds` or more after its last start.
 
-    Rows are dealt by key and sorted by (key, time, order); a task reads them batch by batch and keeps one key's start,
-    use and counts, so a key's rows are never gathered. Rows without a key are left out.
+    Rows are dealt by ranges of (key, time, order), so a key of any size is spread over tasks. What a counter does in a
+    range depends on the start that it comes in with: a task sends on its range's map from incoming to outgoing start and
+    counts, which has as many rows as lie within `seconds` of its begin, and one row for every other key. A key's maps
+    are then applied in order. Of one key's rows in a range the times are held. Rows without a key are left out.
     """
     width = round(seconds * 1_000_000)
-    schema = f"{key} {dict(requests.dtypes)[key]}, n_requests long, n_rejected long, n_windows long"
+    kind = dict(requests.dtypes)[key]
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, since, used, counts = None, 0, 0, [0, 0, 0]
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(name, part, held, first) -> pd.DataFrame:
+            times = np.concatenate(held)
+            return pd.DataFrame({"k": name, "part": part, "n": len(times), **_window_map(times, width, limit, not first)})
+
+        now, held, first = None, [], True
         for batch in batches:
-            done = []
             for name, own in batch.groupby("k", sort=False):
-                if name != held:
-                    done += [(held, *counts)] if counts[0] else []
-                    held, since, used, counts = name, None, 0, [0, 0, 0]
-                t, i = own["t"].to_numpy(), 0
-                counts[0] += len(t)
-                while i < len(t):
-                    if since is None or t[i] - since >= width:
-                        since, used = t[i], 0
-                        counts[2] += 1
-                    j = int(np.searchsorted(t, since + width))
-                    allowed = min(j - i, limit - used)
-                    used += allowed
-                    counts[1] += j - i - allowed
-                    i = j
-            yield pd.DataFrame(done, columns=[key, "n_requests", "n_rejected", "n_windows"])
-        yield pd.DataFrame([(held, *counts)] if counts[0] else [], columns=[key, "n_requests", "n_rejected", "n_windows"])
+                if held and name != now:
+                    yield told(now, part, held, first)
+                    held, first = [], False
+                now, part = name, own["part"].iloc[0]
+                held.append(own["t"].to_numpy())
+        if held:
+            yield told(now, part, held, first)
+
+    def applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, "n_requests", "n_rejected", "n_windows"]
+        now, place, since, used, counts, rest = None, -1, None, 0, [0, 0, 0], 0  # rest: rows of the range that are not told of yet
+
+        def closed() -> None:  # a range without an own start
+            nonlocal used
+            allowed = min(rest, limit - used)
+            counts[1] += rest - allowed
+            used += allowed
+
+        for batch in batches:
+            done = []
+            for name, part, n, time_, before, starts, rejected, last, use in batch[["k", "part", "n", "time", "before", "starts", "rejected", "since", "used"]].itertuples(index=False, name=None):
+                if name != now or part != place:
+                    closed()
+                    if name != now:
+                        done += [(now, *counts)] if counts[0] else []
+                        now, since, used, counts = name, None, 0, [0, 0, 0]
+                    place, rest = part, n
+                    counts[0] += n
+                if rest and (since is None or time_ - since >= width):
+                    rest = before
+                    closed()
+                    counts[1], counts[2], since, used, rest = counts[1] + rejected, counts[2] + starts, last, use, 0
+            yield pd.DataFrame(done, columns=names)
+        closed()
+        yield pd.DataFrame([(now, *counts)] if counts[0] else [], columns=names)
 
     rows = requests.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("o"))
-    return rows.repartition("k").sortWithinPartitions("k", "t", "o").select("k", "t").mapInPandas(fold, schema)
+    ranged = rows.repartitionByRange(parts, "k", "t", "o").sortWithinPartitions("k", "t", "o").select("k", "t", F.spark_partition_id().alias("part"))
+    maps = ranged.mapInPandas(mapped, f"k {kind}, part int, n long, time long, before long, starts long, rejected long, since long, used long")
+    return maps.repartition("k").sortWithinPartitions("k", "part", "before").mapInPandas(applied, f"{key} {kind}, n_requests long, n_rejected long, n_windows long")
+
+
+def due_retries(jobs: DataFrame, time: str, order: str, now: Column) -> DataFrame:
+    """The jobs whose next try's time has come, in the order in which they are taken up; ties by `order`."""
+    return jobs.filter(F.col(time) <= now).orderBy(time, order)
+
+
+def retry_times(events: DataFrame, job: str, time: str, event: str, most: int = 3) -> DataFrame:
+    """job, retries, due of every retry whose time comes before the job's next event: a failure is tried again 10, 20, 40 seconds later and so on (see backoff), up to the most failures since the last success.
+
+    events: fail, succeed or others, which only put a retry off. One window for each job, whose rows are its own history.
+    """
+    by_job = Window.partitionBy(job).orderBy(time, event)
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withColumn("epoch", F.sum((F.col(event) == "succeed").cast("int")).over(by_job.rowsBetween(Window.unboundedPreceding, -1)))
+    failures = F.sum((F.col(event) == "fail").cast("int")).over(Window.partitionBy(job, F.coalesce("epoch", F.lit(0))).orderBy(time, event).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("retries", failures.cast("int")).withColumn("next", F.lead(time).over(by_job))
+    due = F.timestamp_micros(F.unix_micros(time) + (backoff(F.col("retries")) * 1_000_000).cast("long"))
+    rows = rows.filter((F.col(event) == "fail") & (F.col("retries") <= most)).withColumn("due", due)
+    return rows.filter(F.col("next").isNull() | (F.col("next") >= F.col("due"))).select(job, "retries", "due")
 
 
 def stale_checks(requests: DataFrame, key: str, time: str, order: str, seconds: float = 30) -> DataFrame:

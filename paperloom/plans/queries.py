@@ -587,8 +587,18 @@ def retry_schedule(spark, d):
 
 @query("SELECT event_id, user_id, ts + INTERVAL 40 SECOND AS next_retry_at FROM events WHERE event_type = 'click' AND ts + INTERVAL 40 SECOND <= TIMESTAMP '2024-01-10 00:00:00'")
 def due_retries(spark, d):
-    due = F.col("ts") + F.expr("INTERVAL 40 SECOND")
-    return table(spark, d, "events").filter("event_type = 'click'").select("event_id", "user_id", due.alias("next_retry_at")).filter(F.col("next_retry_at") <= F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    jobs = table(spark, d, "events").filter("event_type = 'click'").select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL 40 SECOND")).alias("next_retry_at"))
+    return O.due_retries(jobs, "next_retry_at", "event_id", F.lit("2024-01-10 00:00:00").cast("timestamp"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE event_type WHEN 'click' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'other' END AS event FROM events),
+g AS (SELECT *, coalesce(sum((event = 'succeed')::INT) OVER (PARTITION BY user_id ORDER BY ts, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM e),
+f AS (SELECT *, sum((event = 'fail')::INT) OVER (PARTITION BY user_id, epoch ORDER BY ts, event ROWS UNBOUNDED PRECEDING) AS retries, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event) AS next FROM g),
+t AS (SELECT user_id, CAST(retries AS INTEGER) AS retries, ts + to_seconds(least(300, 5 * pow(2, retries))::INT) AS due, next FROM f WHERE event = 'fail' AND retries <= 3)
+SELECT user_id, retries, due FROM t WHERE next IS NULL OR next >= due""")
+def retry_times(spark, d):
+    events = table(spark, d, "events").select("user_id", "ts", F.expr("CASE event_type WHEN 'click' THEN 'fail' WHEN 'purchase' THEN 'succeed' ELSE 'other' END").alias("event"))
+    return O.retry_times(events, "user_id", "ts", "event")
 
 
 @query("""WITH t AS (SELECT user_id, event_id AS priority, event_type AS provider, CASE WHEN event_id % 3 = 0 THEN 'answer ' || event_id WHEN event_id % 3 = 1 THEN ' ' END AS text FROM events)
@@ -610,6 +620,11 @@ def events_tumbling(spark, d):
     return streams.tumbling(table(spark, d, "events"), "ts", "event_type").withColumn("total", F.round("total", 4))
 
 
+@query("""SELECT start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY])::TIMESTAMP AS start, event_type, value FROM events) GROUP BY ALL""")
+def events_sliding(spark, d):
+    return streams.windows(table(spark, d, "events"), "ts", "event_type", "2 days", "1 day").withColumn("total", F.round("total", 4))
+
+
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) SELECT min(ts) AS start, user_id, count(*) AS n_events FROM s GROUP BY user_id, s""")
 def events_session(spark, d):

@@ -9,18 +9,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from paperloom.functions import text as T
 from paperloom.operators import metadata, pipelines
 from paperloom.sources import readers
 
 
-def tumbling(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """start, key, n_events, total: counts by window, streaming or not."""
+def windows(events: DataFrame, time: str, key: str, width: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
+    """start, key, n_events, total: counts by window, streaming or not; with a slide shorter than the width an event is in several."""
     rows = events.withWatermark(time, late) if events.isStreaming else events
-    return rows.groupBy(F.window(time, width), key).agg(F.count("*").alias("n_events"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), key, "n_events", "total")
+    window = F.window(time, width, slide) if slide else F.window(time, width)
+    return rows.groupBy(window, key).agg(F.count("*").alias("n_events"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), key, "n_events", "total")
+
+
+def tumbling(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Windows that do not overlap."""
+    return windows(events, time, key, width, late=late)
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -68,10 +75,11 @@ def uploads(spark: SparkSession, path: str, papers_path: str, chunks_path: str,
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limits(requests: DataFrame, key: str, time: str, limit: int = 30, seconds: int = 60) -> DataFrame:
-    """key, time, allowed of every request: the state of a key is the time of its counter's start and the count, and ends when it has been quiet for `seconds`.
+def rate_limits(requests: DataFrame, key: str, time: str, limit: int = 30, seconds: int = 60, late: str = "0 seconds") -> DataFrame:
+    """key, time, allowed of every request: the state of a key is the time of its counter's start and the count, and ends once event time has passed the counter's end.
 
-    Of a key's rows of one batch only the times are held, eight bytes each.
+    Only event time counts: a stream that is replayed faster or slower, or pauses, gives the same rows. late: how far
+    rows may lag behind the latest one (the watermark); of a key's rows of one batch only the times are held.
     """
     width = seconds * 1_000_000
 
@@ -91,21 +99,22 @@ def rate_limits(requests: DataFrame, key: str, time: str, limit: int = 30, secon
             used = min(limit, used + j - i)
             i = j
         state.update((since, used))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((since + width) // 1000, state.getCurrentWatermarkMs() + 1))
         for i in range(0, len(times), 10_000):
             yield pd.DataFrame({key: name[0], time: times[i : i + 10_000].astype("datetime64[us]"), "allowed": allowed[i : i + 10_000]})
 
     schema = f"{key} {dict(requests.dtypes)[key]}, {time} timestamp, allowed boolean"
-    return requests.select(key, time).groupBy(key).applyInPandasWithState(judge, schema, "since long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.select(key, time).withWatermark(time, late).groupBy(key).applyInPandasWithState(judge, schema, "since long, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 TRANSITIONS = {"start": "running", "succeed": "succeeded", "fail": "failed", "retry": "retrying", "queue": "queued"}
 
 
-def job_states(events: DataFrame, key: str, most_retries: int = 3) -> DataFrame:
-    """key, status, retries, delay after each batch of a job's events (event, progress): failures are tried again up to the most, after 10, 20, 40 seconds and so on, at most 300.
+def job_states(events: DataFrame, key: str, most_retries: int = 3, late: str = "0 seconds") -> DataFrame:
+    """key, status, retries, delay after each batch of a job's events (event, ts): failures are tried again up to the most, after 10, 20, 40 seconds and so on, at most 300.
 
-    A job's state ends a day after its last event. Of its rows of one batch the times and events are held.
+    A job that has succeeded, or failed for good, is forgotten when event time is a day past its last event; any other is
+    kept. Of its rows of one batch the times and events are held.
     """
 
     def move(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -116,15 +125,76 @@ def job_states(events: DataFrame, key: str, most_retries: int = 3) -> DataFrame:
         delay: Any = None
         held = [(batch["ts"].to_numpy(), pd.Categorical(batch["event"])) for batch in batches]
         events = np.concatenate([np.asarray(c.categories, object)[c.codes] for _, c in held])
-        for event in events[np.argsort(np.concatenate([t for t, _ in held]), kind="stable")]:
+        times = np.concatenate([t for t, _ in held])
+        for event in events[np.argsort(times, kind="stable")]:
             status = TRANSITIONS.get(event, status)
             delay = None
             if status == "failed" and retries < most_retries:
                 retries += 1
                 status, delay = "retrying", min(5 * 2**retries, 300)
         state.update((status, retries))
-        state.setTimeoutDuration(86_400_000)
+        if status in ("succeeded", "failed"):
+            state.setTimeoutTimestamp(max(int(times.max().astype("datetime64[ms]").astype(np.int64)) + 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [name[0]], "status": [status], "retries": [retries], "delay": [delay]})
 
     schema = f"{key} {dict(events.dtypes)[key]}, status string, retries int, delay double"
-    return events.groupBy(key).applyInPandasWithState(move, schema, "status string, retries int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(move, schema, "status string, retries int", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+class RetryTimers(StatefulProcessor):
+    """A job's failures since its last success and when it is due, with a timer that tells of the retry once event time has come to it."""
+
+    def __init__(self, job: str, most: int) -> None:
+        self.job, self.most = job, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "failures int, due long")
+
+    def _told(self, key: tuple, rows: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({self.job: [key[0]] * len(rows), "retries": [n for n, _ in rows], "due": pd.to_datetime([due for _, due in rows], unit="us")})
+
+    def _keep(self, failures: int, due: int) -> None:
+        if failures or due:
+            self.state.update((failures, due))
+        elif self.state.exists():
+            self.state.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        failures, due = self.state.get() if self.state.exists() else (0, 0)
+        batch = pd.concat(list(rows)).sort_values(["ts", "event"], kind="stable")
+        out, first = [], due
+        for event, at in zip(batch["event"].tolist(), batch["ts"].to_numpy().astype("datetime64[us]").astype(np.int64).tolist(), strict=True):
+            if due and at >= due:
+                out.append((failures, due))
+            due = 0  # told of, or put off by this event
+            failures = 0 if event == "succeed" else failures + (event == "fail")
+            if event == "fail" and failures <= self.most:
+                due = at + min(5 * 2**failures, 300) * 1_000_000
+        if first and first != due:
+            self.handle.deleteTimer(-(-first // 1000))
+        if due and first != due:
+            self.handle.registerTimer(-(-due // 1000))
+        self._keep(failures, due)
+        yield self._told(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        failures, due = self.state.get() if self.state.exists() else (0, 0)
+        if due and -(-due // 1000) == expiredTimerInfo.getExpiryTimeInMs():
+            self._keep(failures, 0)
+            yield self._told(key, [(failures, due)])
+
+    def close(self) -> None:
+        pass
+
+
+def retries(events: DataFrame, job: str, most: int = 3, late: str = "0 seconds") -> DataFrame:
+    """job, retries, due of each retry of a stream of events (event, ts), as operations.retry_times gives them for a table: a row comes when event time has passed its due.
+
+    Whatever the batches, the rows are the same, as long as none lags behind the watermark. The session's state store must
+    be RocksDB (spark.sql.streaming.stateStore.providerClass), as Spark asks for with timers. A job without failures and
+    retries has no state. Of a job's rows of one batch the times and events are held.
+    """
+    schema = f"{job} {dict(events.dtypes)[job]}, retries int, due timestamp"
+    rows = events.select(job, "event", "ts").withWatermark("ts", late).groupBy(job)
+    return rows.transformWithStateInPandas(RetryTimers(job, most), schema, "Append", "EventTime")
