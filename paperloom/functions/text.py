@@ -215,7 +215,7 @@ def health_key(service: Column) -> Column:
 
 def any_like(c: Column, words: Sequence[str]) -> Column:
     """Whether the text holds any of the words, whatever their case, % and _ being wild."""
-    return reduce(lambda a, b: a | b, [c.ilike(f"%{w}%") for w in words])
+    return reduce(lambda a, b: a | b, [c.ilike(f"%{w}%") for w in words], F.lit(False))
 
 
 def injection_flags(c: Column, patterns: Sequence[str] = tuple(L.INJECTION_PATTERNS)) -> Column:

@@ -63,6 +63,33 @@ def accepted_gaps(
     return one.unionByName(two).join(answered, "request_id", "left_semi").withColumn("at", F.col("at").cast("long"))
 
 
+def verified(items: DataFrame, sources: DataFrame, verify: Callable[[Column], Column], drop: bool = False) -> DataFrame:
+    """The accepted items (accepted_gaps) with valid and evidence: what a verifier replies to each limitation's source text.
+
+    verify: from a source's text to a reply, an expression or a model behind answered(). Each source is asked about once,
+    however many limitations name it. A limitation whose source is blank, or whose verifier gives null, and a gap have
+    null in both. drop: leave out the limitations that the verifier denies.
+    """
+    named = items.withColumn("number", F.regexp_extract("source", SOURCE_NUMBER, 1).try_cast("int"))
+    asked = named.filter("kind = 'limitation'").select("request_id", "number").distinct()
+    texts = sources.select("request_id", F.col("source").alias("number"), "text").filter(T.strip(F.coalesce("text", F.lit(""))) != "")
+    replies = asked.join(texts, ["request_id", "number"]).select("request_id", "number", verify(F.col("text")).alias("reply"))
+    replies = replies.filter(F.col("reply").isNotNull()).select("request_id", "number", F.lit("limitation").alias("kind"), verifier_reply(F.col("reply")).alias("x"))
+    rows = named.join(replies, ["request_id", "number", "kind"], "left").select(*items.columns, "x.valid", "x.evidence")
+    return rows.filter(F.coalesce("valid", F.lit(True))) if drop else rows
+
+
+def gap_answers(items: DataFrame) -> DataFrame:
+    """request_id, answer: each request's items as JSON, limitations (with what the verifier said, if it did) and possible gaps in their order."""
+    verification = F.when(F.col("valid").isNotNull(), F.struct("valid", "evidence")) if "valid" in items.columns else F.lit(None).cast("struct<valid:boolean,evidence:string>")
+    row = F.struct("at", F.col("statement"), F.col("status"), F.col("source"), verification.alias("verification"))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, row)))
+    both = items.groupBy("request_id").agg(listed("limitation").alias("l"), listed("gap").alias("g"))
+    limitations = F.transform("l", lambda x: F.struct(x["statement"].alias("statement"), x["status"].alias("status"), x["source"].alias("source"), x["verification"].alias("verification")))
+    gaps = F.transform("g", lambda x: F.struct(x["statement"].alias("statement"), x["source"].alias("source")))
+    return both.select("request_id", F.to_json(F.struct(limitations.alias("limitations"), gaps.alias("possible_gaps"))).alias("answer"))
+
+
 def accepted_strengths(answers: DataFrame, sources: DataFrame, categories: Sequence[str] = tuple(L.STRENGTH_CATEGORIES), praise: Sequence[str] = tuple(L.PRAISE_PHRASES)) -> DataFrame:
     """request_id, at, statement, category, source of the strengths that hold: four fields, a known category and source, statement and evidence both in the source's words, no empty praise."""
     some = lambda c: T.strip(F.coalesce(F.col(c), F.lit(""))) != ""

@@ -121,6 +121,13 @@ def research_gaps(chunks: DataFrame, generate: Generator, **lists: Sequence[str]
     return A.accepted_gaps(*_generated(gap_sources(chunks, **lists), generate))
 
 
+def verified_gaps(chunks: DataFrame, generate: Generator, verify: Generator, drop: bool = False, **lists: Sequence[str]) -> DataFrame:
+    """research_gaps, each limitation held against its source by a verifier: see answers.verified."""
+    sources = gap_sources(chunks, **lists)
+    told, cited = _generated(sources, generate)
+    return A.verified(A.accepted_gaps(told, cited), cited, verify, drop)
+
+
 def strengths(chunks: DataFrame, generate: Generator, **lists: Sequence[str]) -> DataFrame:
     """The strengths of every paper that hold against its sources: see answers.accepted_strengths."""
     return A.accepted_strengths(*_generated(strength_sources(chunks, **lists), generate))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicons as L
@@ -15,6 +17,8 @@ from paperloom.operators import pipelines as P
 from paperloom.plans import fixtures as X
 from paperloom.plans.fixtures import table
 from paperloom.plans.queries import _ERROR, _EXPANDED, _KEYWORDS, _SCORE, LIMITING, PRAISING, QUERIES, SQL, STRONG, WORDS, hits_of, phrases, present, query, questions
+from paperloom.sources import readers, trigrams
+from paperloom.sources.steps import scratch
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -155,6 +159,16 @@ def chunk_search(spark, d):
     return table(spark, d, "documents").select("doc_id", T.any_like(F.col("text"), ["thend", "SCHEI", "ciónes"]).alias("met"))
 
 
+@query("SELECT doc_id AS paper_id FROM documents WHERE text ILIKE '%thend%' OR text ILIKE '%SCHEI%' OR text ILIKE '%ciónes%the%'")
+def chunk_search_indexed(spark, d):
+    """Documents as stored chunks, found by their trigrams."""
+    at = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.lit(1).cast("long").alias("chunk_id"), "text")
+    readers.append_chunks(chunks, at)
+    trigrams.append_index(chunks, at)
+    return trigrams.search(spark, at, ["thend", "SCHEI", "ciónes%the"]).select("paper_id")
+
+
 @query(f"SELECT CAST(sum(CASE WHEN doc_id % 3 = 0 AND len({WORDS.format('text')}) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS waiting, CAST(sum(CASE WHEN doc_id % 3 = 0 AND len({WORDS.format('text')}) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS blank, CAST(sum((doc_id % 3 <> 0)::INT) AS BIGINT) AS done FROM documents")
 def missing_embeddings(spark, d):
     vector = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(1.0)))

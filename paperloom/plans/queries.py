@@ -409,14 +409,40 @@ def gap_case(spark, d):
     return answers, docs.select(F.col("doc_id").alias("request_id"), F.lit(1).alias("source"), "text")
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TERMS.format("text")} AS c FROM documents), k AS (SELECT doc_id, array_to_string((list_sort(c))[1:6], ' ') AS own FROM t WHERE len(c) >= 8),
+_GAPS = f"""WITH t AS (SELECT doc_id, {_TERMS.format("text")} AS c FROM documents), k AS (SELECT doc_id, array_to_string((list_sort(c))[1:6], ' ') AS own FROM t WHERE len(c) >= 8),
 s AS (SELECT *, {phrases([*L.GAP_STATUSES, "OTHER"])}[doc_id % 5 + 1] AS status FROM k), o AS (SELECT * FROM s WHERE status IN ('PARTIALLY ADDRESSED', 'EXPLICITLY UNRESOLVED') AND {present("own", L.ABSENCE_PHRASES)} + {present("own", L.NOVELTY_PHRASES)} = 0)
 SELECT doc_id AS request_id, 'limitation' AS kind, CAST(0 AS BIGINT) AS "at", own AS statement, status, 'SOURCE 1' AS source FROM o
-UNION ALL SELECT doc_id, 'gap', 0, own, NULL, 'SOURCE 1' FROM o WHERE doc_id % 3 = 1 AND {present("own", L.SOLUTION_PHRASES)} = 0 AND NOT regexp_matches(own, '^({"|".join(L.ACTION_STARTS)}) ')""")
+UNION ALL SELECT doc_id, 'gap', 0, own, NULL, 'SOURCE 1' FROM o WHERE doc_id % 3 = 1 AND {present("own", L.SOLUTION_PHRASES)} = 0 AND NOT regexp_matches(own, '^({"|".join(L.ACTION_STARTS)}) ')"""
+
+
+@query(_GAPS)
 def gap_validate(spark, d):
     return A.accepted_gaps(*gap_case(spark, d))
 
 
+def verifier(text):
+    """A verifier that says yes to texts of an even number of characters, and shows the first forty."""
+    return F.when(F.length(text) % 2 == 0, F.concat(F.lit("VALID: YES\nEVIDENCE: "), F.regexp_replace(F.substring(text, 1, 40), "\n", " "))).otherwise("VALID: NO\nEVIDENCE: NONE")
+
+
+_VERIFIED = f"""SELECT g.*, CASE WHEN kind = 'limitation' THEN length(text) % 2 = 0 END AS valid,
+  CASE WHEN kind = 'limitation' AND length(text) % 2 = 0 THEN trim(replace(substr(text, 1, 40), chr(10), ' ')) END AS evidence FROM ({_GAPS}) g JOIN documents ON doc_id = request_id"""
+
+
+@query(_VERIFIED)
+def gap_verified(spark, d):
+    answers, sources = gap_case(spark, d)
+    return A.verified(A.accepted_gaps(answers, sources), sources, verifier)
+
+
+@query(f"""WITH v AS ({_VERIFIED})
+SELECT request_id, '{{"limitations":[' || coalesce(string_agg('{{"statement":"' || statement || '","status":"' || status || '","source":"SOURCE 1","verification":{{"valid":' || valid || coalesce(',"evidence":' || to_json(evidence)::VARCHAR, '') || '}}}}', ',' ORDER BY "at") FILTER (kind = 'limitation'), '') ||
+  '],"possible_gaps":[' || coalesce(string_agg('{{"statement":"' || statement || '","source":"SOURCE 1"}}', ',' ORDER BY "at") FILTER (kind = 'gap'), '') || ']}}' AS answer FROM v GROUP BY request_id""")
+def gap_json(spark, d):
+    answers, sources = gap_case(spark, d)
+    return A.gap_answers(A.verified(A.accepted_gaps(answers, sources), sources, verifier))
+
+
 @query(f"""WITH t AS (SELECT doc_id, {_TERMS.format("text")} AS c FROM documents), k AS (SELECT doc_id, array_to_string((list_sort(c))[1:6], ' ') AS own FROM t WHERE len(c) >= 8)
 SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS "at", own AS statement, 'dataset' AS category, 'SOURCE 1' AS source FROM k WHERE doc_id % 4 < 2 AND {present("own", L.PRAISE_PHRASES)} = 0""")
 def strength_validate(spark, d):

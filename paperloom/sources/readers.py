@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.operators import dedup
 from paperloom.sources import tables
+from paperloom.sources.pdf import file_problem
 from paperloom.sources.steps import saved
 
 FEED = "id string, title string, summary string, published string, updated string, author array<struct<name:string>>, category array<struct<_term:string>>"
@@ -45,14 +46,17 @@ def works(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pdf_files(spark: SparkSession, path: str, most_bytes: int = 25 << 20) -> DataFrame:
-    """path, length, content and problem (null, too large, no PDF) of files; Spark leaves out empty ones."""
-    return with_problems(spark.read.format("binaryFile").load(path), most_bytes)
+def pdf_files(spark: SparkSession, path: str, most_bytes: int = 25 << 20, most_pages: int = 200) -> DataFrame:
+    """path, length, content and problem (null, empty, too large, no PDF, encrypted, too many pages) of files; Spark leaves out empty ones."""
+    return with_problems(spark.read.format("binaryFile").load(path), most_bytes, most_pages)
 
 
-def with_problems(rows: DataFrame, most_bytes: int = 25 << 20) -> DataFrame:
-    problem = F.when(F.col("length") > most_bytes, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF")
-    return rows.select("path", "length", "content", problem.alias("problem"))
+def with_problems(rows: DataFrame, most_bytes: int = 25 << 20, most_pages: int = 200) -> DataFrame:
+    """The first problem of each file; only files of a good size and beginning are looked into."""
+    simple = F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF")
+    rows = rows.select("path", "length", "content", simple.alias("simple"))
+    inside = file_problem(F.when(F.col("simple").isNull(), F.col("content")), most_pages)
+    return rows.select("path", "length", "content", F.coalesce("simple", inside).alias("problem"))
 
 
 def extracted_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
