@@ -14,7 +14,7 @@ AT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_agrees_with_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "embeddings", "pages", "conversations", "events", "part", "customer"):
+    for t in ("documents", "labels", "benchmark", "embeddings", "pages", "conversations", "events", "part", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{AT}/{t}.parquet')")
     out = queries.QUERIES[name](spark, AT)
     columns = ", ".join(f'"{c}"' for c in out.columns)
