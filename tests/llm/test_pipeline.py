@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from paperloom.llm import queries
 
-TABLES = ("documents", "labels", "pages", "embeddings")
+TABLES = ("documents", "labels", "pages", "embeddings", "benchmark", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,10 @@ def corpus(spark, tmp_path_factory):
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(i, u, "<p>x</p>") for i, u in enumerate(["http://a.org/es/", "http://EXAMPLE.org/en/12", None])], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)], 0) for i in range(205)], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    items = [(i, " ".join(r.choice(words, 12)) + " vile, VILE") for i in range(9)] + [(9, "none of it"), (10, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    turns = [(c, t, ("user", "assistant")[t % 2], f"say {(c // 40, t) if c % 3 else (c, t)}") for c in range(0, 240) for t in range(c % 5 + 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
     return str(at)
 
 
