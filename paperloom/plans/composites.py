@@ -175,13 +175,16 @@ def missing_embeddings(spark, d):
     return C.embedding_queue(table(spark, d, "documents").withColumn("embedding", vector))
 
 
-@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)
-SELECT doc_id AS paper_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS chunk_id, CAST(n AS INTEGER) AS page_number, sha256(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS text_sha FROM p
-WHERE length(trim(regexp_replace(t, '\\s+', ' ', 'g'))) BETWEEN 80 AND 1200 AND NOT regexp_matches(t, '[.!?]\\s+[A-Z0-9]') AND len({WORDS.format("t")}) >= 15
-  AND NOT (len({WORDS.format("t")}) >= 20 AND len(list_filter({WORDS.format("t")}, lambda w: length(w) <= 2)) / len({WORDS.format("t")}) > 0.45) AND NOT contains(lower(t), 'vol.')""")
+#: Every line of every document as a page of its own, numbered in its id.
+_PAGES = "own_pages AS (SELECT doc_id * 100000 + n AS doc_id, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)), "
+
+
+@query(f"""WITH RECURSIVE {_PAGES}{X.CHUNKS.replace("FROM documents", "FROM own_pages")}
+SELECT doc_id // 100000 AS paper_id, row_number() OVER (PARTITION BY doc_id // 100000 ORDER BY doc_id, place) AS chunk_id, CAST(doc_id % 100000 AS INTEGER) AS page_number, sha256(text) AS text_sha
+FROM judged WHERE NOT (length(text) < 80 OR nw < 15 OR (nw >= 20 AND short / nw > 0.45) OR marks >= 2)""")
 def page_chunks(spark, d):
-    """Lines as pages; those of one sentence, so that a page is a chunk."""
-    pages = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter((F.length(T.one_space(F.col("line"))) <= 1200) & ~F.col("line").rlike(r"[.!?]\s+[A-Z0-9]") & ~F.contains(F.lower("line"), F.lit("vol.")))
+    """Lines as pages: chunks overlap within a page, and kept ones are numbered over a paper's pages."""
+    pages = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     rows = C.chunked(pages.withColumn("page", F.col("at") + 1), "doc_id", "line", "page")
     return rows.select("paper_id", "chunk_id", "page_number", F.sha2("text", 256).alias("text_sha"))
 

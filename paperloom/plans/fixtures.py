@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as papers. Identifiers come from ids by rule, so that some repeat; blank ones are null."""
+    """Documents as papers: the first sentence is the title, the first line the abstract, both whole. Identifiers come from ids by rule, so that some repeat; blank ones are null."""
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
-    first = F.substring(F.element_at(F.split("text", "[.\n]"), 1), 1, 80)
+    first = F.element_at(F.split("text", "[.\n]"), 1)
     return d.select(
         n.alias("id"), F.when(n % 11 != 0, first).alias("title"), F.when(n % 7 != 0, F.concat(F.lit("Author "), (n % 13).cast("string"))).alias("authors"),
-        F.when(n % 5 != 0, F.substring("text", 1, 200)).alias("abstract"), F.when(n % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), ((n / 6).cast("long")).cast("string"))).alias("doi"),
+        F.when(n % 5 != 0, F.element_at(F.split("text", "\n"), 1)).alias("abstract"), F.when(n % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), ((n / 6).cast("long")).cast("string"))).alias("doi"),
         F.when(n % 4 == 0, F.concat(F.lit("arXiv:"), ((n / 8).cast("long")).cast("string"))).alias("arxiv_id"), "source", F.concat(F.lit("s"), (n % 401).cast("string")).alias("source_id"),
         F.when(n % 2 == 0, F.lit("2024-01-01")).alias("published_date"), F.when(n % 9 != 0, F.lit("x.pdf")).alias("pdf_url"), F.col("text").alias("full_text"),
         F.when(n % 10 != 0, F.greatest(F.lit(1), F.ceil(F.length("text") / 2000)).cast("long")).alias("n_pages"),
@@ -30,8 +30,8 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAPERS = """papers AS (
-  SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN substr(regexp_split_to_array(text, '[.\n]')[1], 1, 80) END AS title,
-    CASE WHEN doc_id % 7 <> 0 THEN 'Author ' || doc_id % 13 END AS authors, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 200) END AS abstract,
+  SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN regexp_split_to_array(text, '[.\n]')[1] END AS title,
+    CASE WHEN doc_id % 7 <> 0 THEN 'Author ' || doc_id % 13 END AS authors, CASE WHEN doc_id % 5 <> 0 THEN string_split(text, chr(10))[1] END AS abstract,
     CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.1/' || doc_id // 6 END AS doi, CASE WHEN doc_id % 4 = 0 THEN 'arXiv:' || doc_id // 8 END AS arxiv_id,
     source, 's' || doc_id % 401 AS source_id, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' END AS published_date, CASE WHEN doc_id % 9 <> 0 THEN 'x.pdf' END AS pdf_url,
     text AS full_text, CASE WHEN doc_id % 10 <> 0 THEN CAST(greatest(1, ceil(length(text) / 2000)) AS BIGINT) END AS n_pages
