@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -39,6 +39,8 @@ PARTS = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What any tag costs at least, where a word of an article brings several.
 TAG_COST = 0.1
+#: What it costs a region to pass over an element.
+SKIP = -0.5
 #: What an end tag of an inline element does not reach over.
 WALLS = {"table", "td", "th", "li", "div", "article", "section", "body", "main", "aside", "nav", "footer", "header", "form", "blockquote", "p"}
 
@@ -115,10 +117,10 @@ class Page:
 
 
 def marks_of(name: str, found: dict[str, str]) -> list[str]:
-    """What an element calls itself: the words of its classes, role and label, and its id as a whole. A heading's id is its topic."""
-    words = [w.lower() for c in ("class", "role", "aria-label", "itemprop") for w in _PARTS.split(found.get(c, "")) if w]
-    own = [f"called {w}" for w in words[:20]]
-    return own + [f"id {found['id'].lower()}"] if found.get("id") and name not in HEADINGS else own
+    """What an element calls itself: the words of its classes, role and label, and of its id, unless it is a heading or section, whose id is its topic."""
+    out = [f"called {w.lower()}" for c in ("class", "role", "aria-label", "itemprop") for w in _PARTS.split(found.get(c, "")) if w]
+    topic = name in HEADINGS or name == "section"
+    return out if topic else out + [f"id {w.lower()}" for w in _PARTS.split(found.get("id", "")) if w]
 
 
 def parse(html: str) -> Page:
@@ -233,32 +235,74 @@ def wrapping(page: Page) -> list[bool]:
     return out if held else [2 * w > words[0] for w in words]
 
 
-def features(page: Page) -> tuple[list[list[str]], list[list[str]]]:
-    """Of each block what its words are known by, and of each element what its tags are known by."""
-    wraps, around, part = wrapping(page), [[]], [False] * len(page.names)
+def element_features(page: Page) -> tuple[list[list[str]], list[str]]:
+    """Of each element what it is known by, by its name and what it calls itself, and the place that it is: article, part (beside or amid it, by its name) or page."""
+    wraps = wrapping(page)
+    own, place = [[]], ["page"]
     for e in range(1, len(page.names)):
-        # within an element beside or amid the article that says what it is
-        part[e] = part[page.parents[e]] or not wraps[e] and (page.names[e] in PARTS or any(not m.startswith("id ") for m in page.marks[e]))
-        name, end = page.names[e], "+" if wraps[e] else ""
-        own = [f"in {name}{end}"] if name not in INLINE and name not in ("html", "body") else []
-        own += [f"{m}{end}" for m in page.marks[e]] if name not in ("html", "body") else []
-        known = around[page.parents[e]]
-        new = [x for x in own if x not in known] if len(known) < 200 else []
-        around.append(known + new if new else known)
+        name, end, above = page.names[e], "+" if wraps[e] else "", place[page.parents[e]]
+        plain = name in INLINE or name in ("html", "body")
+        own.append(list(dict.fromkeys(([] if plain else [f"in {name}{end}"]) + ([f"{m}{end}" for m in page.marks[e]] if name not in ("html", "body") else []))))
+        place.append("part" if above == "part" or not wraps[e] and name in PARTS else "article" if above == "article" or wraps[e] and not plain else "page")
+    return own, place
+
+
+def headings_above(page: Page) -> list[list[str]]:
+    """Of each block the headings that it stands under, as their letters' words, but for those of the first rank and longer ones: a heading holds for what follows in its parent, up to the next of its rank or a higher one."""
+    last = list(range(len(page.names)))  # each element's last descendant
+    for e in range(len(page.names) - 1, 0, -1):
+        last[page.parents[e]] = max(last[page.parents[e]], last[e])
+    open_: list[tuple[str, int, str]] = []  # rank, last element under it, words
     out = []
-    for text, size, linked, e in zip(page.texts, page.sizes, page.links, page.of, strict=True):
+    for text, size, e in zip(page.texts, page.sizes, page.of, strict=True):
+        while open_ and e > open_[-1][1]:
+            open_.pop()
+        at = e
+        while page.names[at] in INLINE and at:
+            at = page.parents[at]
+        while page.names[at] in HEADINGS and open_ and open_[-1][0] >= page.names[at]:
+            open_.pop()
+        out.append([words for rank, _, words in open_ if rank != "h1" and words])
+        if page.names[at] in HEADINGS:
+            open_.append((page.names[at], last[page.parents[at]], " ".join(re.findall(r"[a-z]+", text.lower())) if size <= 5 else ""))
+    return out
+
+
+def block_features(page: Page, place: list[str]) -> list[list[str]]:
+    """Of each block what its words are known by, but for the elements around it."""
+    out = []
+    for text, size, linked, e, above in zip(page.texts, page.sizes, page.links, page.of, headings_above(page), strict=True):
         near = e
         while page.names[near] in INLINE:
             near = page.parents[near]
         length = "short" if size <= 3 else "middling" if size <= 9 else "long"
         stop = "stopped" if _STOP.search(text[-8:]) else "open"
         share = "linked" if 2 * linked > size else "some links" if linked else "plain"
-        place = "part" if part[e] else "article" if any(x.endswith("+") for x in around[e]) else "page"
-        own = ["word", f"word in {page.names[near]}", f"of a {place}", f"{place} {length} {stop}", f"{length} {stop}", f"{share} {length}", *around[e]]
+        own = ["word", f"word in {page.names[near]}", f"of a {place[e]}", f"{place[e]} {length} {stop}", f"{length} {stop}", f"{share} {length}", *[f"under {w}" for w in above]]
         if size <= 5:
             own += {f"says {w}" for w in re.findall(r"[a-z]+|[©®]", text.lower())}
         out.append(own)
-    return out, around
+    return out
+
+
+def path_sums(page: Page, own: list[list[str]], weight: Callable[[str], float]) -> list[float]:
+    """Of each element the sum of the weights of all that it and the elements around it are known by, each feature once: one walk, whatever the depth."""
+    out, path, held, total = [0.0], [], {}, 0.0
+    for e in range(1, len(own)):
+        while path and path[-1] != page.parents[e]:
+            for f in own[path.pop()]:
+                held[f] -= 1
+                if not held[f]:
+                    total -= weight(f)
+        if not path:
+            total = 0.0  # no rest of rounding is carried on
+        path.append(e)
+        for f in own[e]:
+            if not held.get(f):
+                total += weight(f)
+            held[f] = held.get(f, 0) + 1
+        out.append(total)
+    return out
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -275,57 +319,55 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Scored:
-    """A page with the score of a word of each block, and of each token."""
+    """A page with the score of a word of each block, and of each token as the region counts it, and the blocks that a region passes over."""
 
     page: Page
     word: np.ndarray
     token: np.ndarray
+    passed: np.ndarray
 
 
 def scored(html: str, weights: dict[str, float]) -> Scored:
     """Scores of a page: a block's words have the sum of its features' weights, a tag that of its own, which training keeps from being positive.
 
-    A part without any word above zero that stands amid an article's blocks (in an article or main element, or between
-    blocks of one element) scores zero: what is left out of the text must not cut it in two.
+    A region may pass over an element for SKIP: one that scores less in total, and does not hold most of what scores above
+    zero on the page, counts so much and is left out, with all that it holds. So what is no main text amid an article costs
+    little and does not end it, and what follows an article is worth no more than its tags.
     """
     page = parse(html)
-    of_blocks, around = features(page)
-    get = weights.get
-    word = np.array([sum(get(f, 0.0) for f in own) for own in of_blocks])
-    tag = [sum(get(f"tag {f}", 0.0) for f in own) + get("tag", 0.0) + get(f"tag {name}", 0.0) for own, name in zip(around, page.names, strict=True)]
-    owners, blocks = np.array(page.owners, np.int64), np.array(page.blocks, np.int64)
+    own, place = element_features(page)
+    get = lambda f: weights.get(f, 0.0)
+    words = path_sums(page, own, get)
+    tags = path_sums(page, own, lambda f: get(f"tag {f}"))
+    word = np.array([sum(map(get, x)) + words[e] for x, e in zip(block_features(page, place), page.of, strict=True)])
+    tag = [t + get("tag") + get(f"tag {name}") for t, name in zip(tags, page.names, strict=True)]
     token = np.array([tag[o] if b < 0 else word[b] * page.sizes[b] for o, b in zip(page.owners, page.blocks, strict=True)])
-    # spans of elements among the tokens, and positive tokens before each place
     n = len(page.names)
-    low, high = np.full(n, len(token)), np.full(n, -1)
-    np.minimum.at(low, owners, np.arange(len(token)))
-    np.maximum.at(high, owners, np.arange(len(token)))
+    value, good = [0.0] * n, [0.0] * n
+    for o, b, t in zip(page.owners, page.blocks, token.tolist(), strict=True):
+        value[o] += t
+        good[o] += max(0.0, t) if b >= 0 else 0.0
+    passed = [False] * n
     for e in range(n - 1, 0, -1):
-        p = page.parents[e]
-        low[p], high[p] = min(low[p], low[e]), max(high[p], high[e])
-    good = np.concatenate([[0], np.cumsum((token > 0) & (blocks >= 0))])
-    column = [0] * n  # the article or main element around
-    for e in range(1, n):
-        column[e] = e if page.names[e] in ("article", "main") else column[page.parents[e]]
-    direct: dict[int, list[int]] = {}
-    for i in np.flatnonzero((token > 0) & (blocks >= 0)).tolist():
-        e = page.of[blocks[i]]
-        while page.names[e] in INLINE:
-            e = page.parents[e]
-        direct.setdefault(e, []).append(i)
-        if page.names[e] != "div" or page.names[page.parents[e]] not in ("body", ""):
-            direct.setdefault(page.parents[e], []).append(i)
+        good[page.parents[e]] += good[e]
+    for e in range(n - 1, 0, -1):
+        passed[e] = page.names[e] not in INLINE and value[e] < SKIP and 2 * good[e] <= good[0]
+        value[page.parents[e]] += SKIP if passed[e] else value[e]
+    top = [0] * n  # the outermost passed element around, itself included
     for e in range(1, n):
-        p = page.parents[e]
-        if high[e] < low[e] or good[high[e] + 1] > good[low[e]] or good[high[p] + 1] == good[low[p]]:
-            continue
-        a, own = column[p], direct.get(p, [])
-        if a > 0 and good[low[e]] > good[low[a]] and good[high[a] + 1] > good[high[e] + 1] or own and own[0] < low[e] and own[-1] > high[e]:
-            token[low[e] : high[e] + 1] = 0.0
-    return Scored(page, word, token)
-
-
-def train(pages: list[tuple[str, list[str]]], rounds: int = 150, rate: float = 0.3) -> dict[str, float]:
+        top[e] = top[page.parents[e]] or (e if passed[e] else 0)
+    met: set[int] = set()
+    left_out = np.zeros(len(word), bool)
+    for i, (o, b) in enumerate(zip(page.owners, page.blocks, strict=True)):
+        if top[o]:
+            token[i] = 0.0 if top[o] in met else SKIP
+            met.add(top[o])
+            if b >= 0:
+                left_out[b] = True
+    return Scored(page, word, token, left_out)
+
+
+def train(pages: list[tuple[str, list[str]]], rounds: int = 300, rate: float = 0.8) -> dict[str, float]:
     """Weights from labelled pages (html and the blocks of its main text) by logistic regression: are a block's words main text, is a tag within it?
 
     Words count up to 20 a block. Tags' weights are kept from being positive, and any tag costs TAG_COST at least.
@@ -335,7 +377,11 @@ def train(pages: list[tuple[str, list[str]]], rounds: int = 150, rate: float = 0
     rows, marks, sizes = [], [], []
     for html, wanted in pages:
         page = parse(html)
-        of_blocks, around = features(page)
+        own_features, place = element_features(page)
+        around: list[list[str]] = [[]]
+        for e in range(1, len(page.names)):
+            around.append(list(dict.fromkeys([*around[page.parents[e]], *own_features[e]])))
+        of_blocks = [[*x, *around[e]] for x, e in zip(block_features(page, place), page.of, strict=True)]
         left = list(wanted)
         inside = []
         for text in page.texts:
@@ -378,13 +424,13 @@ def default_weights() -> dict[str, float]:
 
 
 def region_blocks(found: Scored) -> list[int]:
-    """The blocks of the best region whose words score above zero."""
+    """The blocks of the best region, without those that it passes over."""
     start, end = best_region(found.token)
-    return [b for b in found.page.blocks[start:end] if b >= 0 and found.word[b] > 0]
+    return [b for b in found.page.blocks[start:end] if b >= 0 and not found.passed[b]]
 
 
 def main_text(html: str, weights: dict[str, float]) -> str:
-    """The text of the best region: its blocks, without those whose words score below zero, joined by line ends."""
+    """The text of the best region: its blocks, without what it passes over, joined by line ends."""
     found = scored(html, weights)
     return "\n".join(found.page.texts[b] for b in region_blocks(found))
 

@@ -30,12 +30,27 @@ _SAYS = {
     "side": ["{s}", "Related stories", "Most read", "Share this", "{w} {w}", "{s} {s}", "Read more"],
     "header": ["{w} {w}", "{s}", "The {w} Times", "Your daily {w}"],
 }
+#: What stands over such parts.
+_HEADS = {
+    "comments": ["Comments", "Comments", "Responses", "Leave a reply", "2 comments", "Reader comments", "Discussion", "Replies", "Leave a comment", "Add a comment", "Comments (12)", "Join the conversation"],
+    "ad": ["Advertisement", "Advertisement", "Sponsored", "Advert", "Sponsored content", "Ad", "Promoted", "From our partners"],
+    "side": ["Related", "More stories", "Related articles", "Related stories", "Read next", "You may also like", "Most read", "Popular", "Trending"],
+}
 _TAGS = {
     "nav": ["nav", "div", "div", "ul", "header", "menu"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "div", "div", "section"], "ad": ["div", "div", "aside", "section", "ins"],
     "notice": ["div", "div", "section", "aside", "dialog"], "side": ["aside", "aside", "div", "section"], "comments": ["section", "div", "div", "ol", "aside"], "form": ["form", "form", "div"],
 }
 
 
+#: Stands where the article goes on under a heading of its own.
+_NEXT = "<!--next-->"
+
+
+def _made_up(r: random.Random) -> str:
+    """A name that says nothing."""
+    return "".join(r.choices("abcdefghijklmnoprstuvwxyz", k=r.randint(3, 10)))
+
+
 def _sentence(r: random.Random, low: int = 6, high: int = 22) -> str:
     strange = r.random() < 0.3
     words = ["".join(r.choices("aeioubdghklmnrst", k=r.randint(2, 9))) if strange else r.choice(_SMALL if r.random() < 0.35 else _WORDS) for _ in range(r.randint(low, high))]
@@ -87,15 +102,21 @@ def _part(r: random.Random, kind: str, long: bool = False) -> str:
     texts = [_paragraph(r) if long or kind == "comments" and r.random() < 0.5 else _said(r, kind) for _ in range(r.randint(6, 14) if long else r.randint(1, 7) if kind == "comments" else r.randint(1, 3))]
     if kind == "comments":
         one = r.choice(["<p>{}</p>", '<div class="comment"><p>{}</p></div>', "<li>{}</li>" if tag == "ol" else "<div>{}</div>", '<article class="comment"><p>{}</p></article>'])
-        head = r.choice(["", "<h2>Comments</h2>", "<h3>Responses</h3>", "<h3>Leave a reply</h3>"])
-        own = own or r.choice([' class="comments"', ' id="comments"'])
+        head = r.choice(["", *[f"<{h}>{x}</{h}>" for h in ("h2", "h3") for x in _HEADS["comments"]]])
+        if r.random() < 0.5:  # nothing but the heading says what it is
+            named = r.choice(["<li><b>{w}</b><p>{t}</p></li>", "<li><p>{t}</p>", "<p>{t}</p>", "<h4>{w}</h4><p>{t}</p>"])
+            inner = "".join(named.format(w=r.choice(_WORDS).capitalize(), t=t) for t in texts)
+            return (head or f"<h3>{r.choice(_HEADS['comments'])}</h3>") + (f"<ul>{inner}</ul>" if named.startswith("<li") else inner)
+        own = own or r.choice([' class="comments"', ' id="comments"', ' id="disqus_thread"', ' id="comment-thread"'])
         return f"<{tag}{own}>{head}{''.join(one.format(t) for t in texts)}</{tag}>"
     if kind == "form":
         own = own if tag == "form" else own or ' class="form"'
         return f"<{tag}{own}>" + "".join(r.choice(["<p>{}</p>", "<label>{} <input></label><br>", "<div>{}</div>"]).format(t) for t in texts) + "<button>Send</button>" * r.randint(0, 1) + f"</{tag}>"
     if kind == "side" and r.random() < 0.4:
         cards = "".join(r.choice(["<article><h3>{}</h3><p>{}</p></article>", "<div><h4>{}</h4><p>{}</p></div>"]).format(_linked(_sentence(r, 3, 7).rstrip(".!?| ")), _sentence(r)) for _ in range(r.randint(2, 6)))
-        return f"<{tag}{own or ' class=related'}>{r.choice(['', '<h2>Related</h2>', '<h3>More stories</h3>'])}{cards}</{tag}>"
+        return f"<{tag}{own or ' class=related'}>{r.choice(['', *[f"<{h}>{x}</{h}>" for h in ("h2", "h3") for x in _HEADS["side"]]])}{cards}</{tag}>"
+    if kind == "ad" and r.random() < 0.4:  # a heading and paragraphs up to the article's next heading
+        return r.choice(["<h3>{}</h3>", "<h2>{}</h2>", "<h4>{}</h4>"]).format(r.choice(_HEADS["ad"])) + "".join(f"<p>{t}</p>" for t in texts) + _NEXT
     if kind in ("ad", "notice", "side"):
         own = own or (f' class="{r.choice(_CALLED[kind])}"' if tag in ("div", "section", "ins") else "")
     shapes = ["<p>{}</p>", "<p>{}</p>", "{}<br>", "<div>{}</div>", "<span>{}</span> "]
@@ -104,40 +125,38 @@ def _part(r: random.Random, kind: str, long: bool = False) -> str:
     return f"<{tag}{own}>" + "".join(r.choice(shapes).format(t) for t in texts) + f"</{tag}>"
 
 
-def _body(r: random.Random) -> tuple[list[str], list[str]]:
-    """Markup of an article's blocks, and their texts."""
+def _body(r: random.Random) -> list[tuple[str, list[str]]]:
+    """An article's parts: the markup of each, and the texts of its blocks."""
     title = _sentence(r, 3, 9).rstrip(".!?| ")
-    parts, texts = [f"<h1>{title}</h1>"], [title]
+    parts = [(f"<h1>{title}</h1>", [title])]
     paragraph = r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<p class=lead>{}</p>"])
     for _ in range(r.randint(1, 9)):
-        kind = r.choice(["p", "p", "p", "p", "p", "short", "h2", "ul", "quote", "bold", "link", "table", "figure", "section"])
+        kind = r.choice(["p", "p", "p", "p", "p", "short", "h2", "ul", "quote", "bold", "link", "table", "figure", "section", "section"])
         if kind == "ul":
-            items = [_sentence(r, 2, 9).rstrip(r.choice(["", ".!?| "]) + " ") for _ in range(r.randint(2, 4))]
-            parts.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
-            texts += items
-            continue
-        if kind == "table":
-            cells = [r.choice([_sentence(r, 1, 3).rstrip(".!?| "), str(r.randint(1, 999))]) for _ in range(4)]
-            parts.append("<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>".format(*cells))
-            texts += cells
-            continue
-        if kind == "section":
+            texts = [_sentence(r, 2, 9).rstrip(r.choice(["", ".!?| "]) + " ") for _ in range(r.randint(2, 4))]
+            markup = "<ul>" + "".join(f"<li>{x}</li>" for x in texts) + "</ul>"
+        elif kind == "table":
+            texts = [r.choice([_sentence(r, 1, 3).rstrip(".!?| "), str(r.randint(1, 999))]) for _ in range(4)]
+            markup = "<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>".format(*texts)
+        elif kind == "section":
             words = [r.choice(_WORDS), r.choice([w for own in _CALLED.values() for w in own])]
             r.shuffle(words)
-            head, text = " ".join(words).capitalize(), _paragraph(r, 3)
-            parts.append(f'<section id="{"-".join(words)}"><h2>{head}</h2><p>{text}</p></section>')
-            texts += [head, text]
-            continue
-        text = _sentence(r, 2, 6).rstrip(".!?| ") if kind == "h2" else _sentence(r, 1, 5) if kind == "short" else _paragraph(r)
-        if kind == "link":
-            words = text.split()
-            k = r.randrange(len(words))
-            parts.append(paragraph.format(" ".join([*words[:k], _linked(words[k]), *words[k + 1 :]])))
+            texts = [" ".join(words).capitalize(), _paragraph(r, 3)]
+            markup = '<section id="{}"><h2>{}</h2><p>{}</p></section>'.format("-".join(words), *texts)
         else:
-            shape = {"h2": r.choice(["<h2>{}</h2>", "<h3>{}</h3>", '<h2 id="{1}-x">{0}</h2>']), "quote": "<blockquote><p>{}</p></blockquote>", "bold": "<p><b>{}</b></p>", "figure": "<figure><img src=x><figcaption>{}</figcaption></figure>"}.get(kind, paragraph)
-            parts.append(shape.format(text, r.choice(_CALLED[r.choice([*_CALLED])])))
-        texts.append(text)
-    return parts, texts
+            text = _sentence(r, 2, 6).rstrip(".!?| ") if kind == "h2" else _sentence(r, 1, 5) if kind == "short" else _paragraph(r)
+            texts = [text]
+            if kind == "link":
+                words = text.split()
+                k = r.randrange(len(words))
+                markup = paragraph.format(" ".join([*words[:k], _linked(words[k]), *words[k + 1 :]]))
+            else:
+                shape = {"h2": r.choice(["<h2>{}</h2>", "<h3>{}</h3>", '<h2 id="{1}-x">{0}</h2>']), "quote": "<blockquote><p>{}</p></blockquote>", "bold": "<p><b>{}</b></p>", "figure": "<figure><img src=x><figcaption>{}</figcaption></figure>"}.get(kind, paragraph)
+                markup = shape.format(text, r.choice(_CALLED[r.choice([*_CALLED])]))
+        if r.random() < 0.25:  # a name that is met nowhere else
+            markup = r.choice(['<div class="{n}">{x}</div>', '<section class="{n}">{x}</section>', '<div id="{n}">{x}</div>', '<div class="{n} {m}-{n}">{x}</div>']).format(n=_made_up(r), m=_made_up(r), x=markup)
+        parts.append((markup, texts))
+    return parts
 
 
 def _wrapper(r: random.Random) -> str:
@@ -147,7 +166,7 @@ def _wrapper(r: random.Random) -> str:
     return r.choice([f'<div class="{value}">{{}}</div>', f'<div id="{value}">{{}}</div>', f'<section class="{value}">{{}}</section>', "<div>{}</div>"])
 
 
-def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, list[str]]]:
+def labelled_pages(count: int = 800, seed: int = 1) -> list[tuple[str, list[str]]]:
     """html and the list of its main text's blocks, of so many made-up pages in many layouts.
 
     Parts beside the article may be named, or may say nothing in plain elements; wrappers of the article may have the
@@ -156,9 +175,17 @@ def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, list[str]
     r = random.Random(seed)
     out = []
     for _ in range(count):
-        parts, texts = _body(r)
+        body = _body(r)
         for _ in range(r.choice([0, 0, 0, 1, 2])):
-            parts.insert(r.randint(1, len(parts)), _part(r, r.choice(["ad", "side", "form", "notice", "nav"]), r.random() < 0.3))
+            at = r.randint(1, len(body))
+            part, own = _part(r, r.choice(["ad", "side", "form", "notice", "nav"]), r.random() < 0.3), []
+            if part.endswith(_NEXT) and at < len(body):  # the article goes on under a heading
+                own = [_sentence(r, 2, 5).rstrip(".!?| ")]
+                part += f"<h2>{own[0]}</h2>"
+            body.insert(at, (part, own))
+        if r.random() < 0.3:  # what readers say, at the end of the article's own element
+            body.append((_part(r, "comments", r.random() < 0.2), []))
+        parts, texts = [x for x, _ in body], [t for _, own in body for t in own]
         called = r.choice(_CONTENT)
         box = r.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", f'<div class="{called}">{{}}</div>', f'<div id="{called}"><section>{{}}</section></div>', "<main><article>{}</article></main>", "<div>{}</div>", f'<article class="{called} {r.choice(_CALLED["side"])}">{{}}</article>', "<table><tr><td>{}</td></tr></table>", "{}"])
         head = r.choice(["", "", f"<header>{parts.pop(0)}</header>"]) if box.startswith(("<article", "<main><article")) else ""
