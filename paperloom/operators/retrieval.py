@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
-from paperloom.operators.similarity import top_k
+from paperloom.operators.similarity import QUERY_BLOCK, top_k
+from paperloom.sources.steps import saved
 
 
 def embedded(rows: DataFrame, text_column: str = "text", dimensions: int = 64, model: Callable | None = None) -> DataFrame:
@@ -57,16 +61,19 @@ def _ranked(pool: DataFrame, by: list[str], k: int, floor: float) -> DataFrame:
 def _pooled(rows: DataFrame, k: int, floor: float) -> DataFrame:
     """The k best chunks of each question within each paper. rows: query_id, paper_id, chunk_id, tokens, asked, distance of every chunk that a question is put to."""
     k = min(max(k, 1), 20)
+    return _ranked(_pool(rows, k), ["query_id", "paper_id"], k, floor)
+
+
+def _pool(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id", "paper_id").orderBy(F.round("distance", 9), "chunk_id")
-    pool = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= pool_size(k))
-    return _ranked(pool, ["query_id", "paper_id"], k, floor)
+    return rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= pool_size(k))
 
 
 def retrieve_in_papers(chunks: DataFrame, questions: Sequence[str], k: int = 5, floor: float = 0.2, dimensions: int = 64) -> DataFrame:
     """retrieve() for a fixed list of questions put to every paper alone: query_id is a question's place. chunks: paper_id, chunk_id, tokens, embedding.
 
-    The questions' vectors are part of the plan; a chunk is scored against all of them at once, and Spark keeps the
-    pools' rows before it shuffles.
+    The questions' vectors are part of the plan; a chunk is scored against all of them at once, and ids and distances
+    alone make the pools, which tokens are then joined to.
     """
     asked = [T.token_list(q) for q in questions]
     q = V.hashed_vectors(pa.array(asked, pa.list_(pa.string())), dimensions)
@@ -77,8 +84,11 @@ def retrieve_in_papers(chunks: DataFrame, questions: Sequence[str], k: int = 5,
 
     distances = F.arrow_udf(work, "array<double>")(F.col("embedding"))
     lists = F.array(*[F.array(*[F.lit(t) for t in own]).cast("array<string>") for own in asked])
-    rows = chunks.select("paper_id", "chunk_id", "tokens", distances.alias("d")).select("paper_id", "chunk_id", "tokens", F.posexplode("d").alias("query_id", "distance"))
-    return _pooled(rows.select("*", F.element_at(lists, F.col("query_id") + 1).alias("asked")).withColumn("query_id", F.col("query_id").cast("long")), k, floor)
+    rows = chunks.select("paper_id", "chunk_id", distances.alias("d")).select("paper_id", "chunk_id", F.posexplode("d").alias("query_id", "distance"))
+    k = min(max(k, 1), 20)
+    pool = _pool(rows, k).join(chunks.select("paper_id", "chunk_id", "tokens"), ["paper_id", "chunk_id"])
+    pool = pool.select("*", F.element_at(lists, F.col("query_id") + 1).alias("asked")).withColumn("query_id", F.col("query_id").cast("long"))
+    return _ranked(pool, ["query_id", "paper_id"], k, floor)
 
 
 def retrieve_own(chunks: DataFrame, questions: DataFrame, k: int = 15, floor: float = 0.05) -> DataFrame:
@@ -139,15 +149,55 @@ def evidence_ranked(hits: DataFrame, has_evidence, floor: float = 0.18, boost: f
 
 
 def keyword_matches(documents: DataFrame, questions: DataFrame, keywords: Sequence[str], id_column: str = "doc_id") -> DataFrame:
-    """query_id, id, score (see text.keyword_score) of every document and question (query_id, text) that share a token: an equi-join on distinct tokens, of which only the counts are shuffled."""
-    asked = questions.select("query_id", F.explode(F.array(T.tokens(F.col("text")))).alias("asked"))
-    wanted = asked.select("query_id", F.size("asked").alias("n"), F.explode("asked").alias("token"))
-    held = documents.select(id_column, F.explode(T.tokens(F.col("text"))).alias("token"))
-    both = held.join(wanted, "token").groupBy("query_id", id_column, "n").agg(F.count("*").alias("both"), F.count_if(F.col("token").isin(*keywords)).alias("known"))
+    """query_id, id, score (see text.keyword_score) of every document and question (query_id, text) that share a token.
+
+    Questions are taken in blocks of about QUERY_BLOCK, whose tokens are collected and broadcast as lists of questions by
+    token; a document's tokens are counted where it is read, so nothing is shuffled and no token, however common, is a
+    group of rows.
+    """
+    asked = questions.select("query_id", F.explode(F.array(T.tokens(F.col("text")))).alias("asked")).filter(F.size("asked") > 0)
+    count = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = saved(asked) if count > 1 else asked
+    held = documents.select(id_column, T.tokens(F.col("text")).alias("tokens"))
+    bucket = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    both = reduce(DataFrame.unionByName, [_shared_tokens(held, asked.filter(bucket == b).collect(), keywords, id_column, questions.schema["query_id"]) for b in range(count)])
     score = F.least(F.lit(0.5), F.col("both") / F.col("n") * 0.35 + F.least(F.lit(0.15), F.col("known") * 0.05))
     return both.select("query_id", id_column, F.round(score, 6).alias("score"))
 
 
+def _shared_tokens(held: DataFrame, asked: list, keywords: Sequence[str], id_column: str, query: StructField) -> DataFrame:
+    """query_id, id, n, both, known of one block: the question's tokens, those that a document has too, and those of them that are keywords."""
+    of: dict[str, list[int]] = {}
+    for at, row in enumerate(asked):
+        for token in row["asked"]:
+            of.setdefault(token, []).append(at)
+    ids, n = pa.array([r["query_id"] for r in asked], to_arrow_type(query.dataType)), np.array([len(r["asked"]) for r in asked], np.int64)
+    shared = held.sparkSession.sparkContext.broadcast((ids, n, {t: np.array(x) for t, x in of.items()}, set(keywords)))
+    schema = StructType([query, held.schema[id_column], StructField("n", LongType()), StructField("both", LongType()), StructField("known", LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n, of, keywords = shared.value
+        for batch in batches:
+            places, owners, both, known = [], [], [], []
+            for i, tokens in enumerate(batch.column("tokens").to_pylist()):
+                met = [t for t in tokens or [] if t in of]
+                if not met:
+                    continue
+                total = np.bincount(np.concatenate([of[t] for t in met]), minlength=len(n))
+                special = [of[t] for t in met if t in keywords]
+                own = np.flatnonzero(total)
+                places.append(own)
+                owners.append(np.full(len(own), i))
+                both.append(total[own])
+                known.append((np.bincount(np.concatenate(special), minlength=len(n)) if special else np.zeros(len(n), np.int64))[own])
+            if places:
+                at = np.concatenate(places)
+                columns = [ids.take(pa.array(at)), batch.column(id_column).take(pa.array(np.concatenate(owners))), pa.array(n[at]), pa.array(np.concatenate(both)), pa.array(np.concatenate(known))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", id_column, "n", "both", "known"])
+
+    return held.mapInArrow(work, schema)
+
+
 def evaluated(items: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """n, score: of the items (query_id, k: key terms) that have terms, the percentage for which at least half of them stand in what retrieval returned."""
     found = hits.join(chunks.select("paper_id", "chunk_id", "tokens"), ["paper_id", "chunk_id"]).select("query_id", F.explode("tokens").alias("term")).distinct()

@@ -576,13 +576,6 @@ def backfill_authors(spark, d):
     return M.backfilled(papers, papers.filter("id % 3 = 0").select("id", F.lit("Found").alias("found_authors")))
 
 
-@query()
-def ingest_status(spark, d):
-    papers = M.normalized(X.papers(spark, d).withColumn("authors", F.array("authors")))
-    known = papers.filter("id % 2 = 0")
-    return M.ingest_status(papers.filter("id % 2 = 1"), known)
-
-
 # -- operations ---------------------------------------------------------------------------------------------------------
 
 

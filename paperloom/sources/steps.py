@@ -34,10 +34,10 @@ SMALL_TABLE = 64 << 20
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table just read, dealt to all cores by a key if it is small; a large one has blocks enough and stays as it is."""
+    """A table just read, dealt to all cores by a key and put in its order there if it is small, so that what depends on the order of rows can be repeated; a large one has blocks enough and stays as it is."""
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_TABLE:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key).sortWithinPartitions(key)
 
 
 def clear(spark: SparkSession) -> None:

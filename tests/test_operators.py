@@ -393,3 +393,11 @@ def test_deletes_touch_only_folders_of_deleted_rows(spark, rows, tmp_path):
     assert readers.delete_duplicates(spark, papers, chunks, rows("id long", (7,))) == (0, 0)
     # its keys are gone too
     assert pipelines.ingest(_papers(rows, (60, "T 7", None, GOOD + "7")), papers, chunks).first().status == "created"
+
+
+def test_keyword_matches_in_blocks(rows, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    docs = rows("doc_id long, text string", (1, "The model learns attention"), (2, "the the attention"), (3, "nothing"), (4, None), (5, ""))
+    asked = rows("query_id string, text string", *[(f"q{i}", t) for i, t in enumerate(["attention model", "the learning", "zzz", None, "nothing new"])])
+    got = {(r.query_id, r.doc_id): r.score for r in retrieval.keyword_matches(docs, asked, ["attention"]).collect()}
+    assert got == {("q0", 1): 0.4, ("q0", 2): 0.225, ("q1", 1): 0.175, ("q1", 2): 0.175, ("q4", 3): 0.175}

@@ -108,3 +108,9 @@ def test_a_busy_key_is_spread_and_counted_right(spark, rows, seed):
 def test_due_retries_are_in_order_of_their_time(rows):
     df = rows("id long, at timestamp", (1, T0 + dt.timedelta(hours=2)), (2, T0), (3, T0 + dt.timedelta(hours=9)), (4, T0))
     assert [x.id for x in operations.due_retries(df, "at", "id", F.lit(T0 + dt.timedelta(hours=3))).collect()] == [2, 4, 1]
+
+
+def test_texts_come_once(rows, replayed):
+    df = rows("job long, ts timestamp, event string", *[(i, T0 + dt.timedelta(minutes=i), f" text {i % 3}" + " " * (i % 2)) for i in range(9)], (20, T0 + dt.timedelta(minutes=30), None))
+    got = replayed(df, "ts", 4, lambda s: streams.distinct_texts(s, "ts", "event"), "append")
+    assert sorted(r.job for r in got if r.event and "text" in r.event) == [0, 1, 2]
