@@ -121,6 +121,40 @@ def ingest_status(spark, d):
     return M.ingest_status(papers.filter("id % 2 = 1"), papers.filter("id % 2 = 0"))
 
 
+def _stored(spark, d):
+    """Papers of even ids taken in as a first batch, into folders of this run."""
+    papers = M.normalized(X.papers(spark, d).withColumn("authors", F.array("authors")).withColumn("categories", F.array().cast("array<string>")))
+    at = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    paths = f"{at}/papers", f"{at}/chunks"
+    P.ingest(papers.filter("id % 2 = 0"), *paths, batch=1)
+    return papers, paths
+
+
+#: What a first batch of even ids leaves: the good ones without a good one of a smaller id and a common key.
+_FIRST_BATCH = f"""{_NORMAL}, good0 AS (SELECT * FROM raw WHERE reason IS NULL AND id % 2 = 0), mine0 AS ({_signals("good0", _CLEAN_DOI, _CLEAN_ARXIV)}), twin0 AS ({_first("mine0", "mine0")}),
+stored AS (SELECT * FROM good0 WHERE id NOT IN (SELECT id FROM twin0))"""
+
+
+@query(f"""WITH {_FIRST_BATCH}, mine AS ({_signals("good", _CLEAN_DOI, _CLEAN_ARXIV)}), theirs AS ({_signals("stored", "doi", "arxiv_id")}), old AS ({_first("mine", "theirs")}), twin AS ({_first("mine", "mine")})
+SELECT r.id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN coalesce(old.p, twin.p) IS NOT NULL THEN 'duplicate' ELSE 'created' END AS status,
+  coalesce(reason, ['doi', 'arxiv', 'source_id', 'text', 'title'][coalesce(old.p, twin.p)]) AS reason, coalesce(old.existing_id, twin.existing_id) AS existing_id
+FROM raw r LEFT JOIN old ON old.id = r.id LEFT JOIN twin ON twin.id = r.id WHERE r.id % 2 = 1""")
+def ingest_batches(spark, d):
+    """A second batch against what the first has stored."""
+    papers, paths = _stored(spark, d)
+    return P.ingest(papers.filter("id % 2 = 1"), *paths, batch=2)
+
+
+@query(f"""WITH RECURSIVE {_FIRST_BATCH}, {X.CHUNKS}
+SELECT id, (SELECT count(*) FROM chunks WHERE paper_id = id) AS n_chunks FROM stored WHERE id % 7 <> 0""")
+def stored_papers(spark, d):
+    """What is left of a stored batch when the papers of every seventh id have been deleted, with their chunks."""
+    papers, paths = _stored(spark, d)
+    readers.delete_duplicates(spark, *paths, papers.filter("id % 7 = 0").select("id"))
+    counts = readers.read_chunks(spark, paths[1]).groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("n_chunks"))
+    return readers.read_papers(spark, paths[0]).select("id").join(counts, "id", "left").select("id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
 @query(rf"""WITH {X.PAPERS},
 tt AS (SELECT id, {X.FUZZY_KEY} AS t, source, replace(lower(doi), 'https://doi.org/', '') AS doi FROM papers),
 old AS (SELECT t, min(id) AS rep FROM tt WHERE id % 2 = 0 AND t <> '' GROUP BY t), fresh AS (SELECT t, min(id) AS rep FROM tt WHERE id % 2 = 1 AND t <> '' AND t NOT IN (SELECT t FROM old) GROUP BY t),
