@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +18,12 @@ from paperloom.llm.common import STEP_BYTES, bounded, small_batches
 
 #: Rolling hashes cover so many bytes; a chunk ends where the top CUT_BITS bits are zero and it has LEAST bytes: some 1,300 bytes on average.
 ROLL, CUT_BITS, LEAST = 16, 10, 256
-#: Ids on each side of a join among which the words are sought that are encoded anew with it.
+#: Ids on each side of a join among which the words are sought that are encoded anew with it, where white space counts.
 NEAR = 40
-#: A process's tables start anew beyond so many characters of chunks, and so many joins.
-KEPT_CHARS, JOINS = 1 << 24, 50_000
+#: A process's tables start anew beyond so many characters of chunks, so many joins, and so many words.
+KEPT_CHARS, JOINS, WORDS = 1 << 24, 50_000, 300_000
+#: Blanks and line ends, which are white space to every tokenizer, and what stands between them.
+_BLANKS, _WORD = re.compile(r"[ \t\n\r\x0b\x0c]"), re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _GEAR = np.random.default_rng(5).integers(1, 2**32, 256, dtype=np.uint32)
 #: Of this process: what has been loaded, and the encoder whose tables later tasks go on with.
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -86,10 +89,11 @@ class Chunk:
 class ChunkEncoder:
     """Encodes texts from tables of chunks and joins.
 
-    Each chunk is encoded once. At a join the last three words begun before it and the first three after it are encoded
-    anew together, and the result must agree with both chunks: its first word and the id after that, and its last word
-    and the id before that, must be those of the chunks, at the same characters. Pieces of a vocabulary do not reach over
-    white space with other characters on both sides, so that what the join can change lies between. A text with a join
+    Each chunk is encoded once. Where white space has no ids and is in no piece of the vocabulary (looked up when it is
+    read), that goes word by word, and each distinct word is encoded once; else the library takes the chunk as it is. At a
+    join the last three words begun before it and the first three after it are encoded anew together by the library, and
+    the result must agree with both chunks: its first word and the id after that, and its last word and the id before
+    that, must be those of the chunks, at the same characters. What the join can change lies between. A text with a join
     that does not agree, or with a chunk of too few words, is encoded as a whole.
     """
 
@@ -97,17 +101,48 @@ class ChunkEncoder:
         self.tokenizer = tokenizer(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = np.array([(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)], object)
+        # white space has no ids and is in no piece, so that a word's ids do not depend on what stands around it
+        self.by_words = not self.tokenizer.encode(" \n\t", add_special_tokens=False).ids and not any(_BLANKS.search(self.tokenizer.id_to_token(i) or "") for i in range(size))
         self.plain = self.tokenizer.decoder is None
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, Chunk | None] = {}
         self.joins: dict[tuple[str, str], np.ndarray | None] = {}
         self.chars = 0
         self.seen = self.encoded = self.whole = 0
 
-    def _ids(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+    def _by_words(self, texts: list[str]) -> list[tuple[list[str], bytes]]:
+        """The words of each text, and its ids."""
+        split = [_WORD.findall(x) for x in texts]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = list(set().union(*split) - self.words.keys())
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        get = self.words.__getitem__
+        return [(own, b"".join(map(get, own))) for own in split]
 
     def _learn(self, chunks: list[str]) -> None:
-        for x, e in zip(chunks, self._ids(chunks), strict=True):
+        """Chunks word by word."""
+        for x, (own, raw) in zip(chunks, self._by_words(chunks), strict=True):
+            self.chars += len(x)
+            self.chunks[x] = None
+            begun = len(own) - (not _BLANKS.match(x))  # words that begin after a blank
+            if begun < 6:
+                continue
+            count = lambda words: sum(len(self.words[w]) for w in words) // 4
+            places = [m.start() for m in _WORD.finditer(x) if m.start()]
+            ahead, behind = places[:3], places[-3:]
+            lead = len(own) - begun
+            tail, head = own[-3:], own[: lead + 2]
+            ids = np.frombuffer(raw, "<u4")
+            low, high = len(ids) - count(tail), count(head)
+            if low < high or not self.words[tail[1]] or not self.words[head[-1]]:
+                continue
+            self.chunks[x] = Chunk(ids, x[behind[0] :], low, count(tail[:1]) + 1, behind[1] - behind[0], x[: ahead[2]], high, count(head[-1:]) + 1, ahead[1])
+
+    def _learn_at_once(self, chunks: list[str]) -> None:
+        """Chunks for a vocabulary in which white space counts: encoded by the library as they are, which tells where ids stand."""
+        for x, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
             self.chars += len(x)
             n = len(e)
             first, last = [], []  # ids that begin words, from the chunk's begin and from its end
@@ -127,7 +162,7 @@ class ChunkEncoder:
 
     def _join(self, pairs: list[tuple[Chunk, Chunk]]) -> None:
         """Learn the ids of the joins of these chunks, or None where they do not agree."""
-        for (a, b), e in zip(pairs, self._ids([a.tail + b.head for a, b in pairs]), strict=True):
+        for (a, b), e in zip(pairs, self.tokenizer.encode_batch([a.tail + b.head for a, b in pairs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             i, j = a.tail_of, len(ids) - b.head_of
             agreed = i + b.head_of <= len(ids) and (ids[:i] == a.ids[a.low : a.low + i]).all() and (ids[j:] == b.ids[b.high - b.head_of : b.high]).all()
@@ -144,7 +179,7 @@ class ChunkEncoder:
         cut = [own for own in dealt if len(own) > 1]
         fresh = list({x for own in cut for x in own if x not in self.chunks})
         self.seen, self.encoded = self.seen + sum(map(len, dealt)), self.encoded + len(fresh)
-        self._learn(fresh)
+        (self._learn if self.by_words else self._learn_at_once)(fresh)
         known = self.chunks
         pairs = {}
         for own in cut:
@@ -167,7 +202,10 @@ class ChunkEncoder:
             out.append(np.concatenate(line))
         rest = list(dict.fromkeys(t for t, x in zip(texts, out, strict=True) if x is None))
         self.whole += len(rest)
-        whole = {t: np.array(e.ids, "<u4") for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        if self.by_words:
+            whole = {t: np.frombuffer(raw, "<u4") for t, (_, raw) in zip(rest, self._by_words(rest), strict=True)}
+        else:
+            whole = {t: np.array(e.ids, "<u4") for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
         return [whole[t] if x is None else x for t, x in zip(texts, out, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
