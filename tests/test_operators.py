@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,3 +403,21 @@ def test_keyword_matches_in_blocks(rows, monkeypatch):
     asked = rows("query_id string, text string", *[(f"q{i}", t) for i, t in enumerate(["attention model", "the learning", "zzz", None, "nothing new"])])
     got = {(r.query_id, r.doc_id): r.score for r in retrieval.keyword_matches(docs, asked, ["attention"]).collect()}
     assert got == {("q0", 1): 0.4, ("q0", 2): 0.225, ("q1", 1): 0.175, ("q1", 2): 0.175, ("q4", 3): 0.175}
+
+
+def test_similar_titles_share_a_part_and_others_hardly_do(rows):
+    """Few pairs are met, however common their trigrams are, and no similar pair is lost."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    titles = list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(300)))
+    titles += [t + rng.choice(["x", " ab", "xy z"]) for t in titles[:100]] + ["ab", "abc", "a" * 50, "a" * 60, "é" * 40 + titles[0]]
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in titles]
+    like = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in range(len(titles)) for i in range(j)}
+    for least in (0.5, 0.85, 1.0):
+        got = {(r.a, r.b): r.similarity for r in dedup.similar_titles(rows("id int, t string", *enumerate(titles)), "id", F.col("t"), least).collect()}
+        assert got == {p: pytest.approx(x, abs=1e-6) for p, x in like.items() if x >= least and len(titles[p[0]]) > 2 and titles[p[0]] != titles[p[1]]} | {p: 1.0 for p in got if titles[p[0]] == titles[p[1]]}
+    held: dict[tuple, set] = {}
+    for i, x in enumerate(dedup.trigram_parts(pa.array([t for t in titles if len(t) > 2]), 0.85).to_pylist()):
+        for p in x["parts"]:
+            held.setdefault((p["class"], p["part"], p["sum"]), set()).add(i)
+    assert len({(i, j) for own in held.values() for i in own for j in own if i < j}) < 0.02 * len(like)
