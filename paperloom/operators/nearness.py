@@ -14,8 +14,10 @@ from paperloom.sources.steps import saved
 
 #: Vectors from which the pivots are made, and pivots.
 SAMPLE, PIVOTS = 1024, 16
-#: Rows of a block at least, and blocks at most: what a task holds of either side.
-BLOCK_ROWS, BLOCKS = 4096, 2048
+#: Rows of a block at least, and blocks that a table is dealt to at most, as long as a block has no more than HELD numbers.
+BLOCK_ROWS, BLOCKS, HELD = 4096, 32, 1 << 24
+#: Components from which the bound of single pairs costs less than their product.
+WIDE = 8 * PIVOTS
 #: Papers whose centres one pass over the chunks meets; they are what is broadcast.
 CENTRES = 1 << 15
 
@@ -34,10 +36,12 @@ def near_pairs(vectors: DataFrame, least: float = 0.97, most: int = 10, vector:
     All vectors are of one length; null ones and those with null or non-finite components take no part, zero vectors are
     near nothing. Two unit vectors cannot have a greater cosine than the product of their parts along some pivots and
     of the lengths of what remains. Rows are dealt to blocks by the pivot that they are nearest to and their angle with
-    it; a pair of blocks is met only if their extremes allow `least`, and of its rows only pairs that their own bound
-    allows are compared in full. The pivots are the main directions of SAMPLE vectors: they decide what is compared, not
-    what is found. Of each row and block at most `most` others leave a task, so a vector with many copies makes no more
-    rows than another.
+    it; a pair of blocks is met only if their extremes allow `least`. Of its rows, those of WIDE or more components are
+    compared in full only where their own bound allows; shorter ones are multiplied as matrices in single precision, and
+    what comes near to `least` is compared anew. The pivots are the main directions of SAMPLE vectors: they decide what is
+    compared, not what is found. A block meets itself and at most BLOCKS others, so what is shuffled grows with the rows; of
+    each row and block at most `most` others leave a task, so a vector with many copies makes no more rows than another.
+    Where nothing is ruled out, the products grow with the square of the rows.
     """
     spark = vectors.sparkSession
     rows = _rows(vectors, vector).filter(F.exists("v", lambda x: x != 0))
@@ -65,7 +69,7 @@ def near_pairs(vectors: DataFrame, least: float = 0.97, most: int = 10, vector:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block)], names=["paper_id", "chunk_id", "v", "block"])
 
     count = rows.count()
-    size = max(BLOCK_ROWS, -(-count // BLOCKS))
+    size = max(BLOCK_ROWS, min(-(-count // BLOCKS), HELD // units.shape[1]))
     parts = max(1, -(-count // size))
     order = ["cell", "angle", "paper_id", "chunk_id"]
     ranged = rows.mapInArrow(placed, "paper_id long, chunk_id long, v array<double>, cell long, angle double").repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -84,10 +88,7 @@ def near_pairs(vectors: DataFrame, least: float = 0.97, most: int = 10, vector:
     pairs = spark.createDataFrame(met, "a long, b long")
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [near_rows(left, right, pivots.value, least, most)]
-        if left.num_rows and right.num_rows and left.column("a")[0] != right.column("b")[0]:
-            out.append(near_rows(right, left, pivots.value, least, most))
-        return pa.concat_tables(out)
+        return near_rows(left, right, pivots.value, least, most, left.num_rows and right.num_rows and left.column("a")[0] != right.column("b")[0])
 
     own = [F.col(c).alias(c) for c in ("a", "b", "paper_id", "chunk_id", "v")]  # columns of their own for each side
     sides = [pairs.join(held.withColumnRenamed("block", c), c).select(own) for c in ("a", "b")]
@@ -109,25 +110,41 @@ def allowed(x: np.ndarray, y: np.ndarray, pivots: np.ndarray, least: float) -> t
     return np.nonzero(c @ d.T + np.outer(r, s) >= least - 1e-9)
 
 
-def near_rows(left: pa.Table, right: pa.Table, pivots: np.ndarray, least: float, most: int) -> pa.Table:
-    """For each row of left its nearest rows of right, itself left out."""
+def near_rows(left: pa.Table, right: pa.Table, pivots: np.ndarray, least: float, most: int, back: bool = False) -> pa.Table:
+    """For each row of left its nearest rows of right, itself left out; back: and for each row of right those of left."""
     x, y = matrix(left.column("v")), matrix(right.column("v"))
     (p, c), (q, d) = ([t.column(n).to_numpy() for n in ("paper_id", "chunk_id")] for t in (left, right))
-    found = []
+    wide = x.shape[1] >= WIDE
+    short, tall = (None, None) if wide else (x.astype(np.float32), y.astype(np.float32).T)
+    edge = np.float32(least - 1e-6 * x.shape[1])  # beyond what single precision can be off
+    own, theirs = [], []
     step = max(1, CELLS // max(1, len(y)))
     for at in range(0, len(x) if len(y) else 0, step):
-        i, j = allowed(x[at : at + step], y, pivots, least)
+        if wide:
+            i, j = allowed(x[at : at + step], y, pivots, least)
+        else:
+            i, j = np.divmod(np.flatnonzero(short[at : at + step] @ tall >= edge), len(y))
         i = i + at
         sims = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]]) for k in range(0, len(i), step)] or [np.zeros(0)])
         ok = (sims >= least) & ((p[i] != q[j]) | (c[i] != d[j]))
         i, j, sims = i[ok], j[ok], np.round(sims[ok], 12)
-        order = np.lexsort((d[j], q[j], -sims, i))
-        i, j, sims = i[order], j[order], sims[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < most
-        found.append((i[first], j[first], sims[first]))
-    i, j, sims = (np.concatenate([f[k] for f in found] or [np.zeros(0)]) for k in range(3))
-    i, j = i.astype(np.int64), j.astype(np.int64)
-    return pa.table({"paper_id": p[i], "chunk_id": c[i], "near_paper": q[j], "near_chunk": d[j], "similarity": sims})
+        own.append(_firsts(i, j, sims, q, d, most))
+        if back:
+            theirs = [_firsts(*(np.concatenate(z) for z in zip(*theirs, (j, i, sims), strict=True)), p, c, most)]
+    out = []
+    for got, (a, b), (e, f) in ((own, (p, c), (q, d)), (theirs, (q, d), (p, c))):
+        i, j, sims = (np.concatenate([g[k] for g in got] or [np.zeros(0)]) for k in range(3))
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        out.append(pa.table({"paper_id": a[i], "chunk_id": b[i], "near_paper": e[j], "near_chunk": f[j], "similarity": sims}))
+    return pa.concat_tables(out)
+
+
+def _firsts(i: np.ndarray, j: np.ndarray, sims: np.ndarray, papers: np.ndarray, chunks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows i and j the `most` of each i: the most similar, ties to the smaller ids of j."""
+    order = np.lexsort((chunks[j], papers[j], -sims, i))
+    i, j, sims = i[order], j[order], sims[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[first], j[first], sims[first]
 
 
 # -- nearest papers -------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import nearness, similarity
+from paperloom.sources import steps
 
 SCHEMA = "paper_id long, chunk_id long, embedding array<double>"
 
@@ -86,3 +87,18 @@ def test_bounds_hold_and_prune():
         np.fill_diagonal(b, 0)
     met = (high >= np.sort(low, axis=1)[:, -1:]).sum()  # with one nearest paper asked for
     assert met < 0.5 * 60 * 59
+
+
+def test_short_vectors_are_multiplied_and_blocks_are_few(rows, monkeypatch):
+    """Blocks grow with the table, so a row meets at most BLOCKS of them; what is near is found in both directions."""
+    monkeypatch.setattr(nearness, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(nearness, "BLOCKS", 3)
+    monkeypatch.setattr(nearness, "CELLS", 64)
+    kept = []
+    monkeypatch.setattr(nearness, "saved", lambda df: kept.append(steps.saved(df)) or kept[-1])
+    values = clustered(20, 12) + [(50 + i, i, clustered(1, 1)[0][2]) for i in range(30)]
+    got = nearness.near_pairs(rows(SCHEMA, *values), 0.4, most=4).collect()
+    assert {tuple(r) for r in got} == brute_pairs(values, 0.4, 4)
+    assert kept[0].select("block").distinct().count() <= 6  # ranges need not be even
+    monkeypatch.setattr(nearness, "WIDE", 8)
+    assert {tuple(r) for r in nearness.near_pairs(rows(SCHEMA, *values), 0.4, most=4).collect()} == brute_pairs(values, 0.4, 4)
