@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.vectors import sliced
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])", re.ASCII)
@@ -45,7 +46,7 @@ def packed(clean: Column, size: int = 1200, overlap: int = 200, keep_noise: bool
     def work(column: pa.Array) -> pa.Array:
         return pa.array([chunks_of(x) for x in column.to_pylist()], pa.list_(pa.string()))
 
-    return F.arrow_udf(work, "array<string>")(clean)
+    return F.arrow_udf(sliced(work), "array<string>")(clean)
 
 
 def chunked(pages: DataFrame, id_column: str = "paper_id", text_column: str = "text", page_column: str | None = None, size: int = 1200, overlap: int = 200, keep_noise: bool = False, passing: tuple[str, ...] = ()) -> DataFrame:

@@ -27,7 +27,7 @@ def embedded(rows: DataFrame, text_column: str = "text", dimensions: int = 64, m
         tokens = pa.array([T.token_list(x) for x in column.to_pylist()], pa.list_(pa.string()))
         return pa.StructArray.from_arrays([tokens, V.lists_of(V.hashed_vectors(tokens, dimensions))], names=["tokens", "embedding"])
 
-    both = F.arrow_udf(work, "tokens array<string>, embedding array<double>")(F.col(text_column))
+    both = F.arrow_udf(V.sliced(work), "tokens array<string>, embedding array<double>")(F.col(text_column))
     return rows.withColumn("__both", both).select(*rows.columns, "__both.tokens", "__both.embedding")
 
 
