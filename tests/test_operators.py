@@ -421,3 +421,31 @@ def test_similar_titles_share_a_part_and_others_hardly_do(rows):
         for p in x["parts"]:
             held.setdefault((p["class"], p["part"], p["sum"]), set()).add(i)
     assert len({(i, j) for own in held.values() for i in own for j in own if i < j}) < 0.02 * len(like)
+
+
+def test_inverted_index_is_made_where_the_words_are(rows):
+    texts = [["a", "b", "a", "é"], [], ["x"], ["b"] * 300 + ["c"]]
+    df = rows("id int, w array<string>", *enumerate(texts), (9, None)).select("id", T.inverted_index(F.col("w")).alias("m"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.m, r.back) for r in df.select("id", "m", T.abstract_of(F.col("m")).alias("back")).collect()}
+    assert got[0] == ({"a": [0, 2], "b": [1], "é": [3]}, "a b a é") and got[9][0] is None
+    assert all(got[i][1] == " ".join(w) for i, w in enumerate(texts))
+
+
+def test_accepted_gaps_read_texts_once(rows):
+    """What comes of the texts is written, not worked out anew by each step that reads it; blank sources ground nothing."""
+    item = {"statement": "alpha beta gamma", "status": "PARTIALLY ADDRESSED", "source": "SOURCE 1"}
+    answer = json.dumps({"limitations": [item, item], "possible_gaps": [{"statement": "gamma delta", "source": "SOURCE 1"}]})
+    told = rows("request_id int, answer string", (1, answer), (2, answer), (3, answer))
+    sources = rows("request_id int, source int, text string", (1, 1, "alpha beta gamma delta epsilon"), (2, 1, " "), (3, 1, None))
+    found = answers.accepted_gaps(told, sources)
+    assert "epsilon" not in str(found.collect()) and {(r.request_id, r.kind, r.at) for r in found.collect()} == {(1, "limitation", 0), (1, "gap", 0)}
+    assert "[a-z]{4,}" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_a_batch_are_objects_by_slices(monkeypatch):
+    monkeypatch.setattr(vectors, "SLICE", 3)
+    seen = []
+    work = vectors.sliced(lambda c: seen.append(len(c)) or pa.array([x + 1 for x in c.to_pylist()], pa.int64()))
+    assert work(pa.array(range(8), pa.int64())).to_pylist() == list(range(1, 9)) and work(pa.array([], pa.int64())).to_pylist() == []
+    assert seen == [3, 3, 2, 0]
