@@ -53,17 +53,17 @@ def commit(spark: SparkSession, path: str, batch: str) -> None:
     files.delete(at, False)
 
 
-def write(rows: DataFrame, path: str, key: str, batch: str, buckets: int = BUCKETS) -> None:
-    """The rows of a batch, marked until commit() is called. Files of a bucket grow and split with its rows."""
+def write(rows: DataFrame, path: str, key: str, batch: str, buckets: int = BUCKETS, order: str | None = None) -> None:
+    """The rows of a batch, marked until commit() is called. Files of a bucket grow and split with its rows. order: a column whose order the rows of a file have."""
     begin(rows.sparkSession, path, batch)
-    dealt = rows.withColumn("batch", F.lit(batch)).withColumn("bucket", bucket_of(F.col(key), buckets))
-    dealt.hint("rebalance", "bucket").write.mode("append").partitionBy("batch", "bucket").parquet(path)
+    dealt = rows.withColumn("batch", F.lit(batch)).withColumn("bucket", bucket_of(F.col(key), buckets)).hint("rebalance", "bucket")
+    (dealt.sortWithinPartitions("batch", "bucket", order) if order else dealt).write.mode("append").partitionBy("batch", "bucket").parquet(path)
 
 
-def append(rows: DataFrame, path: str, key: str, batch: str | None = None, buckets: int = BUCKETS) -> None:
-    """Append rows as one committed batch."""
+def append(rows: DataFrame, path: str, key: str, batch: str | None = None, buckets: int = BUCKETS, order: str | None = None) -> None:
+    """Append rows as one committed batch; see write()."""
     batch = batch or batch_name()
-    write(rows, path, key, batch, buckets)
+    write(rows, path, key, batch, buckets, order)
     commit(rows.sparkSession, path, batch)
 
 

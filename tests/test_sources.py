@@ -112,6 +112,21 @@ def test_indexed_search_reads_fewer_files(spark, rows, tmp_path):
     assert [r.paper_id for r in trigrams.search(spark, at, ["number 0042"]).collect()] == [42]
 
 
+def test_an_index_has_a_row_for_each_trigram_of_a_stretch_of_texts(spark, rows, tmp_path):
+    """Not one for each trigram of each text; odd texts among them."""
+    at = f"{tmp_path}/chunks"
+    odd = [(300, 1, None), (301, 1, ""), (302, 1, "ab"), (303, 1, "a😀Éb"), (303, 2, "😀éB c"), (304, 1, "aaa"), (304, 1, "aaa"), (-5, 7, "x" * 5000 + "AAA")]
+    df = rows("paper_id long, chunk_id long, text string", *[(i, 1, f"chunk of number {i % 7} here") for i in range(200)], *odd).repartition(2)
+    readers.append_chunks(df, at)
+    trigrams.append_index(df, at)
+    index = tables.read(spark, trigrams.index_path(at))
+    kinds = index.select("gram").distinct().count()
+    assert kinds <= index.count() <= 2 * kinds
+    for pattern in ("number 3", "😀éb", "aaa", "xaa", "chunk%6 h", "éb c"):
+        found = sorted((r.paper_id, r.chunk_id) for r in trigrams.search(spark, at, [pattern]).collect())
+        assert found == sorted((r.paper_id, r.chunk_id) for r in df.filter(T.any_like(F.col("text"), [pattern])).collect()) != [], pattern
+
+
 # -- verification -------------------------------------------------------------------------------------------------------
 
 
