@@ -23,11 +23,13 @@ def embedded(rows: DataFrame, text_column: str = "text", dimensions: int = 64, m
     if model:
         return rows.withColumn("tokens", F.explode(F.array(T.tokens(F.col(text_column))))).withColumn("embedding", V.model_embedding(F.col(text_column), model))
 
+    token_lists = V.sliced(lambda column: pa.array([T.token_list(x) for x in column.to_pylist()], pa.list_(pa.string())))
+
     def work(column: pa.Array) -> pa.Array:
-        tokens = pa.array([T.token_list(x) for x in column.to_pylist()], pa.list_(pa.string()))
+        tokens = token_lists(column)  # of a whole batch, so that a token is hashed once in it
         return pa.StructArray.from_arrays([tokens, V.lists_of(V.hashed_vectors(tokens, dimensions))], names=["tokens", "embedding"])
 
-    both = F.arrow_udf(V.sliced(work), "tokens array<string>, embedding array<double>")(F.col(text_column))
+    both = F.arrow_udf(work, "tokens array<string>, embedding array<double>")(F.col(text_column))
     return rows.withColumn("__both", both).select(*rows.columns, "__both.tokens", "__both.embedding")
 
 
@@ -39,12 +41,12 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 8, floor: float =
     """query_id, rank, paper_id, chunk_id, similarity, keyword_score, final_score of each question's k best chunks.
 
     chunks: paper_id, chunk_id, tokens, embedding, best a stored table, as it is read twice; questions: query_id, tokens,
-    embedding, of any number: they are searched in blocks, and joined to their pools by a shuffle unless Spark sees that
-    they are short. A pool of max(5k, 30), at most 100, chunks by cosine distance is re-ranked by 0.8 similarity + 0.2
+    embedding, of any number: they are searched in blocks, and what is near is written, so that Spark sees whether it is
+    short: then no tokens are shuffled. A pool of max(5k, 30), at most 100, chunks by cosine distance is re-ranked by 0.8 similarity + 0.2
     keyword score (ties in the order of distance and ids), then the similarity floor, then the first k.
     """
     k = min(max(k, 1), 20)
-    near = top_k(chunks, questions.select("query_id", F.col("embedding").alias("query")), pool_size(k)).withColumnRenamed("rank", "at")
+    near = saved(top_k(chunks, questions.select("query_id", F.col("embedding").alias("query")), pool_size(k)).withColumnRenamed("rank", "at"))
     pool = chunks.select("paper_id", "chunk_id", "tokens").join(near, ["paper_id", "chunk_id"]).join(questions.select("query_id", F.col("tokens").alias("asked")), "query_id")
     return _ranked(pool, ["query_id"], k, floor)
 

@@ -224,6 +224,21 @@ def test_gap_rules(rows):
     assert answers.accepted_gaps(rows("request_id int, answer string", (1, json.dumps(closed))), sources).count() == 0
 
 
+def test_a_short_pool_is_joined_without_shuffling_tokens(spark):
+    texts = spark.range(400).select(F.col("id").alias("paper_id"), F.lit(1).cast("long").alias("chunk_id"), F.concat(F.lit("Straße-und_Ωmega, naïve "), F.repeat(F.concat(F.lit("word"), "id", F.lit(" ")), F.lit(30))).alias("text"))
+    held = steps.saved(retrieval.embedded(texts))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        hits = retrieval.retrieve(held, steps.saved(retrieval.embedded(spark.range(1).select(F.col("id").alias("query_id"), F.lit("word7 naïve").alias("text")))))
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(paper_id" not in plan and hits.first()["paper_id"] == 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    one = held.select("tokens", T.tokens(F.col("text")).alias("own")).filter("paper_id = 7").first()
+    assert one.tokens == one.own == ["straße", "und", "ωmega", "naïve", "word7"]
+
+
 def test_quality(rows):
     schema = "id int, title string, authors string, abstract string, doi string, source string, published_date string, pdf_url string, full_text string, n_pages long"
     text = "Introduction. Methods. Results. See [1] and [2] in Fig. 1.\nReferences\n[1] a\n[2] b\n" + "word " * 100
