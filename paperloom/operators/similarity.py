@@ -22,6 +22,8 @@ BLOCK = 2048
 QUERY_BLOCK = 4096
 #: Similarities held at once by a task of a search.
 CELLS = 1 << 22
+#: Similarities held at once by a task of a comparison of papers, which has several arrays of them.
+BEST_CELLS = 1 << 19
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -111,14 +113,20 @@ def best_matches_among(chunks: DataFrame, targets: DataFrame, vector: str = "emb
 
 
 def _best(rows: DataFrame, asking: list, normed: bool) -> DataFrame:
-    """Of rows in the order of papers: for each asking chunk the best row of each other paper, as far as a batch goes."""
+    """Of rows in the order of papers: for each asking chunk the best row of each other paper, as far as a task goes."""
     scaled = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1) if normed else m
     q = np.array([r["v"] for r in asking], float).reshape(len(asking), len(asking[0]["v"]) if asking else 0)
     shared = rows.sparkSession.sparkContext.broadcast((np.array([r["paper_id"] for r in asking], np.int64), np.array([r["chunk_id"] for r in asking], np.int64), scaled(q)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_paper, own_chunk, x = shared.value
-        step = max(1, CELLS // max(1, len(own_paper)))
+        step = max(1, BEST_CELLS // max(1, len(own_paper)))
+
+        def told(papers: np.ndarray, chunks: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+            a, b = np.nonzero(own_paper[:, None] != papers[None, :])
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (own_paper[a], own_chunk[a], papers[b], chunks[a, b], best[a, b])], names=["paper_id", "chunk_id", "other_id", "best_chunk", "best"])
+
+        held = None  # of the last paper so far, which the next rows may go on with
         for batch in batches:
             for i in range(0, batch.num_rows if len(own_paper) else 0, step):
                 part = batch.slice(i, step)
@@ -129,9 +137,17 @@ def _best(rows: DataFrame, asking: list, normed: bool) -> DataFrame:
                 best = np.maximum.reduceat(scores, starts, axis=1)
                 # of the best, the first: papers' rows are in the order of their chunks
                 place = np.where(scores == np.repeat(best, np.diff(np.append(starts, len(paper))), axis=1), np.arange(len(paper)), len(paper))
-                at = np.minimum.reduceat(place, starts, axis=1)
-                a, b = np.nonzero(own_paper[:, None] != paper[starts][None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (own_paper[a], own_chunk[a], paper[starts][b], ids[at[a, b]], best[a, b])], names=["paper_id", "chunk_id", "other_id", "best_chunk", "best"])
+                papers, chunks = paper[starts], ids[np.minimum.reduceat(place, starts, axis=1)]
+                if held and held[0][0] == papers[0]:
+                    before = held[2] >= best[:, :1]
+                    chunks[:, :1], best[:, :1] = np.where(before, held[1], chunks[:, :1]), np.where(before, held[2], best[:, :1])
+                elif held:
+                    yield told(*held)
+                if len(papers) > 1:
+                    yield told(papers[:-1], chunks[:, :-1], best[:, :-1])
+                held = papers[-1:].copy(), chunks[:, -1:].copy(), best[:, -1:].copy()
+        if held:
+            yield told(*held)
 
     return rows.mapInArrow(work, "paper_id long, chunk_id long, other_id long, best_chunk long, best double")
 
