@@ -239,6 +239,38 @@ def test_a_short_pool_is_joined_without_shuffling_tokens(spark):
     assert one.tokens == one.own == ["straße", "und", "ωmega", "naïve", "word7"]
 
 
+def test_a_task_sends_on_one_best_row_of_each_paper(spark, rows, monkeypatch):
+    """However many steps its rows take; ties go to the least chunk."""
+    for name in ("CELLS", "BEST_CELLS"):
+        monkeypatch.setattr(similarity, name, 40, raising=False)
+    rng = random.Random(1)
+    held = [(p, c, [float(rng.randrange(3)), float(rng.randrange(3))]) for p in range(4) for c in range(33)]
+    df = rows("paper_id long, chunk_id long, v array<double>", *held)
+    asking = df.filter("chunk_id = 3").orderBy("paper_id").collect()
+    got = similarity._best(df.coalesce(1).sortWithinPartitions("paper_id", "chunk_id"), asking, False).collect()
+    want = []
+    for p, c, v in asking:
+        for other in {0, 1, 2, 3} - {p}:
+            best, before = max((v[0] * w[0] + v[1] * w[1], -k) for q, k, w in held if q == other)
+            want.append((p, c, other, -before, best))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_quality_looks_only_where_something_can_be(rows):
+    """Joins and lower-cases no single paragraph; odd capitals, control characters and repeats are still found."""
+    schema = "id int, title string, authors string, abstract string, doi string, source string, published_date string, pdf_url string, full_text string, n_pages long"
+    par = "Word " * 20
+    texts = ["ÉTÉ ÖL A1 {X} zZ", "aB cD ab", par + "\n\n" + par.upper(), par, "a\x0bb c", "a\x1fb", "a\t\r\nb", "x\nREFERENCES\n[3] a", "bibliographY", None, "ß ßß"]
+    df = rows(schema, *[(i, "t", "a", "b", "d", "s", "x", "u", t, 1) for i, t in enumerate(texts)])
+    m = quality.measured(df)
+    got = {r.id: r for r in m.collect()}
+    assert [got[i].structure for i in range(len(texts))] == [1, 0, 1, 0, 1, 1, 0, 0, 0, 0, 0]
+    assert [got[i].repeated for i in (2, 3, 9)] == [1, 0, 0] and [got[i].paragraphs for i in (2, 3, 9)] == [2, 1, 0]
+    assert [(got[i].refs.has, got[i].refs.n) for i in (7, 8, 9)] == [(True, 3), (True, 0), (False, 0)] and got[7].cites == 1
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == plan.count("WHEN (size(long") > 0
+
+
 def test_quality(rows):
     schema = "id int, title string, authors string, abstract string, doi string, source string, published_date string, pdf_url string, full_text string, n_pages long"
     text = "Introduction. Methods. Results. See [1] and [2] in Fig. 1.\nReferences\n[1] a\n[2] b\n" + "word " * 100
